@@ -43,6 +43,24 @@ def overlap_reaches(shared: Column, left: Column, right: Column, least: Fraction
     return shared * least.denominator >= (left + right - shared) * least.numerator
 
 
+def witness_keys(line: Column, least: Fraction) -> Column:
+    """Keys of which two sets that overlap by ``least``, with two elements in common or more, share at least one.
+
+    ``line`` is the set as a sorted array of (hot, code).  Such sets share
+    ceil(least * size) elements of either, so one of the first size - that + 1 in
+    any common order; if every one they share there is hot, all they share are hot,
+    and two of them lie in a prefix longer by one.
+    """
+    size = F.size(line)
+    first = size - F.ceil(size * least.numerator / F.lit(least.denominator)).cast("int") + 1
+    lone = F.transform(F.filter(F.slice(line, 1, first), lambda e: ~e["hot"]), lambda e: e["code"])
+    hots = F.filter(F.slice(line, 1, F.least(size, first + 1)), lambda e: e["hot"])
+    twins = F.flatten(
+        F.transform(hots, lambda x, i: F.transform(F.filter(hots, lambda y, j: j > i), lambda y: F.xxhash64(x["code"], y["code"])))
+    )
+    return F.when(size > 0, F.concat(lone, twins)).otherwise(F.array().cast("array<bigint>"))
+
+
 def similar_classes(records: DataFrame, least: Fraction = Fraction(3, 5)) -> tuple[DataFrame, DataFrame]:
     """Similar classes of equal sets: (pairs(a, b, shared, size_a, size_b), members(node, id)).
 
@@ -71,16 +89,9 @@ def similar_classes(records: DataFrame, least: Fraction = Fraction(3, 5)) -> tup
         .groupBy("node")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("hot", F.lit(False)).alias("hot"), "code"))).alias("line"))
     )
-    size = F.size("line")
-    # two sets similar enough share ceil(least * size) elements of either, so one of the first size - that + 1 in any common order
-    first = size - F.ceil(size * num / F.lit(den)).cast("int") + 1
-    lone = F.filter(F.slice("line", 1, first), lambda e: ~e["hot"])
-    hots = F.filter(F.slice("line", 1, first + 1), lambda e: e["hot"])
-    twins = F.flatten(
-        F.transform(hots, lambda x, i: F.transform(F.filter(hots, lambda y, j: j > i), lambda y: F.xxhash64(x["code"], y["code"])))
-    )
+    witness = witness_keys(F.col("line"), least)
     witnesses = work.save(
-        flagged.select("node", F.explode(F.concat(F.transform(lone, lambda e: e["code"]), twins)).alias("witness")), "witnesses"
+        flagged.select("node", F.explode(witness).alias("witness")), "witnesses"
     )
     pivots = (
         witnesses.groupBy("witness").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), "node")).alias("p"), F.count("*").alias("n")).where("n > 1").select("witness", F.col("p.node").alias("pivot"))

@@ -1,52 +1,13 @@
-"""What the operators of this subpackage share: durable intermediate tables and hash text."""
+"""What the operators of this subpackage share: intermediate tables and hash text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from twinsift.plans.workspace import Workspace, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="twinsift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-class Workspace:
-    """Tables of one operator run in the shared folder.
-
-    Writing a table cuts its lineage: a lost executor costs the tasks it ran, not
-    the stages before them, since the files live outside the executors.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str, mode: str = "overwrite", by: list[str] | None = None) -> DataFrame:
-        """Write and read back; the schema is kept, so empty tables work."""
-        writer = df.write.mode(mode)
-        if by:
-            writer = writer.partitionBy(*by)
-        writer.parquet(self.path(name))
-        return self.read(name, df)
-
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Workspace", "shared_folder", "usable_hash", "usable_set"]
 
 
 def usable_hash(column: Column | str, digits: int = 64) -> Column:
