@@ -30,27 +30,29 @@ def first_come(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": pd.Series(list(leader.keys()), dtype=edges["a"].dtype), "leader": pd.Series(list(leader.values()), dtype=edges["a"].dtype)})
 
 
-def assign_leaders(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, max_rounds: int = 10_000) -> DataFrame:
+def assign_leaders(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, max_rounds: int = 10_000, edges_at_most: int | None = None) -> DataFrame:
     """(node, leader) for every node that is not a leader itself.
 
     ``edges`` is (a, b); direction, repetition, loops and nulls do not matter.  No
     edges give no rows.  Above ``one_task_edges`` the leaders are found in rounds:
     undecided nodes without an earlier undecided neighbour become leaders, their
     neighbours members, and the edges of both go; each round is a written table.
+    ``edges_at_most`` is a bound the caller knows; it saves counting.
     """
     work = Workspace(edges.sparkSession, "grouping")
     kind = edges.schema["a"].dataType.simpleString()
     clean = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = work.save(clean, "edges-0")
-    count = left.count()
-    schema = f"node {kind}, leader {kind}"
-    if count <= one_task_edges:
 
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            whole = list(parts)
-            if whole:
-                yield first_come(pd.concat(whole, ignore_index=True))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = list(parts)
+        if whole:
+            yield first_come(pd.concat(whole, ignore_index=True))
 
+    schema = f"node {kind}, leader {kind}"
+    if edges_at_most is not None and edges_at_most <= one_task_edges:
+        return clean.coalesce(1).mapInPandas(run, schema)
+    left = work.save(clean, "edges-0")
+    if left.count() <= one_task_edges:
         return left.coalesce(1).mapInPandas(run, schema)
     assigned = []
     for turn in range(1, max_rounds):
