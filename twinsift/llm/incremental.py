@@ -25,14 +25,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinsift.llm.setjoin import overlap_reaches, witness_keys
 from twinsift.llm.shared import Workspace, usable_hash, usable_set
 from twinsift.operators.grouping import ONE_TASK_EDGES, assign_leaders
 
 SAMPLE_ROWS = 4_000
+STEP_ROWS = 60_000
+ID_BITS = 40
 COPY_SALTS = 16
-MANY_COPIES = 1_000
 
 
 @dataclass
@@ -156,7 +158,7 @@ class History:
         self.work = Workspace(spark, f"history-{medium.name}")
         self.table = f"twinsift_keys_{medium.name}_{uuid.uuid4().hex}"
         self.buckets = max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.like: dict[str, DataFrame] = {}
+        self.started = False
         self.scores: tuple[list[float], list[float], list[float]] | None = None
         self.gap_edges: list[float] = [0.0, 8.0, 16.0] if medium.name == "image" else [0.0, 0.15, 0.3]
 
@@ -168,6 +170,7 @@ class History:
         rows = self.keyed(items).repartition(self.buckets, "key")
         writer = rows.write.format("parquet").mode("append").bucketBy(self.buckets, "key")
         writer.option("path", self.work.path("keys")).saveAsTable(self.table)
+        self.started = True
 
     def learn(self, items: DataFrame, rows: int = SAMPLE_ROWS) -> None:
         """Learn the weights from pairs of a sample of at most ``rows`` items (chosen by hash of the id), labelled by the near test.
@@ -203,46 +206,51 @@ class History:
             + pick(agreement(F.col(f"{x}.bytes"), F.col(f"{y}.bytes")), sizes)
         )
 
-    def ingest(self, items: DataFrame, name: str, last: bool = False) -> DataFrame:
-        """Decide one batch: (id, keeper, score), keeper null where the item is accepted.
+    def ingest(self, classes: DataFrame, name: str, last: bool = False) -> DataFrame:
+        """Decide one batch: its classes with keeper (null where accepted) and score.
 
-        ``items`` is (id, payload, format, bytes), one row per id.  Copies within the
-        batch are one item named by its smallest id.  The accepted items are added
-        to the history unless this is the ``last`` batch.
+        ``classes`` is (id, payload, format, bytes, copies) as of :func:`copy_classes`:
+        copies within the batch are one item named by its smallest id.  The accepted
+        items are added to the history unless this is the ``last`` batch.
         """
-        payload = self.medium.payload
-        copies = items.groupBy(*payload).agg(F.min(F.struct("id", "format", "bytes")).alias("m"), F.count("*").alias("copies"))
-        classes = self.work.save(copies.select("m.*", *payload, "copies"), f"classes-{name}")
         keyed = self.keyed(classes).repartition(self.buckets, "key")
         x, y = keyed.alias("x"), keyed.alias("y")
         link = [F.col("x.id").alias("id"), F.col("y.id").alias("other"), self.score("x", "y").alias("score")]
         mates = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & self.medium.near("x", "y")).select(*link, F.lit(False).alias("old"))
-        if self.spark.catalog.tableExists(self.table):
+        if self.started:
             past = self.spark.table(self.table).alias("y")
             old = x.join(past, (F.col("x.key") == F.col("y.key")) & self.medium.near("x", "y")).select(*link, F.lit(True).alias("old"))
             mates = mates.unionByName(old)
-        near = self.work.save(mates.groupBy("id", "other", "old").agg(F.max("score").alias("score")), f"near-{name}")
+        near = self.work.save(mates.distinct(), f"near-{name}")
         hits = near.where("old").groupBy("id").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("best"))
         hits = hits.select("id", (-F.col("best.o")).alias("keeper"), F.col("best.score").alias("score"))
         fresh = near.where("not old").join(hits.select("id"), "id", "left_anti").join(hits.select(F.col("id").alias("other")), "other", "left_anti")
-        joined = assign_leaders(fresh.select(F.col("other").alias("a"), F.col("id").alias("b")), ONE_TASK_EDGES)
+        joined = assign_leaders(fresh.select(F.col("other").alias("a"), F.col("id").alias("b")), ONE_TASK_EDGES, edges_at_most=near.count())
         inner = joined.join(near.where("not old"), (F.col("node") == F.col("id")) & (F.col("leader") == F.col("other"))).select(
             F.col("node").alias("id"), F.col("leader").alias("keeper"), "score"
         )
-        decided = self.work.save(classes.join(hits.unionByName(inner), "id", "left"), f"decided-{name}")
+        decided = self.work.save(classes.join(hits.unionByName(inner), "id", "left"), f"decided/step={name}")
         if not last:
-            self.append(decided.where("keeper is null").select("id", *payload, "format", "bytes"))
-        self.work.drop(f"near-{name}", f"classes-{name}")
-        lone = decided.where("copies = 1").select("id", "keeper", "score")
-        several = decided.where("copies > 1").select(F.col("id").alias("head"), "keeper", "score", "copies", *payload)
-        salts = F.when(F.col("copies") > MANY_COPIES, COPY_SALTS).otherwise(1)
-        several = several.withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1)))).drop("salts")
-        spread = items.select("id", *payload).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int"))
-        copies = spread.join(several, [*payload, "salt"]).select(
-            "id",
-            F.when(F.col("id") == F.col("head"), F.col("keeper")).otherwise(F.coalesce("keeper", "head")).alias("keeper"),
-            F.when(F.col("id") == F.col("head"), F.col("score")).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
-        )
+            self.append(decided.where("keeper is null").select("id", *self.medium.payload, "format", "bytes"))
+        self.work.drop(f"near-{name}")
+        return decided
+
+    def expand(self, items: DataFrame, decided: DataFrame) -> DataFrame:
+        """(id, step, keeper, score) of every item: copies of a class follow its first one.
+
+        ``decided`` is what :meth:`ingest` returned, with step.  Classes of many
+        copies are spread over salts, so no task gets all copies of one hash.
+        """
+        payload = self.medium.payload
+        lone = decided.where("copies = 1").select("id", "step", "keeper", "score")
+        several = decided.where("copies > 1").select(F.col("id").alias("head"), "step", "keeper", "score", *payload)
+        several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))))
+        spread = items.select("id", "step", *payload).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int"))
+        head = F.col("id") == F.col("head")
+        copies = spread.join(several, ["step", *payload, "salt"]).select(
+            "id", "step", F.when(head, F.col("keeper")).otherwise(F.coalesce("keeper", "head")).alias("keeper"),
+            F.when(head, F.col("score")).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
+        )
         return lone.unionByName(copies)
 
     def close(self) -> None:
@@ -278,28 +286,61 @@ def first_arrivals(df: DataFrame, id_col: str, payload: list[Column], fmt: Colum
     return rows.groupBy("id").agg(F.min("batch_no").alias("batch_no"), *merged, F.min("format").alias("format"), F.max("bytes").alias("bytes")).where("batch_no is not null")
 
 
-def deduplicate_batches(history: History, arrivals: DataFrame, accepted: DataFrame | None) -> DataFrame:
+def copy_classes(items: DataFrame, payload: list[str]) -> DataFrame:
+    """Items with equal payload as one row per step: the smallest id, its fields and the number of copies."""
+    grouped = items.groupBy("step", *payload).agg(F.min(F.struct("id", "format", "bytes")).alias("m"), F.count("*").alias("copies"))
+    return grouped.select("m.*", *payload, "copies", "step")
+
+
+def deduplicate_batches(history: History, arrivals: DataFrame, accepted: DataFrame | None, step_rows: int = STEP_ROWS) -> DataFrame:
     """(id, batch_no, keeper, score) of every arrival, batch after batch; keeper null where accepted.
 
     ``arrivals`` is (id, batch_no, payload, format, bytes); ``accepted`` the same
-    without batch_no, taken without test.  The loop is over batches, as they come.
+    without batch_no, taken without test.  Batches are worked on as they come;
+    consecutive pending batches are one step while they hold ``step_rows`` rows or
+    fewer together, which changes no result: the order within a step is (batch_no, id).
     """
-    columns = ["id", *history.medium.payload, "format", "bytes"]
+    payload = history.medium.payload
+    columns = ["id", *payload, "format", "bytes"]
     work = history.work
-    arrivals = work.save(arrivals.select(*columns, "batch_no"), "arrivals", by=["batch_no"])
-    batches = sorted(r[0] for r in arrivals.select("batch_no").distinct().collect())
-    if batches:
-        history.learn(arrivals.where(F.col("batch_no") == batches[0]))
+    arrivals = work.save(arrivals.select(*columns, "batch_no"), "arrivals")
+    sizes = sorted((r[0], r[1]) for r in arrivals.groupBy("batch_no").count().collect())
+    if not sizes:
+        return arrivals.select("id", "batch_no", F.lit(None).cast("long").alias("keeper"), F.lit(None).cast("double").alias("score"))
+    low, high = arrivals.agg(F.min("id"), F.max("id")).first()
+    known_low, known_high = (accepted.agg(F.min("id"), F.max("id")).first() if accepted is not None else None) or (0, 0)
+    # an item's place in the order of arrival as one number, where batch and id fit
+    fits = min(low, known_low or 0, sizes[0][0]) >= 0 and max(high, known_high or 0) < 1 << ID_BITS and sizes[-1][0] < 1 << (62 - ID_BITS)
+    steps: list[list[int]] = []
+    filled = step_rows
+    for batch, count in sizes:
+        if filled + count > step_rows or not fits:
+            steps.append([])
+            filled = 0
+        steps[-1].append(batch)
+        filled += count
+    place = F.col("id")
+    if fits:
+        place = F.shiftleft(F.col("batch_no").cast("long"), ID_BITS).bitwiseOR(F.col("id"))
+    # the batches of a step are neighbours in their order, so the step of a batch is the number of steps that begin at or before it
+    step: Column = F.lit(-1)
+    for batches in steps:
+        step = step + (F.col("batch_no") >= batches[0]).cast("int")
+    placed = arrivals.select(place.alias("id"), *payload, "format", "bytes", step.alias("step"))
+    classes = work.save(copy_classes(placed, payload).repartition(len(steps), "step"), "classes", by=["step"])
+    history.learn(classes.where("step = 0"))
     if accepted is not None:
         history.append(accepted.select(*columns))
-    result: DataFrame | None = None
-    for b in batches:
-        part = arrivals.where(F.col("batch_no") == b).select(*columns)
-        done = history.ingest(part, str(b), last=b == batches[-1]).withColumn("batch_no", F.lit(b))
-        result = done if result is None else result.unionByName(done)
-    if result is None:
-        result = arrivals.select("id", F.lit(None).cast("long").alias("keeper"), F.lit(None).cast("double").alias("score"), "batch_no")
-    return result
+    for k in range(len(steps)):
+        decided = history.ingest(classes.where(F.col("step") == k).drop("step"), str(k), last=k == len(steps) - 1)
+    every = work.spark.read.schema(T.StructType([*decided.schema.fields, T.StructField("step", T.IntegerType())])).parquet(work.path("decided"))
+    result = history.expand(placed, every)
+    if not fits:
+        return result.select("id", F.element_at(F.array(*[F.lit(b[0]) for b in steps]), F.col("step") + 1).alias("batch_no"), "keeper", "score")
+    mask = (1 << ID_BITS) - 1
+    return result.select(
+        F.col("id").bitwiseAND(F.lit(mask)).alias("id"), F.shiftright("id", ID_BITS).cast("int").alias("batch_no"), F.col("keeper").bitwiseAND(F.lit(mask)).alias("keeper"), "score"
+    )
 
 
 def common_codes(arrivals: DataFrame, least_share: float = 0.002, most: int = 500) -> list[int]:
