@@ -7,7 +7,7 @@ least BM25 score of any 13 consecutive tokens of its own (of all its tokens wher
 they are fewer), so an item that shares such a run scores at least its threshold:
 retrieval loses nothing.  Impacts are divided by the threshold of their item, which
 makes it 1 for all, and allows the bounds of WAND: a passage whose tokens' largest
-impacts sum to less than 1 is skipped whole, then blocks by their block maxima, then
+impacts sum to less than 1, or with a token no item has, is skipped whole, then blocks by their block maxima, then
 items by their score.  What is left is compared token by token.
 """
 
@@ -42,6 +42,7 @@ class ItemIndex:
     grams: list[list[str]]  # distinct token sequences of the items
     token_hash: np.ndarray  # sorted; the position is the token number
     best: np.ndarray  # largest normalised impact of each token
+    best_by_run: dict[int, np.ndarray]  # the same among the items of each run length
     post_begin: np.ndarray  # per token: its range of (block) postings
     post_block: np.ndarray  # block number of each posting
     post_peak: np.ndarray  # largest impact in it
@@ -90,14 +91,18 @@ def build_index(rows: list[tuple[int, str | None]], k1: float = 1.2, b: float =
     tokens_of = np.array([k[0] for k in keys])
     peak = table.max(axis=1)
     begin = np.searchsorted(tokens_of, np.arange(len(words) + 1))
-    packed = {}
+    packed, by_run = {}, {}
     for length, found in runs.items():
+        slots = np.zeros(-(-len(pairs) // BLOCK) * BLOCK, bool)
+        slots[[x for _, x in found]] = True
+        own = np.where(slots.reshape(-1, BLOCK)[[k[1] for k in keys]], table, 0.0).max(axis=1)
+        by_run[length] = np.maximum.reduceat(own, begin[:-1])
         h = np.array([x for x, _ in found], np.uint64)
         s = np.array([x for _, x in found], np.int64)
         by = np.argsort(h, kind="stable")
         packed[length] = h[by], s[by]
     return ItemIndex(
-        np.array([i for i, _ in pairs]), [t for _, t in pairs], hashes[order], np.maximum.reduceat(peak, begin[:-1]), begin,
+        np.array([i for i, _ in pairs]), [t for _, t in pairs], hashes[order], np.maximum.reduceat(peak, begin[:-1]), by_run, begin,
         np.array([k[1] for k in keys]), peak, table, packed,
     )
 
@@ -170,11 +175,16 @@ def scan(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
     code = np.where(known, at, -1)
     text = bytescan.text_of(begin, offsets)
     count = len(code)
-    # bound of every 13-token passage; a text's last passages are as long as what is left of it
-    total = np.r_[0.0, np.cumsum(np.where(known, index.best[at], 0.0))]
+    # a passage is alive if a run of its first tokens could reach an item: all of them indexed, and their bounds sum to the threshold
     text_end = np.searchsorted(text, text, side="right")
-    stop = np.minimum(np.arange(count) + RUN, text_end)
-    alive = total[stop] - total[:-1] >= 1 - ROUNDING
+    indexed = np.r_[0, np.cumsum(known)]
+    alive = np.zeros(count, bool)
+    for length, best in index.best_by_run.items():
+        stop = np.arange(count) + length
+        fits = stop <= text_end
+        stop = np.minimum(stop, count)
+        total = np.r_[0.0, np.cumsum(np.where(known, best[at], 0.0))]
+        alive |= fits & (indexed[stop] - indexed[:-1] == length) & (total[stop] - total[:-1] >= 1 - ROUNDING)
     if not alive.any():
         return []
     # live passages in groups of QUERY - RUN + 1 neighbouring beginnings, one query each
