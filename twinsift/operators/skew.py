@@ -57,12 +57,10 @@ def weighted_percentiles(weighted: DataFrame, keys: list[str], shares: list[floa
     keeps for each key and share the bin that holds the wanted rank.  A key of any
     size is thus never sorted as a whole.
     """
-    spark = weighted.sparkSession
     known = weighted.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("v"), "weight")
     wanted = known.groupBy(*keys).agg(F.sum("weight").alias("total"))
-    ranks = spark.createDataFrame([(float(s),) for s in shares], "share double")
     target = F.greatest(F.lit(1), F.ceil(F.round(F.col("total") * F.col("share"), 6)))
-    open_ = wanted.crossJoin(F.broadcast(ranks)).select(*keys, "share", target.alias("rank"), F.lit(None).cast("long").alias("bin"))
+    open_ = wanted.select("*", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")).select(*keys, "share", target.alias("rank"), F.lit(None).cast("long").alias("bin"))
     rows = known
     shift = 64
     while shift > 0:
