@@ -68,12 +68,20 @@ def most_differing(threshold: float, bits: int) -> int:
     return max((d for d in range(bits + 1) if 1 - d / bits >= threshold), default=-1)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: as the variable of a lambda it is not repeated wherever it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bits_to_hex(bits: Column | str) -> Column:
     """An array of 0/1 as hex text, first bit most significant, padded in front to whole digits."""
-    text = F.concat_ws("", F.transform(col(bits), lambda b: b.cast("string")))
-    digits = F.ceil(F.length(text) / 4).cast("int")
-    padded = F.lpad(text, (digits * 4).cast("int"), "0")
-    return F.concat_ws("", F.transform(F.sequence(F.lit(0), digits - 1), lambda i: F.lower(F.conv(F.substring(padded, i * 4 + 1, F.lit(4)), 2, 16))))
+
+    def digits(text: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text), F.lit(4))
+        return F.concat_ws("", F.transform(starts, lambda i: F.lower(F.conv(F.substring(text, i, F.lit(4)), 2, 16))))
+
+    joined = F.concat_ws("", F.transform(col(bits), lambda b: b.cast("string")))
+    return let(joined, lambda t: digits(F.lpad(t, (F.ceil(F.length(t) / 4) * 4).cast("int"), "0")))
 
 
 def chosen_hash(kind: str) -> Column:

@@ -1,7 +1,7 @@
 """Display texts.
 
-Numbers are rounded half-even before printf, which rounds half-up: so texts agree
-with those made from the exact binary value.
+Sizes are rounded half-even before printf, which rounds half-up: a size over a power
+of 1024 has few binary digits, so this agrees with rounding the exact value.
 """
 
 from __future__ import annotations
@@ -38,5 +38,19 @@ def resolution_text(width: Column | str, height: Column | str) -> Column:
 
 
 def percent_text(share: Column | str) -> Column:
+    """A share from 0 to 2 with one decimal of its percentage, rounded from the exact binary value, ties to even.
+
+    The percentage is taken as a whole number of 2**-52 (2**-58 below 1), which is exact, and divided in integers.
+    """
+
+    def tenths(percent: Column, bits: int) -> Column:
+        scaled = (percent * float(1 << bits)).cast("bigint") * 10
+        whole = F.shiftright(scaled, bits)
+        rest, half = scaled - F.shiftleft(whole, bits), 1 << (bits - 1)
+        return whole + F.when((rest > half) | ((rest == half) & (whole % 2 == 1)), 1).otherwise(0)
+
     s = col(share)
-    return F.when(s.isNotNull(), F.format_string("%.1f%%", F.bround(s * 100, 1)))
+    percent = s * 100
+    n = F.when(percent < 1, tenths(percent, 58)).otherwise(tenths(percent, 52))
+    text = F.concat(F.floor(n / 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"), F.lit("%"))
+    return F.when((s >= 0) & (s <= 2), text).when(s.isNotNull(), F.format_string("%.1f%%", F.bround(percent, 1)))

@@ -91,6 +91,15 @@ def with_words(df: DataFrame, kinds: tuple[str, ...] = HASH_KINDS) -> DataFrame:
     return df
 
 
+def tagged(kind: int, size: int):
+    """Band keys of one kind and size, made distinct from those of others."""
+
+    def tag(key: Column) -> Column:
+        return F.xxhash64(F.lit(kind), F.lit(size), key)
+
+    return tag
+
+
 def image_classes(df: DataFrame, kinds: tuple[str, ...] = HASH_KINDS) -> DataFrame:
     """One row per distinct fingerprint: the kinds, and the smallest path as ``path``."""
     return df.where(F.col("path").isNotNull()).groupBy(*kinds).agg(F.min("path").alias("path"))
@@ -114,7 +123,7 @@ def image_pairs(df: DataFrame, threshold: float, hash_type: str = "combined") ->
     for n, k in enumerate(kinds):
         for size in sizes:
             most = B.most_differing(threshold, size)
-            own = F.transform(band_keys(f"{k}_words", size, most), lambda h, n=n, size=size: F.xxhash64(F.lit(n), F.lit(size), h))
+            own = F.transform(band_keys(f"{k}_words", size, most), tagged(n, size))
             keys = F.concat(keys, F.when(F.col(f"{k}_bits") == size, own).otherwise(F.array().cast("array<bigint>")))
     keyed = classes.select("path", F.explode(F.array_distinct(keys)).alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")

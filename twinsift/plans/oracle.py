@@ -108,7 +108,9 @@ SIZE = "CASE " + " ".join(f"WHEN file_size / {1024**p}::DOUBLE < 1024 THEN print
 
 
 def duration(c: str) -> str:
-    s = f"floor({c})::BIGINT"
+    whole = f"floor({c})::BIGINT"
+    s = f"CASE WHEN {whole} >= 0 THEN {whole} ELSE ({whole} % 3600 + 3600) % 3600 END"
+    s = f"({s})"
     return f"CASE WHEN {s} >= 3600 THEN printf('%dh %dm %ds', {s} // 3600, {s} % 3600 // 60, {s} % 60) WHEN {s} >= 60 THEN printf('%dm %ds', {s} // 60, {s} % 60) ELSE printf('%ds', {s}) END"
 
 

@@ -133,11 +133,10 @@ def group_ranked_members(spark: SparkSession, folder: str) -> DataFrame:
 
 def codes(spark: SparkSession, folder: str) -> DataFrame:
     """(vec_id, h): embeddings as 8 x 8 grey images, each pixel against the median, as 16 hex digits."""
-    pixels = F.transform("embedding", lambda x: x.cast("double"))
-    ordered = F.array_sort(pixels)
-    middle = (ordered[31] + ordered[32]) / 2
-    bits = F.transform(pixels, lambda x: (x > middle).cast("int"))
-    return table(spark, folder, "embeddings").where("size(embedding) = 64").select("vec_id", B.bits_to_hex(bits).alias("h"))
+    middle = (F.col("o")[31] + F.col("o")[32]) / 2
+    rows = grid(spark, folder).withColumn("o", F.array_sort("p"))
+    bits = B.let(middle, lambda m: F.transform("p", lambda x: (x > m).cast("int")))
+    return rows.select("vec_id", B.bits_to_hex(bits).alias("h"))
 
 
 def median_hash_bits(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +150,7 @@ def grid(spark: SparkSession, folder: str) -> DataFrame:
 def ahash_bits(spark: SparkSession, folder: str) -> DataFrame:
     """Each pixel against the mean, rounded: sums of doubles differ in their last bit between engines."""
     mean = F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x) / 64, 9)
-    return grid(spark, folder).withColumn("m", mean).select("vec_id", B.bits_to_hex(F.transform("p", lambda x: (x > F.col("m")).cast("int"))).alias("h"))
+    return grid(spark, folder).select("vec_id", B.bits_to_hex(B.let(mean, lambda m: F.transform("p", lambda x: (x > m).cast("int")))).alias("h"))
 
 
 def dhash_bits(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,7 +165,7 @@ def whash_haar_bits(spark: SparkSession, folder: str) -> DataFrame:
     corners = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.floor(i / 4).cast("int") * 16 + (i % 4) * 2)
     low = F.transform(corners, lambda c: F.round((F.get("p", c) + F.get("p", c + 1) + F.get("p", c + 8) + F.get("p", c + 9)) / 4, 9))
     ordered = F.array_sort("low")
-    bits = F.transform("low", lambda x: (x > (F.col("o")[7] + F.col("o")[8]) / 2).cast("int"))
+    bits = B.let((F.col("o")[7] + F.col("o")[8]) / 2, lambda m: F.transform("low", lambda x: (x > m).cast("int")))
     return grid(spark, folder).withColumn("low", low).withColumn("o", ordered).select("vec_id", B.bits_to_hex(bits).alias("h"))
 
 
