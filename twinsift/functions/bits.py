@@ -45,14 +45,23 @@ def distance(left: Column | str, right: Column | str) -> Column:
     return F.when(F.size(a) == F.size(b), total)
 
 
-def unrolled_distance(left: str, right: str, words: int) -> Column:
-    """Differing bits of two arrays of a known number of words, without a lambda: stays in generated code."""
-    total: Column = F.lit(0)
-    for i in range(words):
-        total = total + F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i]))
+def unrolled_distance(left: Column | str, right: Column | str, words: int) -> Column:
+    """Differing bits of two arrays of a known number of words, without a lambda; null where either is null."""
+    a, b = col(left), col(right)
+    total = F.bit_count(a[0].bitwiseXOR(b[0]))
+    for i in range(1, words):
+        total = total + F.bit_count(a[i].bitwiseXOR(b[i]))
     return total
 
 
+def reaching(value: Column, threshold: float) -> Column:
+    """The value as a row if it reaches the threshold, else no row.
+
+    A filter on a computed column would move below the projection and compute it twice.
+    """
+    return F.explode(F.filter(F.array(value), lambda s: s >= threshold))
+
+
 def similarity(differing: Column, bits: Column | int) -> Column:
     return 1 - differing / (F.lit(bits) if isinstance(bits, int) else bits)
 

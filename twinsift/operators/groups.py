@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from twinsift.constants import HASH_KINDS, MATRIX_ROWS, PREFILTER_VIDEOS, PREPASS_ROWS
 from twinsift.functions import bits as B
 from twinsift.operators.grouping import greedy_groups
-from twinsift.operators.similarity import image_classes, image_pairs, video_classes, video_pairs
+from twinsift.operators.similarity import frame_words, image_classes, image_pairs, video_classes, video_pairs
+from twinsift.plans.workspace import Workspace
 
 
 def exact_groups(df: DataFrame) -> DataFrame:
@@ -34,12 +35,13 @@ def near_image_groups(df: DataFrame, threshold: float, hash_type: str = "combine
     Equal fingerprints are grouped as one and then take the similarity their class has; copies
     of a leader are similar to it by 1.0 (0.0, so not grouped, where they have no hash of the type).
     """
-    pairs = image_pairs(df, threshold, hash_type)
-    groups = greedy_groups(pairs)
+    work = Workspace(df.sparkSession, "image-groups")
+    df = work.save(df.select("path", *HASH_KINDS).distinct(), "rows")
+    groups = work.save(greedy_groups(work.save(image_pairs(df, threshold, hash_type), "pairs")), "groups")
     reps = image_classes(df)
     same = reps.select(*[F.col(k).alias(f"c_{k}") for k in HASH_KINDS], F.col("path").alias("class"))
     on = [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in HASH_KINDS]
-    rows = df.select("path", *HASH_KINDS).distinct().join(same, on).select("path", "class", *HASH_KINDS)
+    rows = df.join(same, on).select("path", "class", *HASH_KINDS)
     kinds = HASH_KINDS if hash_type == "combined" else [hash_type]
     comparable = F.exists(F.array(*[F.coalesce(B.is_hex(k), F.lit(False)) for k in kinds if k in HASH_KINDS]), lambda x: x)
     rows = rows.where(comparable)
@@ -76,12 +78,12 @@ def image_groups(df: DataFrame, threshold: float = 0.9, hash_type: str = "combin
 
 def video_groups(df: DataFrame, threshold: float = 0.85, mode: str = "strict", accelerated: bool = True, bits: int = 256) -> DataFrame:
     """(leader, path, similarity): first-come groups of similar videos in path order; copies of a class join with it."""
-    classes = video_classes(df, bits)
+    work = Workspace(df.sparkSession, "video-groups")
+    classes = work.save(video_classes(df, bits), "classes")
     compat = mode == "compat"
     prefilter = compat and accelerated and df.limit(PREFILTER_VIDEOS + 1).count() > PREFILTER_VIDEOS
-    groups = greedy_groups(video_pairs(classes, threshold, bits, compat, prefilter))
-    from twinsift.operators.similarity import frame_words
-
+    pairs = work.save(video_pairs(classes, threshold, bits, compat, prefilter), "pairs")
+    groups = work.save(greedy_groups(pairs), "groups")
     rows = df.select("path", frame_words("frame_hashes", bits).alias("frames")).distinct().join(classes.withColumnRenamed("path", "class"), "frames")
     grouped = rows.join(groups.withColumnRenamed("path", "class"), "class").select("leader", "path", "similarity")
     alone = rows.join(groups.select(F.col("path").alias("class")), "class", "left_anti")

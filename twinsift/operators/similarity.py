@@ -33,15 +33,33 @@ def band_keys(words: Column | str, total: int, differing: int) -> Column:
     """One key per band such that hashes of ``total`` bits that differ in ``differing`` bits or fewer share one."""
     w = B.col(words)
     bands = min(differing + 1, total)
+    if -(-total // bands) <= 64:
+        # a band lies in one word or two: one lambda over the bands, however many they are
+        pad = 64 * -(-total // 64) - total
+
+        def key(i: Column) -> Column:
+            begin, end = F.floor(i * total / bands).cast("int") + pad, F.floor((i + 1) * total / bands).cast("int") + pad
+            first, last = F.floor(begin / 64).cast("int"), F.floor((end - 1) / 64).cast("int")
+            upper = F.call_function("shiftleft", F.get(w, first), begin - first * 64)
+            lower = F.call_function("shiftrightunsigned", F.get(w, last), (last + 1) * 64 - end)
+            return F.xxhash64(i, F.when(first == last, F.call_function("shiftrightunsigned", upper, 64 - (end - begin))).otherwise(upper), F.when(first != last, lower))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)
     edges = [total * i // bands for i in range(bands + 1)]
     keys = []
     for i in range(bands):
-        a, b = edges[i], edges[i + 1]
-        cuts = [(s, min(s + 63, b)) for s in range(a, b, 63)]  # a band wider than a word is hashed from its parts
+        cuts = [(s, min(s + 63, edges[i + 1])) for s in range(edges[i], edges[i + 1], 63)]  # a band wider than a word is hashed from its parts
         keys.append(F.xxhash64(F.lit(i), *[band(w, s, e, total) for s, e in cuts]))
     return F.array(*keys)
 
 
+def against_all(queries: DataFrame, rows: DataFrame, key: str, blocks: int = 32) -> DataFrame:
+    """Each query row beside each row, as an equi-join over blocks of the rows: no side is broadcast, none is one task's."""
+    left = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    return left.join(right, "_block").drop("_block")
+
+
 def hash_pairs(df: DataFrame, key: str, hash_col: str, threshold: float, bits: int) -> DataFrame:
     """(a, b, similarity): classes of equal hashes, named by their smallest key, of similarity ``threshold`` or more; a < b.
 
@@ -58,8 +76,8 @@ def hash_pairs(df: DataFrame, key: str, hash_col: str, threshold: float, bits: i
     words = -(-bits // 64)
     both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
     found = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.words").alias("u"), F.col("y.words").alias("v"))
-    found = found.withColumn("similarity", B.similarity(B.unrolled_distance("u", "v", words), bits)).where(F.col("similarity") >= threshold)
-    return found.select("a", "b", "similarity").distinct()
+    value = B.similarity(B.unrolled_distance("u", "v", words), bits)
+    return found.select("a", "b", B.reaching(value, threshold).alias("similarity")).distinct()
 
 
 def hash_classes(df: DataFrame, key: str, hash_col: str, bits: int) -> DataFrame:
@@ -69,19 +87,24 @@ def hash_classes(df: DataFrame, key: str, hash_col: str, bits: int) -> DataFrame
     return usable.groupBy(text.alias("hash")).agg(F.min(key).alias("leader"))
 
 
-def kind_similarity(x: str, y: str, kind: str) -> Column:
-    """Similarity by one hash kind, null unless both sides have the hash in the same size."""
+def kind_similarity(x: str, y: str, kind: str, bits: int | None = None) -> Column:
+    """Similarity by one hash kind, null unless both sides have the hash in the same size; ``bits`` is that size if it is one."""
     a, b = F.col(f"{x}.{kind}_words"), F.col(f"{y}.{kind}_words")
+    if bits is not None:
+        return B.similarity(B.unrolled_distance(a, b, -(-bits // 64)), bits)
     return F.when(F.col(f"{x}.{kind}_bits") == F.col(f"{y}.{kind}_bits"), B.similarity(B.distance(a, b), F.col(f"{x}.{kind}_bits")))
 
 
-def image_similarity(x: str, y: str, hash_type: str = "combined") -> Column:
+def image_similarity(x: str, y: str, hash_type: str = "combined", bits: int | None = None) -> Column:
     """Mean similarity over the kinds both sides have; 0.0 with none, and for an unknown ``hash_type``."""
     kinds = HASH_KINDS if hash_type == "combined" else [hash_type] if hash_type in HASH_KINDS else []
     if not kinds:
         return F.lit(0.0)
-    parts = F.filter(F.array(*[kind_similarity(x, y, k) for k in kinds]), lambda s: s.isNotNull())
-    return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, p: s + p) / F.size(parts)).otherwise(F.lit(0.0))
+
+    def mean(parts: Column) -> Column:
+        return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, p: s + p) / F.size(parts)).otherwise(F.lit(0.0))
+
+    return B.let(F.filter(F.array(*[kind_similarity(x, y, k, bits) for k in kinds]), lambda s: s.isNotNull()), mean)
 
 
 def with_words(df: DataFrame, kinds: tuple[str, ...] = HASH_KINDS) -> DataFrame:
@@ -129,7 +152,8 @@ def image_pairs(df: DataFrame, threshold: float, hash_type: str = "combined") ->
     x, y = keyed.alias("x"), keyed.alias("y")
     candidates = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.path") < F.col("y.path"))).select(F.col("x.path").alias("src"), F.col("y.path").alias("dst")).distinct()
     both = candidates.join(classes.alias("p"), F.col("src") == F.col("p.path")).join(classes.alias("q"), F.col("dst") == F.col("q.path"))
-    return both.select("src", "dst", image_similarity("p", "q", hash_type).alias("similarity")).where(F.col("similarity") >= threshold)
+    value = image_similarity("p", "q", hash_type, sizes[0] if len(sizes) == 1 else None)
+    return both.select("src", "dst", B.reaching(value, threshold).alias("similarity"))
 
 
 def similarity_matrix(queries: DataFrame, rows: DataFrame, key: str, hash_col: str, bits: int) -> DataFrame:
@@ -140,7 +164,7 @@ def similarity_matrix(queries: DataFrame, rows: DataFrame, key: str, hash_col: s
     words = -(-bits // 64)
     left = queries.select(F.col(key).alias("a"), B.fixed_words(hash_col, bits).alias("u"))
     right = rows.select(F.col(key).alias("b"), B.fixed_words(hash_col, bits).alias("v"))
-    return left.join(right, F.lit(True)).select("a", "b", B.similarity(B.unrolled_distance("u", "v", words), bits).alias("similarity"))
+    return against_all(left, right, "b").select("a", "b", B.similarity(B.unrolled_distance("u", "v", words), bits).alias("similarity"))
 
 
 def hamming_rectangle(left: DataFrame, right: DataFrame, key_a: str, hash_a: str, key_b: str, hash_b: str) -> DataFrame:
@@ -157,7 +181,8 @@ def video_similarity(a: Column, b: Column, bits: int, compat: bool = False) -> C
     bits, by which any two videos are nearly equal.
     """
     measure = B.squared_similarity if compat else B.similarity
-    best = F.transform(a, lambda x: F.greatest(F.lit(0.0), F.array_max(F.transform(b, lambda y: measure(B.distance(x, y), bits)))))
+    words = -(-bits // 64)
+    best = F.transform(a, lambda x: F.greatest(F.lit(0.0), measure(F.array_min(F.transform(b, lambda y: B.unrolled_distance(x, y, words))), bits)))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(best, F.lit(0.0), lambda s, p: s + p) / F.size(a)).otherwise(F.lit(0.0))
 
 
@@ -177,27 +202,28 @@ def video_pairs(classes: DataFrame, threshold: float, bits: int = 256, compat: b
     """(src, dst, similarity): pairs of video classes, src < dst, whose similarity reaches the threshold.
 
     A strict mean reaches the threshold only if some frame of ``src`` has a frame of
-    ``dst`` that near, so frames are banded first; in ``compat`` mode nearly all
-    pairs pass and all are compared.  ``prefilter`` further asks that the first
+    ``dst`` that near, so frames are banded first where bands are wide enough to tell
+    (from 0.93 on for 256 bits); otherwise, and in ``compat`` mode where nearly all
+    pairs pass, all are compared, block by block.  ``prefilter`` further asks that the first
     frames have a similarity of max(0.5, threshold - 0.2), which changes results.
     ``queries`` limits src to some classes.
     """
-    left = (queries if queries is not None else classes).alias("p")
-    right = classes.alias("q")
+    left = (queries if queries is not None else classes).select(F.col("path").alias("src"), F.col("frames").alias("u"))
+    right = classes.select(F.col("path").alias("dst"), F.col("frames").alias("v"))
     most = -1 if compat else B.most_differing(threshold, bits)
-    if compat or most >= bits // 4:
-        both = left.join(right, F.col("p.path") < F.col("q.path"))
+    if compat or bits < 14 * (most + 1):
+        # narrower bands agree by chance in nearly every pair of videos
+        both = against_all(left, right, "dst").where("src < dst")
     else:
-        def keyed(df: DataFrame) -> DataFrame:
-            frames = df.select("path", F.explode(F.array_distinct("frames")).alias("f"))
-            return frames.select("path", F.explode(band_keys("f", bits, most)).alias("key")).distinct()
-
-        one = keyed(queries if queries is not None else classes).withColumnRenamed("path", "src")
-        two = keyed(classes).withColumnRenamed("path", "dst")
-        near = one.join(two, "key").where("src < dst").select("src", "dst").distinct()
-        both = near.join(left, F.col("src") == F.col("p.path")).join(right, F.col("dst") == F.col("q.path"))
+
+        def keyed(df: DataFrame, key: str, frames: str) -> DataFrame:
+            each = df.select(key, F.explode(F.array_distinct(frames)).alias("f"))
+            return each.select(key, F.explode(band_keys("f", bits, most)).alias("key")).distinct()
+
+        near = keyed(left, "src", "u").join(keyed(right, "dst", "v"), "key").where("src < dst").select("src", "dst").distinct()
+        both = near.join(left, "src").join(right, "dst")
     if prefilter:
-        first = B.similarity(B.distance(F.col("p.frames")[0], F.col("q.frames")[0]), bits)
+        first = B.similarity(B.distance(F.col("u")[0], F.col("v")[0]), bits)
         both = both.where(first >= max(0.5, threshold - 0.2))
-    value = video_similarity(F.col("p.frames"), F.col("q.frames"), bits, compat)
-    return both.select(F.col("p.path").alias("src"), F.col("q.path").alias("dst"), value.alias("similarity")).where(F.col("similarity") >= threshold)
+    value = video_similarity(F.col("u"), F.col("v"), bits, compat)
+    return both.select("src", "dst", B.reaching(value, threshold).alias("similarity"))

@@ -24,7 +24,8 @@ def watch_rows(spark: SparkSession, source: str, schema: str = IMAGE_ROW, files_
 
 def watch_images(spark: SparkSession, folder: str, target: str, checkpoint: str, hash_size: int = 16, glob: str = "*.{png,jpg,jpeg,gif,bmp}") -> StreamingQuery:
     """Append the image rows of new files under ``folder`` to the Parquet table ``target``, each file once."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     files = reader.load(folder).select(F.regexp_replace("path", "^file:/*(?=/)", "").alias("path"), "length")
 
     def write(batch: DataFrame, number: int) -> None:
