@@ -51,27 +51,29 @@ def assign_leaders(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, max_r
     schema = f"node {kind}, leader {kind}"
     if edges_at_most is not None and edges_at_most <= one_task_edges:
         return clean.coalesce(1).mapInPandas(run, schema)
-    left = work.save(clean, "edges-0")
+    every = left = work.save(clean, "edges-0")
     if left.count() <= one_task_edges:
         return left.coalesce(1).mapInPandas(run, schema)
-    assigned = []
+    found = []
     for turn in range(1, max_rounds):
         leaders = left.select(F.col("a").alias("node")).distinct().join(left.select(F.col("b").alias("node")), "node", "left_anti")
-        joined = left.join(leaders.select(F.col("node").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
-        joined = work.save(joined, f"joined-{turn}")
-        assigned.append(joined)
-        gone = joined.select("node").union(joined.select("leader")).distinct()
-        left = left.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti")
+        members = left.join(leaders.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        members = work.save(members, f"members-{turn}")
+        found.append(members)
+        # leaders keep edges to members only, so all edges of members go
+        left = left.join(members.select(F.col("node").alias("a")), "a", "left_anti").join(members.select(F.col("node").alias("b")), "b", "left_anti")
         left = work.save(left, f"edges-{turn}")
-        work.drop(f"edges-{turn - 1}")
+        if turn > 1:
+            work.drop(f"edges-{turn - 1}")
         if left.isEmpty():
             break
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
-    result = assigned[0]
-    for more in assigned[1:]:
-        result = result.unionByName(more)
-    return result
+    settled = found[0]
+    for more in found[1:]:
+        settled = settled.unionByName(more)
+    # a member may have become one before its earliest leader was known
+    return every.join(settled.select(F.col("node").alias("a")), "a", "left_anti").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
 
 
 def greedy_groups(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
