@@ -211,6 +211,30 @@ def grow_rule(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], keep: float)
     return rule
 
 
+def settle_rule(rule: list[Condition], x: np.ndarray, y: np.ndarray, names: tuple[str, ...]) -> list[Condition]:
+    """Each threshold anew, given the other conditions: the number of fewest decimals between the outermost positive and the first negative beyond it.
+
+    While a rule is grown most negatives beyond a cut also fail conditions yet to
+    come; once these are known, only a few bound the threshold.
+    """
+    for i, c in enumerate(rule):
+        inside = covers(rule[:i] + rule[i + 1 :], x, names)
+        values = x[inside, names.index(c.feature)]
+        labels = y[inside]
+        sign = 1.0 if c.op == ">=" else -1.0
+        held = sign * values[labels & (sign * values >= sign * c.value)]
+        if not len(held):
+            continue
+        edge = held.min()
+        beyond = sign * values[~labels & (sign * values < edge)]
+        if len(beyond):
+            # as numbers of the feature: the range between them, closed at the positive end
+            low, high = np.nextafter(beyond.max(), np.inf), edge
+            value = roundest(low, high) if sign > 0 else roundest(-high, np.nextafter(-low, -np.inf))
+            rule = [*rule[:i], Condition(c.feature, c.op, value), *rule[i + 1 :]]
+    return rule
+
+
 def covers(rule: list[Condition], x: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
     inside = np.ones(len(x), bool)
     for c in rule:
@@ -252,6 +276,7 @@ def induce_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = FEATURES
             inside = covers(rule, x[check], names)
             if (inside & y[check]).sum() * 2 < inside.sum():
                 break
+        rule = settle_rule(rule, x, y, names)
         inside = covers(rule, x, names)
         rules.append(rule)
         x, y, part = x[~inside], y[~inside], part[~inside]
