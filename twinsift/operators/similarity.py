@@ -194,11 +194,17 @@ def frame_words(hashes: Column | str, bits: int) -> Column:
 
 def video_classes(df: DataFrame, bits: int = 256) -> DataFrame:
     """(path, frames): one row per distinct sequence of usable frame hashes, by smallest path; rows without frames are left out."""
-    rows = df.where(F.col("path").isNotNull()).select("path", frame_words("frame_hashes", bits).alias("frames")).where("size(frames) > 0")
-    return rows.groupBy("frames").agg(F.min("path").alias("path"))
+    return video_sequences(df, bits).groupBy("frames").agg(F.min("path").alias("path"))
 
 
-def video_pairs(classes: DataFrame, threshold: float, bits: int = 256, compat: bool = False, prefilter: bool = False, queries: DataFrame | None = None) -> DataFrame:
+def video_sequences(df: DataFrame, bits: int = 256) -> DataFrame:
+    """(path, frames): the usable frame hashes of every row that has some."""
+    return df.where(F.col("path").isNotNull()).select("path", frame_words("frame_hashes", bits).alias("frames")).where("size(frames) > 0")
+
+
+def video_pairs(
+    classes: DataFrame, threshold: float, bits: int = 256, compat: bool = False, prefilter: bool = False, queries: DataFrame | None = None, directed: bool = False
+) -> DataFrame:
     """(src, dst, similarity): pairs of video classes, src < dst, whose similarity reaches the threshold.
 
     A strict mean reaches the threshold only if some frame of ``src`` has a frame of
@@ -206,21 +212,23 @@ def video_pairs(classes: DataFrame, threshold: float, bits: int = 256, compat: b
     (from 0.93 on for 256 bits); otherwise, and in ``compat`` mode where nearly all
     pairs pass, all are compared, block by block.  ``prefilter`` further asks that the first
     frames have a similarity of max(0.5, threshold - 0.2), which changes results.
-    ``queries`` limits src to some classes.
+    ``queries`` limits src to some classes.  ``directed`` compares src with every other
+    class, also of smaller path: the similarity of (b, a) is not that of (a, b).
     """
+    order = "src <> dst" if directed else "src < dst"
     left = (queries if queries is not None else classes).select(F.col("path").alias("src"), F.col("frames").alias("u"))
     right = classes.select(F.col("path").alias("dst"), F.col("frames").alias("v"))
     most = -1 if compat else B.most_differing(threshold, bits)
     if compat or bits < 14 * (most + 1):
         # narrower bands agree by chance in nearly every pair of videos
-        both = against_all(left, right, "dst").where("src < dst")
+        both = against_all(left, right, "dst").where(order)
     else:
 
         def keyed(df: DataFrame, key: str, frames: str) -> DataFrame:
             each = df.select(key, F.explode(F.array_distinct(frames)).alias("f"))
             return each.select(key, F.explode(band_keys("f", bits, most)).alias("key")).distinct()
 
-        near = keyed(left, "src", "u").join(keyed(right, "dst", "v"), "key").where("src < dst").select("src", "dst").distinct()
+        near = keyed(left, "src", "u").join(keyed(right, "dst", "v"), "key").where(order).select("src", "dst").distinct()
         both = near.join(left, "src").join(right, "dst")
     if prefilter:
         first = B.similarity(B.distance(F.col("u")[0], F.col("v")[0]), bits)

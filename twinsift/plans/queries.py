@@ -230,6 +230,41 @@ def video_prefilter_refine(spark: SparkSession, folder: str) -> DataFrame:
     return video_matches(spark, folder, 0.9965, True, True)
 
 
+def video_sequence_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """(frames, path, asked): distinct frame sequences by smallest id, and whether any of their ids is divisible by 20."""
+    rows = S.video_sequences(clean_videos(spark, folder).select(F.col("video_id").alias("path"), "frame_hashes"))
+    return rows.groupBy("frames").agg(F.min("path").alias("path"), F.max(F.col("path") % 20 == 0).alias("asked"))
+
+
+def video_query_matches(spark: SparkSession, folder: str, threshold: float, compat: bool, prefilter: bool) -> DataFrame:
+    """Every sequence held by a video whose id is divisible by 20, against all other sequences, of smaller id too.
+
+    :func:`video_class_members` has the videos of a sequence; those of one sequence have similarity 1 and no row here.
+    """
+    classes = video_sequence_classes(spark, folder)
+    pairs = S.video_pairs(classes, threshold, 256, compat, prefilter, classes.where("asked"), directed=True)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+def video_queries_strict(spark: SparkSession, folder: str) -> DataFrame:
+    return video_query_matches(spark, folder, 0.85, False, False)
+
+
+def video_queries_compat(spark: SparkSession, folder: str) -> DataFrame:
+    return video_query_matches(spark, folder, 0.9965, True, False)
+
+
+def video_queries_prefilter(spark: SparkSession, folder: str) -> DataFrame:
+    return video_query_matches(spark, folder, 0.9965, True, True)
+
+
+def video_class_members(spark: SparkSession, folder: str) -> DataFrame:
+    """(video_id, class_id): every video with usable frames, and the smallest id of its frame sequence."""
+    rows = S.video_sequences(clean_videos(spark, folder).select(F.col("video_id").alias("path"), "frame_hashes"))
+    classes = video_sequence_classes(spark, folder).select("frames", F.col("path").alias("class_id"))
+    return rows.join(classes, "frames").select(F.col("path").alias("video_id"), "class_id")
+
+
 def video_groups_strict(spark: SparkSession, folder: str) -> DataFrame:
     return video_groups(clean_videos(spark, folder), 0.85).withColumn("similarity", F.round("similarity", 6))
 
@@ -282,7 +317,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         hash_select_fallback, hex_roundtrip, median_hash_bits, ahash_bits, dhash_bits, whash_haar_bits, mosaic_phash_bits,
         exact_hash_groups, remaining_after_exact, near_pairs_phash, near_pairs_combined, near_groups_greedy, fast_groups_union,
         group_ranked_members, similarity_matrix, hamming_rectangular, frame_sampling, video_metadata, video_average_hash,
-        video_similarity_strict, video_similarity_compat, video_prefilter_refine, video_groups_strict, group_report,
+        video_similarity_strict, video_similarity_compat, video_prefilter_refine, video_groups_strict, video_queries_strict,
+        video_queries_compat, video_queries_prefilter, video_class_members, group_report,
         group_report_videos, group_savings, duplicate_totals, format_size, format_duration, resolution_label, similarity_percent,
     ]
     return {f.__name__: f for f in found}
