@@ -44,3 +44,15 @@ def test_every_query_id_meets_every_other_row(spark, tmp_path, name, threshold,
     assert (60, 3) in want
     got = core.queries()[name](spark, folder).collect()
     assert {(r["src"], r["dst"]): r["similarity"] for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("name, threshold, square", [("video_similarity_strict", 0.85, False), ("video_similarity_compat", 0.9965, True), ("video_prefilter_refine", 0.9965, True)])
+def test_long_videos_are_queries_and_partners(spark, tmp_path, name, threshold, square):
+    rng = random.Random(6)
+    a = [f"{rng.getrandbits(256):064x}" for _ in range(2)]
+    long = [flipped(rng, a[i % 2], 5) for i in range(1001)]
+    longer = [flipped(rng, a[i % 2], 5) for i in range(1200)]
+    folder = written(spark, tmp_path, {20: a, 40: long, 41: longer})
+    got = {(r["src"], r["dst"]): r["similarity"] for r in core.queries()[name](spark, folder).collect()}
+    want = {(20, 40): measure(a, long, square), (20, 41): measure(a, longer, square), (40, 41): measure(long, longer, square)}
+    assert min(want.values()) >= threshold and got == {k: round(v, 6) for k, v in want.items()}

@@ -213,7 +213,7 @@ def clean_videos(spark: SparkSession, folder: str) -> DataFrame:
 def video_matches(spark: SparkSession, folder: str, threshold: float, compat: bool, prefilter: bool) -> DataFrame:
     """Distinct frame sequences whose smallest id is divisible by 20, against all distinct sequences."""
     rows = clean_videos(spark, folder).select(F.col("video_id").alias("path"), "frame_hashes")
-    classes = S.video_classes(rows).where("size(frames) <= 1000")
+    classes = S.video_classes(rows)
     pairs = S.video_pairs(classes, threshold, 256, compat, prefilter, classes.where("path % 20 = 0"))
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
