@@ -12,6 +12,8 @@ Within a batch records count in the order of their ids: a record near an earlier
 accepted one of its own batch is a duplicate too (:mod:`twinsift.operators.grouping`).
 Clusters of accepted items that duplicates tie together are kept as a union-find
 mapping item -> representative, of which a batch rewrites the affected roots only.
+A duplicate ties all items near it that were accepted before it came, not only the
+one it is filed under; duplicates leave no keys, so items accepted later do not meet it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinsift.llm.components import component_roots
 from twinsift.llm.setjoin import overlap_reaches, witness_keys
 from twinsift.llm.shared import Workspace, usable_hash, usable_set
 from twinsift.operators.grouping import ONE_TASK_EDGES, assign_leaders
@@ -153,12 +156,16 @@ def agreement(x: Column, y: Column) -> Column:
 class History:
     """Accepted items of one medium; see :func:`deduplicate_batches` for the usual way in."""
 
-    def __init__(self, spark: SparkSession, medium: Medium, buckets: int | None = None) -> None:
-        self.spark, self.medium = spark, medium
+    def __init__(self, spark: SparkSession, medium: Medium, buckets: int | None = None, clusters: bool = False) -> None:
+        self.spark, self.medium, self.clusters = spark, medium, clusters
         self.work = Workspace(spark, f"history-{medium.name}")
         self.table = f"twinsift_keys_{medium.name}_{uuid.uuid4().hex}"
         self.buckets = max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.started = False
+        #: (item, root) of the accepted items tied so far, as of the last step; ids hold the batch above ``id_mask``
+        self.mapping = spark.createDataFrame([], "item long, root long")
+        self.mapping_name: str | None = None
+        self.id_mask = -1
         self.scores: tuple[list[float], list[float], list[float]] | None = None
         self.gap_edges: list[float] = [0.0, 8.0, 16.0] if medium.name == "image" else [0.0, 0.15, 0.3]
 
@@ -211,7 +218,7 @@ class History:
     def ingest(self, classes: DataFrame, name: str, last: bool = False) -> DataFrame:
         """Decide one batch: its classes with keeper (null where accepted) and score.
 
-        ``classes`` is (id, payload, format, bytes, copies) as of :func:`copy_classes`:
+        ``classes`` is (id, payload, format, bytes, copies, last) as of :func:`copy_classes`:
         copies within the batch are one item named by its smallest id.  The accepted
         items are added to the history unless this is the ``last`` batch.
         """
@@ -234,9 +241,44 @@ class History:
         decided = self.work.save(classes.join(hits.unionByName(inner), "id", "left"), f"decided/step={name}")
         if not last:
             self.append(decided.where("keeper is null").select("id", *self.medium.payload, "format", "bytes"))
+        if self.clusters:
+            self.tie(self.links(near, decided), decided, name)
         self.work.drop(f"near-{name}")
         return decided
 
+    def links(self, near: DataFrame, decided: DataFrame) -> DataFrame:
+        """(id, other): each duplicate class of a step with every item near it accepted before the last of its copies came."""
+        kept = decided.where("keeper is null").select("id")
+        mates = near.where("not old").select("id", "other")
+        before = mates.join(kept.select(F.col("id").alias("other")), "other", "left_semi").select("id", "other")
+        # accepted after the first copy of the class, which is a duplicate, and before the last
+        between = mates.join(kept, "id", "left_semi").select(F.col("other").alias("id"), F.col("id").alias("other"))
+        between = between.join(decided.where("keeper is not null").select("id", "last"), "id").where("other < last").select("id", "other")
+        return near.where("old").select("id", "other").unionByName(before).unionByName(between)
+
+    def tie(self, links: DataFrame, decided: DataFrame, name: str) -> None:
+        """Update the mapping by the links of a step: a duplicate ties its keeper to the other items near it."""
+        ties = links.join(decided.where("keeper is not null").select("id", "keeper"), "id").where("keeper <> other")
+        ties = self.work.save(ties.select(F.col("keeper").alias("a"), F.col("other").alias("b")).distinct(), f"ties-{name}")
+        if not ties.isEmpty():
+            last, self.mapping_name = self.mapping_name, f"clusters-{name}"
+            self.mapping = self.work.save(update_clusters(self.mapping, ties, earliest_roots), self.mapping_name)
+            if last:
+                self.work.drop(last)
+        self.work.drop(f"ties-{name}")
+
+    def members(self, decided: DataFrame) -> DataFrame:
+        """(record_id, cluster_id) of every duplicate and of every accepted item near one; a cluster is named by the item accepted first.
+
+        ``decided`` is what :func:`deduplicate_batches` returned.
+        """
+        plain = [F.col(c).bitwiseAND(F.lit(self.id_mask)).alias(c) for c in ("item", "root")]
+        roots = self.mapping.select(*plain)
+        filed = self.work.save(decided.where("keeper is not null").select(F.col("id").alias("record_id"), F.col("keeper").alias("item")), "filed")
+        heads = filed.select("item").unionByName(roots.select("item")).distinct()
+        rows = filed.unionByName(heads.select(F.col("item").alias("record_id"), "item"))
+        return rows.join(roots, "item", "left").select("record_id", F.coalesce("root", "item").alias("cluster_id"))
+
     def expand(self, items: DataFrame, decided: DataFrame) -> DataFrame:
         """(id, step, keeper, score) of every item: copies of a class follow its first one.
 
@@ -278,6 +320,12 @@ def update_clusters(mapping: DataFrame, links: DataFrame, components: Callable[[
     return every.join(merged, F.col("root") == F.col("old"), "left").select("item", F.coalesce("new", "root").alias("root")).distinct()
 
 
+def earliest_roots(edges: DataFrame) -> DataFrame:
+    """(node, root) of the edges (src, dst); the root is the smallest node of a component."""
+    found = component_roots(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return found.join(found.groupBy("root").agg(F.min("node").alias("first")), "root").select("node", F.col("first").alias("root"))
+
+
 def first_arrivals(df: DataFrame, id_col: str, payload: list[Column], fmt: Column, size: Column) -> DataFrame:
     """(id, batch_no, payload, format, bytes): one row per id, at its smallest batch; later rows of the id change nothing else."""
     names = [f"p{i}" for i in range(len(payload))]
@@ -289,9 +337,9 @@ def first_arrivals(df: DataFrame, id_col: str, payload: list[Column], fmt: Colum
 
 
 def copy_classes(items: DataFrame, payload: list[str]) -> DataFrame:
-    """Items with equal payload as one row per step: the smallest id, its fields and the number of copies."""
-    grouped = items.groupBy("step", *payload).agg(F.min(F.struct("id", "format", "bytes")).alias("m"), F.count("*").alias("copies"))
-    return grouped.select("m.*", *payload, "copies", "step")
+    """Items with equal payload as one row per step: the smallest id, its fields, the number of copies and the largest id."""
+    grouped = items.groupBy("step", *payload).agg(F.min(F.struct("id", "format", "bytes")).alias("m"), F.count("*").alias("copies"), F.max("id").alias("last"))
+    return grouped.select("m.*", *payload, "copies", "last", "step")
 
 
 def deduplicate_batches(history: History, arrivals: DataFrame, accepted: DataFrame | None, step_rows: int = STEP_ROWS) -> DataFrame:
@@ -313,6 +361,7 @@ def deduplicate_batches(history: History, arrivals: DataFrame, accepted: DataFra
     known_low, known_high = (accepted.agg(F.min("id"), F.max("id")).first() if accepted is not None else None) or (0, 0)
     # an item's place in the order of arrival as one number, where batch and id fit
     fits = min(low, known_low or 0, sizes[0][0]) >= 0 and max(high, known_high or 0) < 1 << ID_BITS and sizes[-1][0] < 1 << (62 - ID_BITS)
+    history.id_mask = (1 << ID_BITS) - 1 if fits else -1
     steps: list[list[int]] = []
     filled = step_rows
     for batch, count in sizes:
@@ -353,16 +402,18 @@ def common_codes(arrivals: DataFrame, least_share: float = 0.002, most: int = 50
     return [r[0] for r in rows.orderBy(F.desc("count"), "c").limit(most).collect()]
 
 
-def image_history(images: DataFrame, known: DataFrame, spark: SparkSession, reach: int = 25) -> DataFrame:
+def image_history(images: DataFrame, known: DataFrame, spark: SparkSession, reach: int = 25, clusters: bool = False) -> DataFrame:
     arrivals = first_arrivals(images, "image_id", [usable_hash("phash")], F.col("format"), F.col("file_size"))
     words = word_columns(F.col("p0"))
     arrivals = arrivals.where("p0 is not null").select("id", "batch_no", *words, "format", "bytes")
     seen = known.where("media = 'image'").select(F.col("known_id").cast("long").alias("id"), usable_hash("phash").alias("p0")).groupBy("id").agg(F.max("p0").alias("p0"))
     seen = seen.where("p0 is not null").select("id", *word_columns(F.col("p0")), F.lit(None).cast("string").alias("format"), F.lit(None).cast("long").alias("bytes"))
-    return deduplicate_batches(History(spark, image_medium(reach)), arrivals, seen)
+    history = History(spark, image_medium(reach), clusters=clusters)
+    decided = deduplicate_batches(history, arrivals, seen)
+    return history.members(decided) if clusters else decided
 
 
-def video_history(videos: DataFrame, known: DataFrame, spark: SparkSession, least: Fraction = Fraction(3, 5)) -> DataFrame:
+def video_history(videos: DataFrame, known: DataFrame, spark: SparkSession, least: Fraction = Fraction(3, 5), clusters: bool = False) -> DataFrame:
     def codes(column: str) -> Column:
         return F.array_sort(F.transform(usable_set(column), lambda x: F.xxhash64(x)))
 
@@ -373,7 +424,20 @@ def video_history(videos: DataFrame, known: DataFrame, spark: SparkSession, leas
     seen = seen.select("id", "codes", F.lit(None).cast("string").alias("format"), F.lit(None).cast("long").alias("bytes"))
     first = arrivals.agg(F.min("batch_no")).first()[0]
     hot = common_codes(arrivals.where(F.col("batch_no") == first).select("codes").unionByName(seen.select("codes"))) if first is not None else []
-    return deduplicate_batches(History(spark, video_medium(hot, least)), arrivals, seen)
+    history = History(spark, video_medium(hot, least), clusters=clusters)
+    decided = deduplicate_batches(history, arrivals, seen)
+    return history.members(decided) if clusters else decided
+
+
+def side_by_side(images: DataFrame, videos: DataFrame, known: DataFrame, clusters: bool = False) -> list[tuple[DataFrame, str]]:
+    """The result of both media, worked on at the same time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark = images.sparkSession
+    with ThreadPoolExecutor(2) as pool:
+        left = pool.submit(image_history, images, known, spark, clusters=clusters)
+        right = pool.submit(video_history, videos, known, spark, clusters=clusters)
+        return [(left.result(), "image"), (right.result(), "video")]
 
 
 def duplicates_of_history(images: DataFrame, videos: DataFrame, known: DataFrame) -> DataFrame:
@@ -384,12 +448,15 @@ def duplicates_of_history(images: DataFrame, videos: DataFrame, known: DataFrame
     neither accepted nor duplicates.  Equal or repeated rows count once; the two
     media are worked on side by side.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    spark = images.sparkSession
-    with ThreadPoolExecutor(2) as pool:
-        left = pool.submit(image_history, images, known, spark)
-        right = pool.submit(video_history, videos, known, spark)
-        parts = [(left.result(), "image"), (right.result(), "video")]
+    parts = side_by_side(images, videos, known)
     rows = [df.where("keeper is not null").select(F.lit(m).alias("media"), F.col("id").alias("record_id"), "keeper", "score") for df, m in parts]
     return rows[0].unionByName(rows[1])
+
+
+def clusters_of_history(images: DataFrame, videos: DataFrame, known: DataFrame) -> DataFrame:
+    """(media, record_id, cluster_id) of every duplicate as of :func:`duplicates_of_history` and of every accepted item near one.
+
+    The mapping of clusters is updated batch after batch, by all links of a duplicate to items accepted before it.
+    """
+    rows = [df.select(F.lit(m).alias("media"), "record_id", "cluster_id") for df, m in side_by_side(images, videos, known, clusters=True)]
+    return rows[0].unionByName(rows[1])

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm.components import component_roots, counting_edges, linked_groups
-from twinsift.llm.incremental import duplicates_of_history, update_clusters
+from twinsift.llm.components import counting_edges, linked_groups
+from twinsift.llm.incremental import clusters_of_history, duplicates_of_history
 from twinsift.llm.knn import neighbour_pairs, similar_vectors
 from twinsift.llm.leakage import leaked_items
 from twinsift.llm.packing import pack_texts
@@ -75,15 +75,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Every duplicate and keeper with the representative of its cluster."""
-    work = Workspace(spark, "p6-clusters")
-    links = work.save(p6_rows(spark, folder).select(F.col("record_id").alias("a"), F.col("keeper").alias("b")), "links")
-    empty = spark.createDataFrame([], "item long, root long")
-
-    def components(edges: DataFrame) -> DataFrame:
-        return component_roots(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-
-    return update_clusters(empty, links, components).select(F.col("item").alias("record_id"), F.col("root").alias("cluster_id"))
+    """Every duplicate and every accepted item near one, with the representative of its cluster."""
+    rows = clusters_of_history(*[table(spark, folder, t) for t in ("images", "videos", "known_media")])
+    return rows.select("record_id", "cluster_id")
 
 
 def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
