@@ -291,14 +291,41 @@ def rules_sql(rules: list[list[Condition]], positive: str = "prose", negative: s
     return f"CASE {arms} ELSE '{negative}' END"
 
 
-def learn_prose_rules(statistics: DataFrame, label: Column, sample: int = SAMPLE_DOCUMENTS) -> list[list[Condition]]:
-    """Rules for ``label`` from at most ``sample`` documents, taken by hash of the id whatever the size of the table."""
+def labelled_sample(statistics: DataFrame, label: Column, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most ``sample`` documents, taken by hash of the id whatever the size of the table."""
     filled = statistics.where("n_words > 0")
     # a hash range of about the sample's share comes first: else every task would offer a whole sample to the driver
     share = min(1.0, 1.2 * sample / max(1, filled.count()))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     picked = filled.where(rank < int(share * 1_000_000)).withColumn("label", label).orderBy(rank, "doc_id").limit(sample)
     rows = picked.select(*[F.col(f).cast("double") for f in FEATURES], "label").toPandas()
-    if not len(rows):
-        return []
-    return induce_rules(rows[list(FEATURES)].fillna(0.0).to_numpy(float), rows["label"].to_numpy(bool))
+    return rows[list(FEATURES)].fillna(0.0).to_numpy(float), rows["label"].to_numpy(bool)
+
+
+def learn_prose_rules(statistics: DataFrame, label: Column, sample: int = SAMPLE_DOCUMENTS) -> list[list[Condition]]:
+    """Rules for ``label`` from at most ``sample`` documents."""
+    x, y = labelled_sample(statistics, label, sample)
+    return induce_rules(x, y) if len(y) else []
+
+
+def complete_rules(statistics: DataFrame, label: Column, rules: list[list[Condition]], sample: int = SAMPLE_DOCUMENTS, rounds: int = 10) -> list[list[Condition]]:
+    """The rules and further ones for the documents of ``label`` that none covers, until all documents of ``label`` are covered.
+
+    A sample may lack the outermost documents.  Those left out are counted over the
+    whole table and learned against other documents.  No rules are returned if some
+    are still left out after ``rounds``, so that the caller goes by the definition.
+    """
+    for _ in range(rounds):
+        if not rules:
+            break
+        left = statistics.where(label & (F.expr(rules_sql(rules)) != "prose"))
+        if left.isEmpty():
+            return rules
+        x, y = labelled_sample(left, label, sample)
+        x2, y2 = labelled_sample(statistics.where(~label), label, sample)
+        x, y = np.concatenate([x, x2]), np.concatenate([y, y2])
+        rule = settle_rule(grow_rule(x, y, FEATURES, 1.0), x, y, FEATURES)
+        if not rule:
+            break
+        rules = [*rules, rule]
+    return []

@@ -12,7 +12,7 @@ from twinsift.llm.incremental import clusters_of_history, duplicates_of_history
 from twinsift.llm.knn import neighbour_pairs, similar_vectors
 from twinsift.llm.leakage import leaked_items
 from twinsift.llm.packing import pack_texts
-from twinsift.llm.quality import learn_prose_rules, prose_policy, rules_sql, text_statistics
+from twinsift.llm.quality import complete_rules, learn_prose_rules, prose_policy, rules_sql, text_statistics
 from twinsift.llm.setjoin import record_sets, similar_set_pairs, similar_set_summary
 from twinsift.llm.shared import Workspace
 from twinsift.llm.survivor import SURVIVORS, VOTES, surviving_values, survivors_by_group, unpivot_media
@@ -106,7 +106,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """
     work = Workspace(spark, "quality")
     rows = work.save(text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words")), "statistics")
-    rules = learn_prose_rules(rows, prose_policy())
+    rules = complete_rules(rows, prose_policy(), learn_prose_rules(rows, prose_policy()))
     # without a labelled example of prose nothing can be learned; the definition then stands alone
     chosen = rows.where(F.expr(rules_sql(rules)) == "prose") if rules else rows
     return chosen.where(prose_policy()).select("doc_id")
