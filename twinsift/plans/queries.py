@@ -117,6 +117,14 @@ def near_pairs_combined(spark: SparkSession, folder: str) -> DataFrame:
     return S.image_pairs(valid_images(spark, folder), 0.9)
 
 
+def image_class_members(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, class_path): every image and the class that near_pairs_combined knows it by, the smallest path equal to it in all four hashes."""
+    rows = valid_images(spark, folder).select("path", *HASH_KINDS).alias("r")
+    classes = S.image_classes(rows).alias("c")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in HASH_KINDS]
+    return rows.join(classes, same).select("r.path", F.col("c.path").alias("class_path"))
+
+
 def near_groups_greedy(spark: SparkSession, folder: str) -> DataFrame:
     """First-come groups by mean similarity, without the exact pass."""
     return near_image_groups(valid_images(spark, folder), 0.9)
@@ -315,7 +323,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         p4_found, p4_summary, scan_extension_filter, scan_exclusion_filter, scan_distinct_sorted, fingerprint_filter,
         hash_select_fallback, hex_roundtrip, median_hash_bits, ahash_bits, dhash_bits, whash_haar_bits, mosaic_phash_bits,
-        exact_hash_groups, remaining_after_exact, near_pairs_phash, near_pairs_combined, near_groups_greedy, fast_groups_union,
+        exact_hash_groups, remaining_after_exact, near_pairs_phash, near_pairs_combined, image_class_members, near_groups_greedy, fast_groups_union,
         group_ranked_members, similarity_matrix, hamming_rectangular, frame_sampling, video_metadata, video_average_hash,
         video_similarity_strict, video_similarity_compat, video_prefilter_refine, video_groups_strict, video_queries_strict,
         video_queries_compat, video_queries_prefilter, video_class_members, group_report,
