@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where that is unset (tests)."""
+    """spark.checkpoint.dir.  Where that is unset, a local folder per application if Spark runs on this machine alone (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="twinsift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _local.get(context.applicationId)
+        if folder is None:
+            folder = _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="twinsift-")
+            atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
     return folder.rstrip("/")
 
 
@@ -42,6 +52,10 @@ class Workspace:
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    def read_all(self, pattern: str, like: DataFrame) -> DataFrame:
+        """All tables whose names match, as one."""
+        return self.spark.read.schema(like.schema).parquet(self.path(pattern))
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
