@@ -6,6 +6,7 @@ groups of 16, so the first word may be short and leading zeros cost nothing.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,9 +73,10 @@ def squared_similarity(differing: Column, bits: Column | int) -> Column:
     return 1 - differing / (b * b)
 
 
-def most_differing(threshold: float, bits: int) -> int:
-    """The largest distance whose similarity reaches the threshold, by the double arithmetic of the comparison; -1 if none."""
-    return max((d for d in range(bits + 1) if 1 - d / bits >= threshold), default=-1)
+def most_differing(threshold: float, bits: int, single: bool = False) -> int:
+    """The largest distance whose similarity reaches the threshold, by the arithmetic of the comparison, double or ``single``; -1 if none."""
+    kind = np.float32 if single else float
+    return max((d for d in range(bits + 1) if kind(1 - d / bits) >= kind(threshold)), default=-1)
 
 
 def let(value: Column, body) -> Column:

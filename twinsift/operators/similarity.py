@@ -1,10 +1,9 @@
 """Similarity joins over hashes.
 
-Pairs of near hashes are found by banding: a pair that differs in at most k of its
-bits agrees in at least one of k + 1 disjoint bands, so an equi-join on (band, bits
-of the band) finds every pair without comparing all of them.  Candidates are
-verified with the similarity expression itself.  Rows of equal hashes are one class
-before the join; a hash held by a third of all rows is a single row of it.
+Pairs of near hashes come from :mod:`twinsift.operators.hamming`, which finds every
+pair within the distance that the threshold allows.  Rows of equal hashes are one
+value before the join, so a hash held by a third of all rows is a single row of it;
+rows are put back by joins in which a value of many rows is cut into blocks.
 """
 
 from __future__ import annotations
@@ -14,70 +13,42 @@ from pyspark.sql import functions as F
 
 from twinsift.constants import HASH_KINDS
 from twinsift.functions import bits as B
+from twinsift.operators import hamming as H
+from twinsift.plans.workspace import Workspace
 
+#: Rows of one value that meet the rows of another in one task.
+BLOCK_ROWS = 2_000
+#: Comparisons of one task where all pairs are compared.
+TASK_PAIRS = 4_000_000
 
-def band(words: Column, begin: int, end: int, total: int) -> Column:
-    """Bits begin..end (from the most significant of ``total``) of a word array, at most 63 of them, as one number."""
-    count = -(-total // 64)
-    pad = 64 * count - total
-    begin, end = begin + pad, end + pad
-    value: Column | None = None
-    for word in range(begin // 64, (end - 1) // 64 + 1):
-        a, b = max(begin, 64 * word), min(end, 64 * word + 64)
-        piece = F.shiftrightunsigned(words[word], 64 * word + 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("bigint"))
-        value = piece if value is None else F.shiftleft(value, b - a).bitwiseOR(piece)
-    return value
-
-
-def band_keys(words: Column | str, total: int, differing: int) -> Column:
-    """One key per band such that hashes of ``total`` bits that differ in ``differing`` bits or fewer share one."""
-    w = B.col(words)
-    bands = min(differing + 1, total)
-    if -(-total // bands) <= 64:
-        # a band lies in one word or two: one lambda over the bands, however many they are
-        pad = 64 * -(-total // 64) - total
-
-        def key(i: Column) -> Column:
-            begin, end = F.floor(i * total / bands).cast("int") + pad, F.floor((i + 1) * total / bands).cast("int") + pad
-            first, last = F.floor(begin / 64).cast("int"), F.floor((end - 1) / 64).cast("int")
-            upper = F.call_function("shiftleft", F.get(w, first), begin - first * 64)
-            lower = F.call_function("shiftrightunsigned", F.get(w, last), (last + 1) * 64 - end)
-            return F.xxhash64(i, F.when(first == last, F.call_function("shiftrightunsigned", upper, 64 - (end - begin))).otherwise(upper), F.when(first != last, lower))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)
-    edges = [total * i // bands for i in range(bands + 1)]
-    keys = []
-    for i in range(bands):
-        cuts = [(s, min(s + 63, edges[i + 1])) for s in range(edges[i], edges[i + 1], 63)]  # a band wider than a word is hashed from its parts
-        keys.append(F.xxhash64(F.lit(i), *[band(w, s, e, total) for s, e in cuts]))
-    return F.array(*keys)
-
-
-def against_all(queries: DataFrame, rows: DataFrame, key: str, blocks: int = 32) -> DataFrame:
-    """Each query row beside each row, as an equi-join over blocks of the rows: no side is broadcast, none is one task's."""
+
+def blocks_for(left: DataFrame, right: DataFrame) -> int:
+    """Blocks of the right side such that a task compares about TASK_PAIRS pairs."""
+    return max(left.sparkSession.sparkContext.defaultParallelism, -(-left.count() * right.count() // TASK_PAIRS))
+
+
+def against_all(queries: DataFrame, rows: DataFrame, key: str, same: str | None = None) -> DataFrame:
+    """Each query row beside each row (of equal column ``same``), as an equi-join over blocks of the rows: no side is broadcast, none is one task's."""
+    blocks = blocks_for(queries, rows)
     left = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    return left.join(right, "_block").drop("_block")
+    return left.join(right, ["_block", same] if same else ["_block"]).drop("_block")
 
 
-def hash_pairs(df: DataFrame, key: str, hash_col: str, threshold: float, bits: int) -> DataFrame:
+def hash_pairs(df: DataFrame, key: str, hash_col: str, threshold: float, bits: int, single: bool = False) -> DataFrame:
     """(a, b, similarity): classes of equal hashes, named by their smallest key, of similarity ``threshold`` or more; a < b.
 
     Null, empty and non-hex hashes and hashes of another size than ``bits`` have no
     pairs.  Every such pair is found; copies of one hash are not expanded (see
-    :func:`hash_classes`).
+    :func:`hash_classes`).  ``single`` compares in single precision.
     """
-    most = B.most_differing(threshold, bits)
-    classes = hash_classes(df, key, hash_col, bits).groupBy("hash").agg(F.min("leader").alias("node")).select("node", B.hex_words("hash").alias("words"))
+    most = B.most_differing(threshold, bits, single)
+    work = Workspace(df.sparkSession, "hash-pairs")
+    classes = hash_classes(df, key, hash_col, bits).select(F.col("leader").alias("node"), B.hex_words("hash").alias("words"))
     if most < 0:
         return classes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")).limit(0)
-    keyed = classes.select("node", "words", F.explode(F.array_distinct(band_keys("words", bits, most))).alias("key"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    words = -(-bits // 64)
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
-    found = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.words").alias("u"), F.col("y.words").alias("v"))
-    value = B.similarity(B.unrolled_distance("u", "v", words), bits)
-    return found.select("a", "b", B.reaching(value, threshold).alias("similarity")).distinct()
+    rows = work.save(classes.select("node", *H.word_columns("words", bits)), "classes")
+    return H.near_pairs(rows, bits, most, work).select("a", "b", B.similarity(F.col("distance"), bits).alias("similarity"))
 
 
 def hash_classes(df: DataFrame, key: str, hash_col: str, bits: int) -> DataFrame:
@@ -88,11 +59,17 @@ def hash_classes(df: DataFrame, key: str, hash_col: str, bits: int) -> DataFrame
 
 
 def kind_similarity(x: str, y: str, kind: str, bits: int | None = None) -> Column:
-    """Similarity by one hash kind, null unless both sides have the hash in the same size; ``bits`` is that size if it is one."""
-    a, b = F.col(f"{x}.{kind}_words"), F.col(f"{y}.{kind}_words")
+    """Similarity by one hash kind, null unless both sides have the hash in the same size.
+
+    ``bits`` is that size if it is one for all rows; the words are then columns of their
+    own, which keeps the code of a comparison small enough to be compiled.
+    """
     if bits is not None:
-        return B.similarity(B.unrolled_distance(a, b, -(-bits // 64)), bits)
-    return F.when(F.col(f"{x}.{kind}_bits") == F.col(f"{y}.{kind}_bits"), B.similarity(B.distance(a, b), F.col(f"{x}.{kind}_bits")))
+        total = F.lit(0)
+        for i in range(-(-bits // 64)):
+            total = total + F.bit_count(F.col(f"{x}.{kind}_w{i}").bitwiseXOR(F.col(f"{y}.{kind}_w{i}")))
+        return B.similarity(total, bits)
+    return F.when(F.col(f"{x}.{kind}_bits") == F.col(f"{y}.{kind}_bits"), B.similarity(B.distance(F.col(f"{x}.{kind}_words"), F.col(f"{y}.{kind}_words")), F.col(f"{x}.{kind}_bits")))
 
 
 def image_similarity(x: str, y: str, hash_type: str = "combined", bits: int | None = None) -> Column:
@@ -100,11 +77,12 @@ def image_similarity(x: str, y: str, hash_type: str = "combined", bits: int | No
     kinds = HASH_KINDS if hash_type == "combined" else [hash_type] if hash_type in HASH_KINDS else []
     if not kinds:
         return F.lit(0.0)
-
-    def mean(parts: Column) -> Column:
-        return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, p: s + p) / F.size(parts)).otherwise(F.lit(0.0))
-
-    return B.let(F.filter(F.array(*[kind_similarity(x, y, k, bits) for k in kinds]), lambda s: s.isNotNull()), mean)
+    # a kind that is missing adds nothing to the sum or the count
+    total, count = F.lit(0.0), F.lit(0)
+    for k in kinds:
+        total = total + F.coalesce(kind_similarity(x, y, k, bits), F.lit(0.0))
+        count = count + F.coalesce((F.col(f"{x}.{k}_bits") == F.col(f"{y}.{k}_bits")).cast("int"), F.lit(0))
+    return F.when(count > 0, total / count).otherwise(F.lit(0.0))
 
 
 def with_words(df: DataFrame, kinds: tuple[str, ...] = HASH_KINDS) -> DataFrame:
@@ -114,46 +92,57 @@ def with_words(df: DataFrame, kinds: tuple[str, ...] = HASH_KINDS) -> DataFrame:
     return df
 
 
-def tagged(kind: int, size: int):
-    """Band keys of one kind and size, made distinct from those of others."""
-
-    def tag(key: Column) -> Column:
-        return F.xxhash64(F.lit(kind), F.lit(size), key)
-
-    return tag
-
-
 def image_classes(df: DataFrame, kinds: tuple[str, ...] = HASH_KINDS) -> DataFrame:
     """One row per distinct fingerprint: the kinds, and the smallest path as ``path``."""
     return df.where(F.col("path").isNotNull()).groupBy(*kinds).agg(F.min("path").alias("path"))
 
 
-def image_pairs(df: DataFrame, threshold: float, hash_type: str = "combined") -> DataFrame:
+def image_pairs(df: DataFrame, threshold: float, hash_type: str = "combined", single: bool = False) -> DataFrame:
     """(src, dst, similarity): fingerprint classes (by smallest path) of image similarity ``threshold`` or more; src < dst.
 
-    Exact: a mean reaches the threshold only if one of its kinds does, so banding each
-    kind finds every pair.  Sizes of hashes may be mixed; only equal sizes compare.
-    A null hash is a kind the row lacks.  Threshold must be above 0.
+    Exact: a mean reaches the threshold only if one of its kinds does, so the near
+    pairs of distinct values of each kind, put back to their classes, hold every pair.
+    Sizes of hashes may be mixed; only equal sizes compare.  A null hash is a kind the
+    row lacks.  Threshold must be above 0.  ``single`` compares in single precision.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above 0")
     kinds = HASH_KINDS if hash_type == "combined" else (hash_type,) if hash_type in HASH_KINDS else ()
-    classes = with_words(image_classes(df))
-    if not kinds:
-        return classes.select(F.col("path").alias("src"), F.col("path").alias("dst"), F.lit(0.0).alias("similarity")).limit(0)
-    sizes = sorted({r[0] for k in kinds for r in classes.select(f"{k}_bits").distinct().collect() if r[0]})
-    keys = F.array().cast("array<bigint>")
-    for n, k in enumerate(kinds):
-        for size in sizes:
-            most = B.most_differing(threshold, size)
-            own = F.transform(band_keys(f"{k}_words", size, most), tagged(n, size))
-            keys = F.concat(keys, F.when(F.col(f"{k}_bits") == size, own).otherwise(F.array().cast("array<bigint>")))
-    keyed = classes.select("path", F.explode(F.array_distinct(keys)).alias("key"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    candidates = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.path") < F.col("y.path"))).select(F.col("x.path").alias("src"), F.col("y.path").alias("dst")).distinct()
-    both = candidates.join(classes.alias("p"), F.col("src") == F.col("p.path")).join(classes.alias("q"), F.col("dst") == F.col("q.path"))
-    value = image_similarity("p", "q", hash_type, sizes[0] if len(sizes) == 1 else None)
-    return both.select("src", "dst", B.reaching(value, threshold).alias("similarity"))
+    work = Workspace(df.sparkSession, "image-pairs")
+    classes = work.save(with_words(image_classes(df), kinds).select("path", *[f"{k}_{x}" for k in kinds for x in ("words", "bits")]), "classes")
+    result = classes.select(F.col("path").alias("src"), F.col("path").alias("dst"), F.lit(0.0).alias("similarity")).limit(0)
+    held = {k: sorted(r[0] for r in classes.select(f"{k}_bits").distinct().collect() if r[0]) for k in kinds}
+    sizes = {n for found in held.values() for n in found}
+    one = sizes.pop() if len(sizes) == 1 else None
+    value = image_similarity("p", "q", hash_type, one)
+    compared = [f"{k}_words" for k in kinds] if one is None else [F.col(f"{k}_words")[i].alias(f"{k}_w{i}") for k in kinds for i in range(-(-one // 64))]
+    reaches = value.cast("float") >= F.lit(threshold).cast("float") if single else value >= threshold
+    for k, size in [(k, n) for k in kinds for n in held[k]]:
+        most = B.most_differing(threshold, size, single)
+        if most < 0:
+            continue
+        rows = classes.where(F.col(f"{k}_bits") == size).select("path", F.col(f"{k}_words").alias("value"), *[f"{j}_bits" for j in kinds], *compared)
+        values = rows.groupBy("value").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count("*").alias("n"))
+        values = work.save(values.select(F.col("value").alias("node"), *H.word_columns("value", size), "blocks", "n"), f"{k}-{size}")
+        near = work.save(H.near_pairs(values, size, most, work, f"{k}-{size}").select("a", "b"), f"{k}-{size}-near")
+        same = values.where("n > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
+        result = result.unionByName(between_values(near.unionByName(same), values, rows, reaches, value))
+    return result.distinct()
+
+
+def between_values(near: DataFrame, values: DataFrame, rows: DataFrame, reaches: Column, value: Column) -> DataFrame:
+    """(src, dst, similarity) of the rows of near values (a, b): every row of one beside every row of the other, in blocks."""
+    sized = values.select("node", "blocks")
+    cut = near.join(sized.select(F.col("node").alias("a"), F.col("blocks").alias("m")), "a").join(sized.select(F.col("node").alias("b"), F.col("blocks").alias("n")), "b")
+    cut = cut.select("a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), "b", "n").select("a", "i", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    placed = rows.join(sized.withColumnRenamed("node", "value"), "value").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int")).drop("blocks")
+    left = cut.join(placed.withColumnRenamed("value", "a").withColumnRenamed("block", "i"), ["a", "i"]).alias("p")
+    # a block is at most some BLOCK_ROWS rows, so the tables of a partition are small
+    right = placed.hint("shuffle_hash").alias("q")
+    # rows of one value meet once, those of two values whatever their order
+    meet = (F.col("p.b") == F.col("q.value")) & (F.col("p.j") == F.col("q.block")) & ((F.col("p.a") != F.col("p.b")) | (F.col("p.path") < F.col("q.path")))
+    both = left.join(right, meet & reaches)
+    return both.select(F.least("p.path", "q.path").alias("src"), F.greatest("p.path", "q.path").alias("dst"), value.alias("similarity"))
 
 
 def similarity_matrix(queries: DataFrame, rows: DataFrame, key: str, hash_col: str, bits: int) -> DataFrame:
@@ -171,7 +160,7 @@ def hamming_rectangle(left: DataFrame, right: DataFrame, key_a: str, hash_a: str
     """(a, b, distance) of every pair of readable hashes of equal size."""
     u = left.select(F.col(key_a).alias("a"), B.hex_words(hash_a).alias("u"), B.hash_bits(hash_a).alias("n")).where("u is not null")
     v = right.select(F.col(key_b).alias("b"), B.hex_words(hash_b).alias("v"), B.hash_bits(hash_b).alias("m")).where("v is not null")
-    return u.join(v, F.col("n") == F.col("m")).select("a", "b", B.distance("u", "v").alias("distance"))
+    return against_all(u, v.withColumnRenamed("m", "n"), "b", "n").select("a", "b", B.distance("u", "v").alias("distance"))
 
 
 def video_similarity(a: Column, b: Column, bits: int, compat: bool = False) -> Column:
@@ -208,30 +197,42 @@ def video_pairs(
     """(src, dst, similarity): pairs of video classes, src < dst, whose similarity reaches the threshold.
 
     A strict mean reaches the threshold only if some frame of ``src`` has a frame of
-    ``dst`` that near, so frames are banded first where bands are wide enough to tell
-    (from 0.93 on for 256 bits); otherwise, and in ``compat`` mode where nearly all
-    pairs pass, all are compared, block by block.  ``prefilter`` further asks that the first
-    frames have a similarity of max(0.5, threshold - 0.2), which changes results.
-    ``queries`` limits src to some classes.  ``directed`` compares src with every other
-    class, also of smaller path: the similarity of (b, a) is not that of (a, b).
+    ``dst`` that near, so near pairs of distinct frames are found first and the videos
+    that hold them compared.  In ``compat`` mode nearly all pairs pass, and for very low
+    thresholds nearly all frames are near: there all pairs are compared, block by block.
+    ``prefilter`` further asks that the first frames have a similarity of
+    max(0.5, threshold - 0.2), which changes results.  ``queries`` limits src to some
+    classes.  ``directed`` compares src with every other class, also of smaller path: the
+    similarity of (b, a) is not that of (a, b).
     """
     order = "src <> dst" if directed else "src < dst"
-    left = (queries if queries is not None else classes).select(F.col("path").alias("src"), F.col("frames").alias("u"))
+    work = Workspace(classes.sparkSession, "video-pairs")
+    classes = work.save(classes.select("path", "frames"), "classes")
     right = classes.select(F.col("path").alias("dst"), F.col("frames").alias("v"))
+    left = right.select(F.col("dst").alias("src"), F.col("v").alias("u"))
+    if queries is not None:
+        left = work.save(queries.select(F.col("path").alias("src"), F.col("frames").alias("u")), "queries")
     most = -1 if compat else B.most_differing(threshold, bits)
-    if compat or bits < 14 * (most + 1):
-        # narrower bands agree by chance in nearly every pair of videos
+    if compat or most >= 0.25 * bits:
         both = against_all(left, right, "dst").where(order)
     else:
-
-        def keyed(df: DataFrame, key: str, frames: str) -> DataFrame:
-            each = df.select(key, F.explode(F.array_distinct(frames)).alias("f"))
-            return each.select(key, F.explode(band_keys("f", bits, most)).alias("key")).distinct()
-
-        near = keyed(left, "src", "u").join(keyed(right, "dst", "v"), "key").where(order).select("src", "dst").distinct()
+        near = near_frames(left, right, bits, most, order, work)
         both = near.join(left, "src").join(right, "dst")
     if prefilter:
         first = B.similarity(B.distance(F.col("u")[0], F.col("v")[0]), bits)
         both = both.where(first >= max(0.5, threshold - 0.2))
     value = video_similarity(F.col("u"), F.col("v"), bits, compat)
     return both.select("src", "dst", B.reaching(value, threshold).alias("similarity"))
+
+
+def near_frames(left: DataFrame, right: DataFrame, bits: int, most: int, order: str, work: Workspace) -> DataFrame:
+    """(src, dst): videos (src, u) and (dst, v) of which some frames differ in ``most`` bits or fewer."""
+    shots = work.save(right.select("dst", F.explode(F.array_distinct("v")).alias("b")), "shots")
+    asked = work.save(left.select("src", F.explode(F.array_distinct("u")).alias("a")), "asked-shots")
+
+    def frames(df: DataFrame, column: str) -> DataFrame:
+        return df.select(F.col(column).alias("node"), *H.word_columns(column, bits)).distinct()
+
+    rows, seekers = work.save(frames(shots, "b"), "frames"), work.save(frames(asked, "a"), "asked-frames")
+    near = work.save(H.near_pairs(rows, bits, most, work, "frames-near", probing=seekers).select("a", "b"), "near-frames")
+    return work.save(near.join(asked, "a").join(shots, "b").where(order).select("src", "dst").distinct(), "candidates")
