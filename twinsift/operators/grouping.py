@@ -30,13 +30,43 @@ def first_come(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": pd.Series(list(leader.keys()), dtype=edges["a"].dtype), "leader": pd.Series(list(leader.values()), dtype=edges["a"].dtype)})
 
 
-def assign_leaders(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, max_rounds: int = 10_000, edges_at_most: int | None = None) -> DataFrame:
+def decide(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, leads) of the nodes b whose part in the grouping follows from edges (a, b, leads) in the order of (b, a).
+
+    ``leads`` tells whether a is known to be a leader, or nothing where a is undecided.
+    A node with a leader before it is a member; one with members only before it, whose
+    edges have gone, or with nodes decided here, is a leader.  Only decisions are held.
+    """
+    known: dict = {}
+    node, waits, joins = None, False, False
+
+    def settle() -> None:
+        if node is not None and (joins or not waits):
+            known[node] = not joins
+
+    for batch in parts:
+        for a, b, leads in zip(batch["a"], batch["b"], batch["leads"]):
+            if b != node:
+                settle()
+                node, waits, joins = b, False, False
+            if leads is None or leads != leads:
+                leads = known.get(a)
+            if leads:
+                joins = True
+            elif leads is None:
+                waits = True
+    settle()
+    yield pd.DataFrame({"node": pd.Series(list(known.keys())), "leads": pd.Series(list(known.values()), dtype=object)})
+
+
+def assign_leaders(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, edges_at_most: int | None = None) -> DataFrame:
     """(node, leader) for every node that is not a leader itself.
 
     ``edges`` is (a, b); direction, repetition, loops and nulls do not matter.  No
-    edges give no rows.  Above ``one_task_edges`` the leaders are found in rounds:
-    undecided nodes without an earlier undecided neighbour become leaders, their
-    neighbours members, and the edges of both go; each round is a written table.
+    edges give no rows.  Above ``one_task_edges`` the leaders are found in rounds over
+    written tables.  Edges are cut into ranges of b of about ``one_task_edges``; a round
+    decides what follows inside each range, so it decides at least the first range
+    still open: chains of any length take no more rounds than there are ranges.
     ``edges_at_most`` is a bound the caller knows; it saves counting.
     """
     work = Workspace(edges.sparkSession, "grouping")
@@ -51,29 +81,32 @@ def assign_leaders(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, max_r
     schema = f"node {kind}, leader {kind}"
     if edges_at_most is not None and edges_at_most <= one_task_edges:
         return clean.coalesce(1).mapInPandas(run, schema)
-    every = left = work.save(clean, "edges-0")
-    if left.count() <= one_task_edges:
-        return left.coalesce(1).mapInPandas(run, schema)
-    found = []
-    for turn in range(1, max_rounds):
-        leaders = left.select(F.col("a").alias("node")).distinct().join(left.select(F.col("b").alias("node")), "node", "left_anti")
-        members = left.join(leaders.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
-        members = work.save(members, f"members-{turn}")
-        found.append(members)
-        # leaders keep edges to members only, so all edges of members go
-        left = left.join(members.select(F.col("node").alias("a")), "a", "left_anti").join(members.select(F.col("node").alias("b")), "b", "left_anti")
-        left = work.save(left, f"edges-{turn}")
-        if turn > 1:
-            work.drop(f"edges-{turn - 1}")
-        if left.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"no end after {max_rounds} rounds")
-    settled = found[0]
-    for more in found[1:]:
-        settled = settled.unionByName(more)
-    # a member may have become one before its earliest leader was known
-    return every.join(settled.select(F.col("node").alias("a")), "a", "left_anti").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
+    every = work.save(clean, "edges-0")
+    count = every.count()
+    if count <= one_task_edges:
+        return every.coalesce(1).mapInPandas(run, schema)
+    # nodes with no earlier neighbour lead
+    first = every.select(F.col("a").alias("node")).distinct().join(every.select(F.col("b").alias("node")), "node", "left_anti")
+    status = work.save(first.withColumn("leads", F.lit(True)), "decided-0")
+    left, turn = every, 0
+    while count:
+        turn += 1
+        ends = status.withColumnRenamed("node", "a")
+        marked = left.drop("leads").join(ends, "a", "left") if turn == 1 else left.join(ends.withColumnRenamed("leads", "now"), "a", "left").select("a", "b", F.coalesce("leads", "now").alias("leads"))
+        # members neither lead nor block
+        marked = work.save(marked.where("leads is null or leads"), f"marked-{turn}")
+        ranges = -(-count // max(1, one_task_edges))
+        # a node all of whose earlier neighbours are members has lost its edges: it leads
+        freed = left.select(F.col("b").alias("node")).distinct().join(marked.select(F.col("b").alias("node")), "node", "left_anti").withColumn("leads", F.lit(True))
+        ordered = marked.repartitionByRange(ranges, "b").sortWithinPartitions("b", "a")
+        status = work.save(ordered.mapInPandas(decide, f"node {kind}, leads boolean").unionByName(freed), f"decided-{turn}")
+        left = work.save(marked.join(status.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b", "leads"), f"edges-{turn}")
+        count = left.count()
+        work.drop(f"marked-{turn}", *([f"edges-{turn - 1}"] if turn > 1 else []))
+    decided = work.read_all("decided-*", status)
+    leaders = decided.where("leads").select(F.col("node").alias("a"))
+    members = decided.where("not leads").select(F.col("node").alias("b"))
+    return every.join(members, "b", "left_semi").join(leaders, "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
 
 
 def greedy_groups(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
