@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from twinsift.constants import HASH_KINDS, MATRIX_ROWS, PREFILTER_VIDEOS, PREPASS_ROWS
 from twinsift.functions import bits as B
 from twinsift.operators.grouping import greedy_groups
-from twinsift.operators.similarity import frame_words, image_classes, image_pairs, video_classes, video_pairs
+from twinsift.operators.similarity import image_pairs, video_classes, video_pairs, video_sequences
+from twinsift.operators.skew import join_heads
 from twinsift.plans.workspace import Workspace
 
 
@@ -17,9 +18,11 @@ def exact_groups(df: DataFrame) -> DataFrame:
 
     Bucketing is always by pHash, in the text given.  Rows without one are in no group.
     """
+    work = Workspace(df.sparkSession, "exact-groups")
     rows = df.where(F.col("phash").isNotNull() & (F.col("phash") != "")).select("path", "phash").distinct()
-    heads = rows.groupBy("phash").agg(F.min("path").alias("leader"), F.count("*").alias("n")).where("n > 1").select("phash", "leader")
-    return rows.join(heads, "phash").select("leader", "path", F.lit(1.0).alias("similarity"))
+    rows = work.save(rows, "rows")
+    heads = rows.groupBy("phash").agg(F.min("path").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    return join_heads(rows, work.save(heads, "heads"), "phash", "leader", "n", rows.count()).select("leader", "path", F.lit(1.0).alias("similarity"))
 
 
 def remaining_images(df: DataFrame) -> DataFrame:
@@ -29,7 +32,7 @@ def remaining_images(df: DataFrame) -> DataFrame:
     return df.join(shared, "phash", "left_anti")
 
 
-def near_image_groups(df: DataFrame, threshold: float, hash_type: str = "combined") -> DataFrame:
+def near_image_groups(df: DataFrame, threshold: float, hash_type: str = "combined", single: bool = False) -> DataFrame:
     """(leader, path, similarity): first-come groups of similar images in path order.
 
     Equal fingerprints are grouped as one and then take the similarity their class has; copies
@@ -37,20 +40,28 @@ def near_image_groups(df: DataFrame, threshold: float, hash_type: str = "combine
     """
     work = Workspace(df.sparkSession, "image-groups")
     df = work.save(df.select("path", *HASH_KINDS).distinct(), "rows")
-    groups = work.save(greedy_groups(work.save(image_pairs(df, threshold, hash_type), "pairs")), "groups")
-    reps = image_classes(df)
-    same = reps.select(*[F.col(k).alias(f"c_{k}") for k in HASH_KINDS], F.col("path").alias("class"))
-    on = [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in HASH_KINDS]
-    rows = df.join(same, on).select("path", "class", *HASH_KINDS)
-    kinds = HASH_KINDS if hash_type == "combined" else [hash_type]
-    comparable = F.exists(F.array(*[F.coalesce(B.is_hex(k), F.lit(False)) for k in kinds if k in HASH_KINDS]), lambda x: x)
-    rows = rows.where(comparable)
-    grouped = rows.join(groups.withColumnRenamed("path", "class"), "class").select("leader", "path", "similarity")
-    # classes of several paths that no pair touches are groups of their own
-    alone = rows.join(groups.select(F.col("path").alias("class")), "class", "left_anti")
-    many = alone.groupBy("class").count().where("count > 1").select("class")
-    copies = alone.join(many, "class").select(F.col("class").alias("leader"), "path", F.lit(1.0).alias("similarity"))
-    return grouped.unionByName(copies)
+    groups = work.save(greedy_groups(work.save(image_pairs(df, threshold, hash_type, single), "pairs")), "groups")
+    kinds = [k for k in HASH_KINDS if hash_type in (k, "combined")]
+    comparable = F.exists(F.array(F.lit(False), *[F.coalesce(B.is_hex(k), F.lit(False)) for k in kinds]), lambda x: x)
+    rows = class_members(df.where(comparable), work, df.count())
+    return with_copies(groups, rows, work)
+
+
+def class_members(df: DataFrame, work: Workspace, total: int) -> DataFrame:
+    """(path, class, copies): the class of each path of (path, hash kinds), its smallest path, and the paths of the class."""
+    keyed = df.where(F.col("path").isNotNull()).select("path", F.struct(*HASH_KINDS).alias("print"))
+    heads = work.save(keyed.groupBy("print").agg(F.struct(F.min("path").alias("class"), F.count("*").alias("copies")).alias("head"), F.count("*").alias("n")), "class-heads")
+    return join_heads(keyed, heads, "print", "head", "n", total).select("path", "head.class", "head.copies")
+
+
+def with_copies(groups: DataFrame, rows: DataFrame, work: Workspace) -> DataFrame:
+    """(leader, path, similarity) of all rows (path, class, copies) from groups of classes; classes of several paths in no group are groups of their own."""
+    placed = work.save(groups.select(F.col("path").alias("class"), F.struct("leader", "similarity").alias("place")), "placed")
+    several = rows.where("copies > 1").join(placed.select("class"), "class", "left_anti").select(F.col("class").alias("leader"), "path", F.lit(1.0).alias("similarity"))
+    # one row per class: the copies of a large class are not one task's
+    sized = placed.join(rows.groupBy("class").agg(F.count("*").alias("n")), "class")
+    grouped = join_heads(rows.select("path", "class"), sized, "class", "place", "n", rows.count())
+    return grouped.select("place.leader", "path", "place.similarity").unionByName(several)
 
 
 def image_groups(df: DataFrame, threshold: float = 0.9, hash_type: str = "combined", mode: str = "strict", accelerated: bool = True) -> DataFrame:
@@ -70,7 +81,8 @@ def image_groups(df: DataFrame, threshold: float = 0.9, hash_type: str = "combin
     rest = remaining_images(rows)
     if mode == "compat" and accelerated and rest.limit(MATRIX_ROWS + 1).count() > MATRIX_ROWS:
         single = rest.select("path", B.chosen_hash(hash_type).alias("phash"), *[F.lit(None).cast("string").alias(k) for k in HASH_KINDS[1:]])
-        near = near_image_groups(single, threshold, "phash")
+        # the dense matrix holds single-precision values
+        near = near_image_groups(single, threshold, "phash", single=True)
     else:
         near = near_image_groups(rest, threshold, hash_type)
     return exact.withColumn("phase", F.lit(0)).unionByName(near.withColumn("phase", F.lit(1))).select("phase", "leader", "path", "similarity")
@@ -84,11 +96,15 @@ def video_groups(df: DataFrame, threshold: float = 0.85, mode: str = "strict", a
     prefilter = compat and accelerated and df.limit(PREFILTER_VIDEOS + 1).count() > PREFILTER_VIDEOS
     pairs = work.save(video_pairs(classes, threshold, bits, compat, prefilter), "pairs")
     groups = work.save(greedy_groups(pairs), "groups")
-    rows = df.select("path", frame_words("frame_hashes", bits).alias("frames")).distinct().join(classes.withColumnRenamed("path", "class"), "frames")
-    grouped = rows.join(groups.withColumnRenamed("path", "class"), "class").select("leader", "path", "similarity")
-    alone = rows.join(groups.select(F.col("path").alias("class")), "class", "left_anti")
-    many = alone.groupBy("class").count().where("count > 1").select("class")
-    return grouped.unionByName(alone.join(many, "class").select(F.col("class").alias("leader"), "path", F.lit(1.0).alias("similarity")))
+    rows = sequence_members(df, bits, work)
+    return with_copies(groups, rows, work)
+
+
+def sequence_members(df: DataFrame, bits: int, work: Workspace) -> DataFrame:
+    """(path, class, copies): the class of each video with usable frames, the smallest path of its frame sequence, and the paths of the class."""
+    keyed = work.save(video_sequences(df, bits).distinct(), "sequences")
+    heads = keyed.groupBy("frames").agg(F.struct(F.min("path").alias("class"), F.count("*").alias("copies")).alias("head"), F.count("*").alias("n"))
+    return join_heads(keyed, work.save(heads, "sequence-heads"), "frames", "head", "n", keyed.count()).select("path", "head.class", "head.copies")
 
 
 def numbered_groups(groups: DataFrame, infos: DataFrame, by_size: bool = True) -> DataFrame:
@@ -101,8 +117,9 @@ def numbered_groups(groups: DataFrame, infos: DataFrame, by_size: bool = True) -
     phase = F.col("phase") if "phase" in groups.columns else F.lit(0)
     keyed = groups.withColumn("phase", phase)
     heads = keyed.select("phase", "leader").distinct()
-    # numbering needs one order over all groups: range partitions are counted, then numbered inside
-    ordered = heads.repartitionByRange("phase", "leader").withColumn("part", F.spark_partition_id())
+    # numbering needs one order over all groups: range partitions are counted, then numbered inside; written once, so both see the same partitions
+    work = Workspace(groups.sparkSession, "group-numbers")
+    ordered = work.save(heads.repartitionByRange("phase", "leader").withColumn("part", F.spark_partition_id()), "ordered")
     counts = ordered.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("part").orderBy("phase", "leader"))
     numbers = ordered.withColumn("inside", inside).join(F.broadcast(counts.select("part", "before")), "part").select("phase", "leader", (F.col("inside") + F.col("before")).cast("int").alias("group_id"))

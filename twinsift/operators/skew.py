@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinsift.plans.workspace import Workspace
+
 
 def compress(df: DataFrame, keys: list[str], value: Column, name: str = "value") -> DataFrame:
     """(keys, value, weight): each distinct value of each key with its number of rows."""
@@ -34,6 +36,18 @@ def top_record(df: DataFrame, keys: list[str], id_col: str, size: Column, least:
     return tops.where(F.col("records") >= least)
 
 
+def join_heads(rows: DataFrame, heads: DataFrame, key: str, value: str, count: str, total: int) -> DataFrame:
+    """Rows (key, ...) with the ``value`` of their key's head (key, value, count); rows without a head are left out.
+
+    Keys with more than a thousandth of the ``total`` rows are joined by broadcast, so
+    none of them fills a task; there are fewer than a thousand of these.
+    """
+    large = heads.where(F.col(count) > max(10_000, total // 1_000))
+    marked = rows.join(F.broadcast(large.select(key, F.col(value).alias("_large"), F.lit(True).alias("_hot"))), key, "left")
+    rest = marked.where("_hot is null").drop("_large", "_hot").join(heads.where(F.col(count) <= max(10_000, total // 1_000)).select(key, value), key)
+    return rest.unionByName(marked.where("_hot").withColumnRenamed("_large", value).drop("_hot"))
+
+
 def weighted_summary(weighted: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys, records, n_values, mode, mode_weight) of weighted values; a null value is a value of no distinct count, as in SQL.
 
@@ -55,24 +69,24 @@ def weighted_percentiles(weighted: DataFrame, keys: list[str], shares: list[floa
     Each pass looks at ``digit_bits`` more bits of the values: it sums the weights
     per (key, leading bits), a table of at most 2 ** digit_bits rows per key, and
     keeps for each key and share the bin that holds the wanted rank.  A key of any
-    size is thus never sorted as a whole.
+    size is thus never sorted as a whole.  Each pass reads the values left in the bins
+    that are still open, so all passes together shuffle little more than the first.
     """
     known = weighted.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("v"), "weight")
     wanted = known.groupBy(*keys).agg(F.sum("weight").alias("total"))
     target = F.greatest(F.lit(1), F.ceil(F.round(F.col("total") * F.col("share"), 6)))
     open_ = wanted.select("*", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")).select(*keys, "share", target.alias("rank"), F.lit(None).cast("long").alias("bin"))
-    rows = known
-    shift = 64
+    work = Workspace(weighted.sparkSession, "percentiles")
+    rows, shift = known, 64
     while shift > 0:
         last, shift = shift, max(0, shift - digit_bits)
-        cut = F.shiftright("v", shift)
-        if last == 64:
-            binned = rows.groupBy(*keys, cut.alias("bin")).agg(F.sum("weight").alias("w"))
-            held = open_.drop("bin").join(binned, keys)
-        else:
-            binned = rows.groupBy(*keys, F.shiftright("v", last).alias("up"), cut.alias("bin")).agg(F.sum("weight").alias("w"))
-            held = open_.withColumnRenamed("bin", "up").join(binned, [*keys, "up"]).drop("up")
+        binned = rows.groupBy(*keys, *([] if last == 64 else ["up"]), F.shiftright("v", shift).alias("bin")).agg(F.sum("weight").alias("w"))
+        sums = open_.drop("bin").join(binned, keys) if last == 64 else open_.withColumnRenamed("bin", "up").join(binned, [*keys, "up"]).drop("up")
         below = F.sum("w").over(Window.partitionBy(*keys, "share").orderBy("bin"))
-        open_ = held.withColumn("below", below).where((F.col("below") >= F.col("rank")) & (F.col("below") - F.col("w") < F.col("rank")))
-        open_ = open_.select(*keys, "share", (F.col("rank") - (F.col("below") - F.col("w"))).alias("rank"), "bin")
+        chosen = sums.withColumn("below", below).where((F.col("below") >= F.col("rank")) & (F.col("below") - F.col("w") < F.col("rank")))
+        open_ = work.save(chosen.select(*keys, "share", (F.col("rank") - (F.col("below") - F.col("w"))).alias("rank"), "bin"), f"open-{shift}")
+        if shift:
+            # what lies outside the open bins is never read again
+            kept = rows.withColumn("up", F.shiftright("v", shift)).join(open_.select(*keys, F.col("bin").alias("up")).distinct(), [*keys, "up"], "left_semi")
+            rows = work.save(kept, f"rows-{shift}")
     return open_.select(*keys, "share", F.col("bin").alias(value))
