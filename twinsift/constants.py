@@ -1,12 +1,14 @@
 """Extension lists, excluded folder tokens and defaults that results depend on."""
 
 # fixed values
-IMAGE_EXTENSIONS = (
-    ".jpg .jpeg .png .gif .bmp .tiff .tif .webp .heic .heif .ico .svg .raw .cr2 .nef .arw .dng .orf .rw2 .pef .srw"
-).split()
-VIDEO_EXTENSIONS = (
-    ".mp4 .avi .mkv .mov .wmv .flv .webm .m4v .mpeg .mpg .3gp .ogv .ts .mts .m2ts .vob .divx .xvid .asf .rm .rmvb"
-).split()
+IMAGE_EXTENSIONS = [
+    ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".heic", ".heif", ".ico",
+    ".svg", ".raw", ".cr2", ".nef", ".arw", ".dng", ".orf", ".rw2", ".pef", ".srw",
+]
+VIDEO_EXTENSIONS = [
+    ".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".mpeg", ".mpg", ".3gp",
+    ".ogv", ".ts", ".mts", ".m2ts", ".vob", ".divx", ".xvid", ".asf", ".rm", ".rmvb",
+]
 EXCLUDED_FOLDERS = [
     "$recycle.bin", "$recycle", "recycler", "recycled", "system volume information", "windows", "appdata",
     ".trash", ".trashes", ".spotlight-v100", ".fseventsd", ".ds_store", "lost+found", "trash",

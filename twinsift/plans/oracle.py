@@ -97,11 +97,11 @@ FRAMES = f"""{VIDEO}, clean AS (SELECT video_id, path, list_filter(list_transfor
 sequences AS MATERIALIZED (SELECT min(video_id) AS path, f FROM clean WHERE len(f) > 0 GROUP BY f)"""
 
 
-def video_pairs(divisor: str, threshold: float, prefilter: bool, queries: str = "x.path % 20 = 0", key: str = "path") -> str:
+def video_pairs(divisor: str, threshold: float, prefilter: bool, queries: str = "x.path % 20 = 0", table: str = "sequences", order: str = "<") -> str:
     best = f"list_max(list_transform(y.f, lambda b: greatest(0.0, 1 - {differ('a', 'b')} / {divisor}::DOUBLE)))"
     mean = f"list_sum(list_transform(x.f, lambda a: {best})) / len(x.f)"
     first = f" AND 1 - {differ('x.f[1]', 'y.f[1]')} / 256.0 >= {max(0.5, threshold - 0.2)}" if prefilter else ""
-    return f"SELECT x.{key} AS src, y.{key} AS dst, {mean} AS similarity FROM sequences x JOIN sequences y ON x.{key} < y.{key} WHERE {queries}{first} AND {mean} >= {threshold}"
+    return f"SELECT x.path AS src, y.path AS dst, {mean} AS similarity FROM {table} x JOIN {table} y ON x.path {order} y.path WHERE {queries}{first} AND {mean} >= {threshold}"
 
 
 SIZE = "CASE " + " ".join(f"WHEN file_size / {1024**p}::DOUBLE < 1024 THEN printf('%.2f {u}', file_size / {1024**p}::DOUBLE)" for p, u in enumerate(("B", "KB", "MB", "GB"))) + f" ELSE printf('%.2f TB', file_size / {1024**4}::DOUBLE) END"
@@ -138,7 +138,7 @@ SQL = {
     "scan_distinct_sorted": f"WITH {PATHS} SELECT DISTINCT path FROM paths WHERE path IS NOT NULL ORDER BY path",
     "fingerprint_filter": f"WITH {IMAGE}, {VIDEO} SELECT path FROM image_rows WHERE phash <> '' UNION ALL SELECT path FROM video_rows WHERE len(frame_hashes) > 0",
     "hash_select_fallback": f"WITH {IMAGE} SELECT path, {', '.join(by_kind(k) for k in (*KINDS, 'combined'))} FROM image_rows",
-    "hex_roundtrip": f"WITH {VALID} SELECT path, 4 AS words, bit_count(from_hex(phash)::BLOB::BIT) AS ones FROM valid",
+    "hex_roundtrip": f"WITH {VALID} SELECT path, phash AS back, {', '.join(f"(CASE WHEN phash[{16 * i + 1}] >= '8' THEN ('0x' || phash[{16 * i + 1}:{16 * i + 16}])::HUGEINT - 18446744073709551616::HUGEINT ELSE ('0x' || phash[{16 * i + 1}:{16 * i + 16}])::HUGEINT END)::BIGINT AS w{i}" for i in range(4))} FROM valid",
     "median_hash_bits": f"WITH {CODES} SELECT vec_id, h FROM codes",
     "ahash_bits": f"WITH {GRID} {hex_text('list_transform(p, lambda x: x > round(list_sum(p) / 64, 9))', 16)}",
     "dhash_bits": f"WITH {GRID} {hex_text('list_transform(list_filter(range(64), lambda i: i % 8 <> 0), lambda i: p[i + 1] > p[i])', 14)}",
@@ -178,13 +178,21 @@ SQL = {
     "video_similarity_strict": f"WITH {FRAMES} SELECT src, dst, round(similarity, 6) AS similarity FROM ({video_pairs('256', 0.85, False)})",
     "video_similarity_compat": f"WITH {FRAMES} SELECT src, dst, round(similarity, 6) AS similarity FROM ({video_pairs('65536', 0.9965, False)})",
     "video_prefilter_refine": f"WITH {FRAMES} SELECT src, dst, round(similarity, 6) AS similarity FROM ({video_pairs('65536', 0.9965, True)})",
+    **{
+        name: f"WITH {FRAMES}, asked AS MATERIALIZED (SELECT min(video_id) AS path, bool_or(video_id % 20 = 0) AS asked, f FROM clean WHERE len(f) > 0 GROUP BY f) SELECT src, dst, round(similarity, 6) AS similarity FROM ({video_pairs(*how, 'x.asked', 'asked', '<>')})"
+        for name, how in {"video_queries_strict": ("256", 0.85, False), "video_queries_compat": ("65536", 0.9965, False), "video_queries_prefilter": ("65536", 0.9965, True)}.items()
+    },
+    "video_class_members": f"WITH {FRAMES} SELECT video_id, sequences.path AS class_id FROM clean JOIN sequences USING (f)",
+    "image_class_members": f"WITH {VALID} SELECT path, min(path) OVER (PARTITION BY {', '.join(KINDS)}) AS class_path FROM valid",
+    "video_groups_strict": f"""WITH RECURSIVE {FRAMES}, held_rows AS MATERIALIZED (SELECT path, f FROM clean WHERE len(f) > 0), by_path AS MATERIALIZED (SELECT min(path) AS path, f FROM held_rows GROUP BY f),
+        pairs AS MATERIALIZED ({video_pairs('256', 0.85, False, 'true', 'by_path')}), {near_groups('held_rows', 'by_path', 'pairs', ('f',))} SELECT leader, path, round(similarity, 6) AS similarity FROM near""",
     "group_report": f"""WITH {IMAGE}, {GROUPS} SELECT {MEMBER}, CASE WHEN format IS NULL OR format = '' THEN 'Unknown' ELSE format END AS format
         FROM groups JOIN image_rows USING (path) WHERE media = 'image'""",
     "group_report_videos": f"WITH {VIDEO}, {GROUPS} SELECT {MEMBER}, {DURATION} AS duration FROM groups JOIN video_rows USING (path) WHERE media = 'video'",
     "group_savings": f"WITH {INFOS}, {GROUPS}, {SAVED} SELECT * FROM saved",
     "duplicate_totals": f"WITH {INFOS}, {GROUPS}, {SAVED} SELECT count(*) AS total_groups, coalesce(sum(members - 1), 0)::BIGINT AS total_duplicates, coalesce(sum(savings), 0)::BIGINT AS potential_savings_bytes FROM saved",
     "format_size": f"WITH {INFOS} SELECT DISTINCT file_size, {SIZE} AS size FROM infos WHERE file_size IS NOT NULL",
-    "format_duration": f"WITH {VIDEO} SELECT video_id, {DURATION} AS text FROM video_rows WHERE duration >= 0 AND isfinite(duration)",
+    "format_duration": f"WITH {VIDEO} SELECT video_id, {DURATION} AS text FROM video_rows",
     "resolution_label": f"WITH {IMAGE} SELECT image_id, width::VARCHAR || 'x' || height::VARCHAR AS resolution FROM image_rows",
     "similarity_percent": f"SELECT DISTINCT similarity, {PERCENT} AS text FROM match_edges WHERE similarity IS NOT NULL AND NOT isnan(similarity)",
 }

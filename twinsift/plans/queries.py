@@ -14,8 +14,9 @@ from twinsift.functions import frames as V
 from twinsift.functions.paths import has_extension, is_excluded
 from twinsift.operators import report as R
 from twinsift.operators import similarity as S
-from twinsift.operators.groups import exact_groups, image_groups, near_image_groups, numbered_groups, remaining_images, video_groups
+from twinsift.operators.groups import class_members, exact_groups, image_groups, near_image_groups, numbered_groups, remaining_images, sequence_members, video_groups
 from twinsift.operators.skew import compress, top_record, weighted_percentiles, weighted_summary
+from twinsift.plans.workspace import Workspace
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,7 +42,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Rows, distinct sizes, the commonest size, and size percentiles of each hash."""
     keys = ["media", "hash_key"]
-    weighted = compress(hash_rows(spark, folder), keys, F.col("file_size"))
+    weighted = Workspace(spark, "summary").save(compress(hash_rows(spark, folder), keys, F.col("file_size")), "weighted")
     middle = weighted_percentiles(weighted, keys, [0.5, 0.9])
     ranks = middle.groupBy(*keys).agg(F.max(F.when(F.col("share") == 0.5, F.col("value"))).alias("p50"), F.max(F.when(F.col("share") == 0.9, F.col("value"))).alias("p90"))
     return weighted_summary(weighted, keys).join(ranks, keys, "left").select(*keys, "records", "n_values", "mode", "mode_weight", "p50", "p90")
@@ -94,10 +95,10 @@ def hash_select_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hex_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Hash bits counted from the packed words."""
-    words = B.hex_words("phash")
-    ones = F.aggregate(words, F.lit(0), lambda s, w: s + F.bit_count(w))
-    return valid_images(spark, folder).select("path", F.size(words).alias("words"), ones.alias("ones"))
+    """Each pHash as packed words, and the text made of these words again."""
+    rows = valid_images(spark, folder).select("path", B.hex_words("phash").alias("w"))
+    back = F.concat(*[F.lpad(F.lower(F.hex(F.col("w")[i])), 16, "0") for i in range(4)])
+    return rows.select("path", back.alias("back"), *[F.col("w")[i].alias(f"w{i}") for i in range(4)])
 
 
 def exact_hash_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,10 +120,9 @@ def near_pairs_combined(spark: SparkSession, folder: str) -> DataFrame:
 
 def image_class_members(spark: SparkSession, folder: str) -> DataFrame:
     """(path, class_path): every image and the class that near_pairs_combined knows it by, the smallest path equal to it in all four hashes."""
-    rows = valid_images(spark, folder).select("path", *HASH_KINDS).alias("r")
-    classes = S.image_classes(rows).alias("c")
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in HASH_KINDS]
-    return rows.join(classes, same).select("r.path", F.col("c.path").alias("class_path"))
+    work = Workspace(spark, "image-members")
+    rows = work.save(valid_images(spark, folder).select("path", *HASH_KINDS), "rows")
+    return class_members(rows, work, rows.count()).select("path", F.col("class").alias("class_path"))
 
 
 def near_groups_greedy(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,9 +268,8 @@ def video_queries_prefilter(spark: SparkSession, folder: str) -> DataFrame:
 
 def video_class_members(spark: SparkSession, folder: str) -> DataFrame:
     """(video_id, class_id): every video with usable frames, and the smallest id of its frame sequence."""
-    rows = S.video_sequences(clean_videos(spark, folder).select(F.col("video_id").alias("path"), "frame_hashes"))
-    classes = video_sequence_classes(spark, folder).select("frames", F.col("path").alias("class_id"))
-    return rows.join(classes, "frames").select(F.col("path").alias("video_id"), "class_id")
+    rows = clean_videos(spark, folder).select(F.col("video_id").alias("path"), "frame_hashes")
+    return sequence_members(rows, 256, Workspace(spark, "video-members")).select(F.col("path").alias("video_id"), F.col("class").alias("class_id"))
 
 
 def video_groups_strict(spark: SparkSession, folder: str) -> DataFrame:
@@ -307,8 +306,7 @@ def format_size(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def format_duration(spark: SparkSession, folder: str) -> DataFrame:
-    usable_ = video_rows(spark, folder).where("duration >= 0 and not isnan(duration) and duration < double('infinity')")
-    return usable_.select("video_id", T.duration_text("duration").alias("text"))
+    return video_rows(spark, folder).select("video_id", T.duration_text("duration").alias("text"))
 
 
 def resolution_label(spark: SparkSession, folder: str) -> DataFrame:
