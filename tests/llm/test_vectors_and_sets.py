@@ -41,7 +41,7 @@ def direct(rows, k, reach):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [40, 40_000])
+@pytest.mark.parametrize("shard_rows", [40, 20_000])
 def test_neighbours_reach_the_recall_asked_for(spark, shard_rows):
     rng = random.Random(1)
     rows = vectors(rng, 600)
@@ -65,21 +65,63 @@ def test_copies_take_the_smallest_ids_and_empty_input_gives_nothing(spark):
     assert knn.similar_vectors(df.where("id = 1"), "id", ["p", "d", "a"]).count() == 0
 
 
-def test_graph_finds_pairs_in_one_shard():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**63, (800, 12)).astype(np.uint64)
+def planted(rng, n, apart=40, words=12):
+    """Random vectors, each with a near copy at the next position."""
+    base = rng.integers(0, 2**63, (n, words)).astype(np.uint64)
     near = base.copy()
-    for i in range(len(near)):
-        for b in rng.choice(768, 40, replace=False):
+    for i in range(n):
+        for b in rng.choice(64 * words, apart, replace=False):
             near[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    rows = np.concatenate([base, near])
-    left, right, span = near_pairs(rows, np.arange(len(rows)), 76)
+    return np.stack([base, near], axis=1).reshape(2 * n, words)
+
+
+@pytest.mark.parametrize("ids", ["shuffled", "in the order of the vectors"])
+def test_the_walk_alone_finds_pairs_in_one_shard(ids):
+    rng = np.random.default_rng(2)
+    rows = planted(rng, 3000)
+    keys = rng.permutation(len(rows)) if ids == "shuffled" else np.arange(len(rows))
+    left, right, span = near_pairs(rows, keys, 76, close_partners=False)
     found = {(min(a, b), max(a, b)) for a, b in zip(left.tolist(), right.tolist())}
-    assert len(found & {(i, i + 800) for i in range(800)}) >= 0.95 * 800
+    assert len(found & {(2 * i, 2 * i + 1) for i in range(3000)}) >= 0.97 * 3000
     assert (span == distances(rows, left, rows, right)).all()
     assert [len(x) for x in near_pairs(rows[:1], np.arange(1), 76)] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("k", [5, 20, 60])
+def test_the_graph_honours_k(k):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**63, (12, 12)).astype(np.uint64)
+    rows = np.repeat(centres, 100, axis=0)
+    for i in range(len(rows)):
+        for b in rng.choice(768, 30, replace=False):
+            rows[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    left, right, span = near_pairs(rows, np.arange(len(rows)), 76, k)
+    got = knn.best_per_node(np.arange(len(rows)), left, right, span, k)
+    i, j = np.triu_indices(len(rows), 1)
+    d = distances(rows, i, rows, j)
+    want = knn.best_per_node(np.arange(len(rows)), i[d <= 76], j[d <= 76], d[d <= 76], k)
+    rows_of = lambda x: set(map(tuple, x.to_numpy().tolist()))
+    assert len(rows_of(got) & rows_of(want)) >= 0.95 * len(want)
+
+
+def test_oversized_shards_are_routed_again_and_cut_without_loss(spark):
+    rng = random.Random(5)
+    # a third of all vectors are near one centre, so routing bits do not tell them apart
+    centre = [f"{rng.getrandbits(256):064x}" for _ in range(3)]
+    rows = [(i, *[flip(rng, h, rng.randrange(4, 10)) for h in centre]) for i in range(200)]
+    rows += [(1000 + i, *[f"{rng.getrandbits(256):064x}" for _ in range(3)]) for i in range(400)]
+    rows += [(5000 + r[0], *[flip(rng, h, 2) for h in r[1:]]) for r in rows[200:400]]
+    df = spark.createDataFrame(rows, "image_id long, p string, d string, a string")
+    got = {tuple(r) for r in knn.similar_vectors(df, "image_id", ["p", "d", "a"], shard_rows=12).collect()}
+    want = direct(rows, 5, 76)
+    assert len(got & want) >= 0.9 * len(want)
+    work = knn.Workspace(spark, "route")
+    classes = work.save(df.select(knn.F.col("image_id").alias("node"), knn.F.unhex(knn.F.concat("p", "d", "a")).alias("vec")), "classes")
+    routed, _ = knn.route(classes, work, len(rows), 76, [(0, 256), (256, 512), (512, 768)], 12, 0.97)
+    assert routed.groupBy("shard").count().agg({"count": "max"}).first()[0] <= 3 * 12 + 12
+    assert routed.select("node").distinct().count() == len(rows)
+
+
 def test_more_shards_get_more_tables():
     one, many = knn.plan_tables(40_000, 76, 768, 40_000, 0.92), knn.plan_tables(400_000_000, 76, 768, 40_000, 0.92)
     assert one == (0, 1) and many[0] == 13 and many[1] > 8

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsift.llm.components import counting_edges, linked_groups
@@ -14,8 +14,9 @@ from twinsift.llm.leakage import leaked_items
 from twinsift.llm.packing import pack_texts
 from twinsift.llm.quality import complete_rules, learn_prose_rules, prose_policy, rules_sql, text_statistics
 from twinsift.llm.setjoin import record_sets, similar_set_pairs, similar_set_summary
-from twinsift.llm.shared import Workspace
+from twinsift.llm.shared import Workspace, usable_hash
 from twinsift.llm.survivor import SURVIVORS, VOTES, surviving_values, survivors_by_group, unpivot_media
+from twinsift.operators.similarity import against_all
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +33,26 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return similar_vectors(table(spark, folder, "images"), "image_id", ["phash", "dhash", "ahash"])
 
 
+def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """(asked, neighbours, reached): brute force for the records whose id is divisible by 20, against all; whether the graphs find 0.9 of their neighbours."""
+    work = Workspace(spark, "recall")
+    hashes = ["phash", "dhash", "ahash"]
+    images = table(spark, folder, "images").where("image_id is not null")
+    records = images.groupBy(F.col("image_id").alias("id")).agg(*[F.max(usable_hash(h)).alias(h) for h in hashes]).dropna()
+    words = [F.conv(F.substring(h, 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"w{j}_{i}") for j, h in enumerate(hashes) for i in range(4)]
+    rows = work.save(records.select("id", *words), "records")
+    names = [c for c in rows.columns if c != "id"]
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("a"), *[F.col(c).alias(f"a{c}") for c in names])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a{c}"))) for c in names[1:]), F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"a{names[0]}"))))
+    close = against_all(asked, rows, "id").where((F.col("id") != F.col("a")) & (apart <= 76)).select("a", "id", apart.alias("d"))
+    best = close.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "id"))).where("r <= 5")
+    found = p1_neighbours(spark, folder).select(F.col("id").alias("a"), F.col("neighbour").alias("id"), F.lit(1).alias("hit"))
+    told = best.join(found, ["a", "id"], "left").select(F.lit(0).alias("asked"), F.lit(1).alias("neighbour"), F.coalesce("hit", F.lit(0)).alias("hit"))
+    parts = asked.select(F.lit(1).alias("asked"), F.lit(0).alias("neighbour"), F.lit(0).alias("hit")).unionByName(told)
+    sums = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("asked", "neighbour", "hit")])
+    return sums.select("asked", F.col("neighbour").alias("neighbours"), (F.col("hit") * 10 >= F.col("neighbour") * 9).alias("reached"))
+
+
 def video_sets(spark: SparkSession, folder: str) -> DataFrame:
     videos = table(spark, folder, "videos").select(F.col("video_id").alias("id"), "frame_hashes")
     known = table(spark, folder, "known_media").select(F.col("known_id").alias("id"), "frame_hashes")
@@ -114,7 +135,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        p1_found, p1_neighbours, p2_found, p2_classes, p3_found, p3_golden, p5_found, p6_found, p6_clusters,
+        p1_found, p1_neighbours, p1_recall, p2_found, p2_classes, p3_found, p3_golden, p5_found, p6_found, p6_clusters,
         p7_packing, p8_found, p8_report, p9_statistics, p9_found,
     ]
     return {f.__name__: f for f in found}
@@ -153,7 +174,13 @@ counts AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w,
 
 
 def oracle_sql() -> dict[str, str]:
+    apart = " + ".join(f"bit_count(xor(from_hex(x.{h})::BLOB::BIT, from_hex(y.{h})::BLOB::BIT))" for h in ("phash", "dhash", "ahash"))
+    usable = ", ".join(f"max(lower(trim({h}, ' '))) FILTER (regexp_full_match(lower(trim({h}, ' ')), '[0-9a-f]{{64}}')) AS {h}" for h in ("phash", "dhash", "ahash"))
     return {
+        "p1_recall": f"""WITH r AS MATERIALIZED (SELECT * FROM (SELECT image_id AS id, {usable} FROM images WHERE image_id IS NOT NULL GROUP BY image_id) WHERE phash IS NOT NULL AND dhash IS NOT NULL AND ahash IS NOT NULL),
+            near AS (SELECT x.id AS a, y.id, {apart} AS d FROM r x JOIN r y ON x.id <> y.id WHERE x.id % 20 = 0 AND {apart} <= 76),
+            best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, id) <= 5)
+            SELECT (SELECT count(*) FROM r WHERE id % 20 = 0) AS asked, (SELECT count(*) FROM best) AS neighbours, true AS reached""",
         "p2_found": f"WITH {SETS} SELECT id_a, id_b FROM pairs",
         "p2_classes": f"""WITH {SETS},
             class AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM (SELECT id, list_sort(list(h)) AS s FROM sets GROUP BY id)),
