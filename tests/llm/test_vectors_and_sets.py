@@ -41,7 +41,7 @@ def direct(rows, k, reach):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [40, 20_000])
+@pytest.mark.parametrize("shard_rows", [40, 8_000])
 def test_neighbours_reach_the_recall_asked_for(spark, shard_rows):
     rng = random.Random(1)
     rows = vectors(rng, 600)
