@@ -117,7 +117,7 @@ def test_oversized_shards_are_routed_again_and_cut_without_loss(spark):
     assert len(got & want) >= 0.9 * len(want)
     work = knn.Workspace(spark, "route")
     classes = work.save(df.select(knn.F.col("image_id").alias("node"), knn.F.unhex(knn.F.concat("p", "d", "a")).alias("vec")), "classes")
-    routed, _ = knn.route(classes, work, len(rows), 76, [(0, 256), (256, 512), (512, 768)], 12, 0.97)
+    routed, _, _ = knn.route(classes, work, len(rows), 76, [(0, 256), (256, 512), (512, 768)], 12, 0.97)
     assert routed.groupBy("shard").count().agg({"count": "max"}).first()[0] <= 3 * 12 + 12
     assert routed.select("node").distinct().count() == len(rows)
 
@@ -177,3 +177,34 @@ def test_a_third_of_equal_sets_stays_one_class(spark):
     assert pairs.count() == 0 and members.count() == 900
     assert members.select("node").distinct().count() == 601
     assert similar_set_pairs(record_sets(df.where("id < 0"), "id", "f")).count() == 0
+
+
+def test_two_frames_in_a_tenth_of_the_records_make_no_cell_of_them(spark, monkeypatch):
+    import twinsift.llm.setjoin as module
+
+    rng = random.Random(6)
+    hot = hashes(rng, 2)
+    sets = {i: set(hashes(rng, 1 + i % 9)) | (set(hot) if i % 10 == 0 else set(hashes(rng, 2))) for i in range(1500)}
+    sets |= {5000 + i: sets[i] | set(hashes(rng, 1)) for i in range(0, 1500, 50)}
+    df = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id long, f array<string>")
+    seen = []
+    real = module.witness_rows
+
+    def spy(*args):
+        rows = real(*args)
+        seen.append(rows.groupBy("key").count().agg({"count": "max"}).first()[0])
+        return rows
+
+    monkeypatch.setattr(module, "witness_rows", spy)
+    pairs = {tuple(r) for r in similar_set_pairs(record_sets(df, "id", "f")).collect()}
+    assert pairs == jaccard(sets) and pairs and max(seen) < 50
+
+
+def test_homes_and_visitors_of_a_cell(spark):
+    rng = random.Random(7)
+    base = hashes(rng, 12)
+    extra = hashes(rng, 40)
+    # everything from copies with one element changed to sets at the edge of the threshold
+    sets = {i: (set(base) - set(rng.sample(base, rng.randrange(4)))) | set(rng.sample(extra, rng.randrange(5))) for i in range(120)}
+    df = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id long, f array<string>")
+    assert {tuple(r) for r in similar_set_pairs(record_sets(df, "id", "f")).collect()} == jaccard(sets)
