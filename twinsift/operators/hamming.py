@@ -100,18 +100,23 @@ def plan_parts(bits: int, differing: int, stored: int, probing: int) -> tuple[Pa
     return best[1]
 
 
-def bit_range(words: list[Column], begin: int, end: int, bits: int) -> Column:
-    """Bits begin..end (from the most significant of ``bits``) of 64-bit words, at most 63 of them, as one number."""
-    pad = 64 * len(words) - bits
+def bit_range(begin: int, end: int, bits: int) -> str:
+    """Bits begin..end (from the most significant of ``bits``) of the word columns, at most 63 of them, as one number, in SQL."""
+    pad = -bits % 64
     begin, end = begin + pad, end + pad
-    value: Column | None = None
+    value = ""
     for word in range(begin // 64, (end - 1) // 64 + 1):
         a, b = max(begin, 64 * word), min(end, 64 * word + 64)
-        piece = F.shiftrightunsigned(words[word], 64 * word + 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("bigint"))
-        value = piece if value is None else F.shiftleft(value, b - a).bitwiseOR(piece)
+        piece = f"(shiftrightunsigned(w{word}, {64 * word + 64 - b}) & {(1 << (b - a)) - 1}L)"
+        value = f"(shiftleft({value}, {b - a}) | {piece})" if value else piece
     return value
 
 
+def bit_ranges(cuts: list[tuple[int, int]], bits: int) -> Column:
+    """Numbers of several bit ranges as an array.  One text: a call per operation would cost more than the work on a small batch."""
+    return F.expr("array(" + ", ".join(bit_range(a, b, bits) for a, b in cuts) + ")")
+
+
 def word_names(bits: int) -> list[str]:
     return [f"w{i}" for i in range(-(-bits // 64))]
 
@@ -124,11 +129,7 @@ def word_columns(words: Column | str, bits: int) -> list[Column]:
 
 def distance(x: str, y: str, bits: int) -> Column:
     """Differing bits of the word columns of two aliased tables."""
-    names = word_names(bits)
-    total = F.bit_count(F.col(f"{x}.{names[0]}").bitwiseXOR(F.col(f"{y}.{names[0]}")))
-    for n in names[1:]:
-        total = total + F.bit_count(F.col(f"{x}.{n}").bitwiseXOR(F.col(f"{y}.{n}")))
-    return total
+    return F.expr(" + ".join(f"bit_count({x}.{n} ^ {y}.{n})" for n in word_names(bits)))
 
 
 def numbers(values: list[list[int]], kind: str) -> Column:
@@ -144,9 +145,7 @@ def flips(part: Part) -> list[int]:
 
 def keyed(rows: DataFrame, parts: tuple[Part, ...], bits: int, probing: bool) -> DataFrame:
     """The rows once per key: (..., part, key).  Rows have the word columns of ``bits``."""
-    names = word_names(bits)
-    words = [F.col(n) for n in names]
-    values = F.array(*[bit_range(words, p.begin, p.end, bits) for p in parts])
+    values = bit_ranges([(p.begin, p.end) for p in parts], bits)
     out = rows.select("*", F.posexplode(values).alias("part", "_value"))
     value = F.col("_value")
     if probing and any(p.reach for p in parts):
@@ -172,11 +171,10 @@ def refine_hot(rows: DataFrame, hot: DataFrame, parts: tuple[Part, ...], bits: i
     grid, outside = other_bands(parts, bits, differing)
     # with too few bits outside a part its key cannot be refined without losing pairs
     outside = [o if len(o) > differing else [-1] for o in outside]
-    words = [F.col(n) for n in word_names(bits)]
     out = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "key", "left")
     bands = F.when(F.col("_hot"), F.element_at(numbers(outside, ""), F.col("part") + 1)).otherwise(F.array(F.lit(-1)))
     out = out.withColumn("_band", F.explode(bands))
-    value = F.element_at(F.array(*[bit_range(words, a, b, bits) for a, b in grid]), F.col("_band") + 1)
+    value = F.element_at(bit_ranges(grid, bits), F.col("_band") + 1)
     return out.withColumn("key", F.when(F.col("_band") >= 0, F.xxhash64("key", "_band", value)).otherwise(F.col("key"))).drop("_hot", "_band")
 
 

@@ -67,16 +67,16 @@ PAIRS = f"""pairs AS MATERIALIZED (SELECT * FROM (SELECT x.path AS src, y.path A
   FROM classes x JOIN classes y ON x.path < y.path) WHERE similarity >= 0.9)"""
 
 
-def greedy(pairs: str) -> str:
-    """(node, leader) by first come: nodes in order, one per step of the recursion."""
+def greedy(pairs: str, mark: str = "") -> str:
+    """(node, leader) by first come: nodes in order, one per step of the recursion.  ``mark`` ends the names of the tables, the last of them joined."""
     return f"""
-nodes AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS n FROM (SELECT src AS node FROM {pairs} UNION SELECT dst FROM {pairs})),
-back AS MATERIALIZED (SELECT d.n AS n, list_sort(list(s.n)) AS earlier FROM {pairs} p JOIN nodes s ON s.node = p.src JOIN nodes d ON d.node = p.dst GROUP BY d.n),
-steps AS MATERIALIZED (SELECT nodes.n, coalesce(earlier, []) AS earlier FROM nodes LEFT JOIN back USING (n)),
-walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS leaders, NULL::BIGINT AS joined
+nodes{mark} AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS n FROM (SELECT src AS node FROM {pairs} UNION SELECT dst FROM {pairs})),
+back{mark} AS MATERIALIZED (SELECT d.n AS n, list_sort(list(s.n)) AS earlier FROM {pairs} p JOIN nodes{mark} s ON s.node = p.src JOIN nodes{mark} d ON d.node = p.dst GROUP BY d.n),
+steps{mark} AS MATERIALIZED (SELECT nodes{mark}.n, coalesce(earlier, []) AS earlier FROM nodes{mark} LEFT JOIN back{mark} USING (n)),
+walk{mark} AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS leaders, NULL::BIGINT AS joined
   UNION ALL SELECT s.n, CASE WHEN len(list_intersect(s.earlier, w.leaders)) = 0 THEN list_append(w.leaders, s.n) ELSE w.leaders END, list_min(list_intersect(s.earlier, w.leaders))
-  FROM walk w JOIN steps s ON s.n = w.n + 1),
-joined AS MATERIALIZED (SELECT a.node AS node, b.node AS leader FROM walk JOIN nodes a ON a.n = walk.n JOIN nodes b ON b.n = walk.joined)"""
+  FROM walk{mark} w JOIN steps{mark} s ON s.n = w.n + 1),
+joined{mark} AS MATERIALIZED (SELECT a.node AS node, b.node AS leader FROM walk{mark} w JOIN nodes{mark} a ON a.n = w.n JOIN nodes{mark} b ON b.n = w.joined)"""
 
 
 def near_groups(rows: str, classes: str, pairs: str, kinds: tuple[str, ...]) -> str:

@@ -34,9 +34,10 @@ class Workspace:
     the stages before them, since the files live outside the executors.
     """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None) -> None:
+        """A new folder for a run, or the folder ``root`` of something that is kept."""
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = root.rstrip("/") if root else f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -56,7 +57,32 @@ class Workspace:
         """All tables whose names match, as one."""
         return self.spark.read.schema(like.schema).parquet(self.path(pattern))
 
+    def file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            system, path = self.file(name)
+            system.delete(path, True)
+
+    def write_text(self, name: str, text: str) -> None:
+        """A small text in place of what was there, whole or not at all."""
+        system, path = self.file(name)
+        _, fresh = self.file(f"{name}.new")
+        out = system.create(fresh, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        system.delete(path, False)
+        system.rename(fresh, path)
+
+    def read_text(self, name: str) -> str:
+        system, path = self.file(name)
+        if not system.exists(path):
+            # between the two moves of writing
+            _, path = self.file(f"{name}.new")
+        data = system.open(path)
+        try:
+            return bytes(data.readAllBytes()).decode()
+        finally:
+            data.close()
