@@ -206,7 +206,8 @@ def scan(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
             cq, ci, cs = q[owns], item[owns], score[owns]
             if not len(cq):
                 continue
-            owner, step = spread(np.maximum(0, t[cq] - h[cq] - length + 1))
+            # later beginnings of short runs belong to the next query
+            owner, step = spread(np.clip(t[cq] - h[cq] - length + 1, 0, QUERY - RUN + 1))
             place = h[cq][owner] + step
             value = bytescan.range_hashes(code, place, place + length)
             lo, hi = np.searchsorted(run_hash, value), np.searchsorted(run_hash, value, side="right")
