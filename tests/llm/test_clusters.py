@@ -47,13 +47,9 @@ def clusters(spark, images, videos=(), known=()):
     return [tuple(r) for r in rows]
 
 
-def by_steps(monkeypatch, step_rows):
-    monkeypatch.setattr(inc, "deduplicate_batches", lambda h, a, k, f=inc.deduplicate_batches: f(h, a, k, step_rows))
-
-
-@pytest.mark.parametrize("step_rows", [1, 60_000])
-def test_a_duplicate_joins_accepted_items_of_earlier_batches(spark, monkeypatch, step_rows):
-    by_steps(monkeypatch, step_rows)
+@pytest.mark.parametrize("share", [0, 100])
+def test_a_duplicate_joins_accepted_items_of_earlier_batches(spark, monkeypatch, share):
+    monkeypatch.setattr(inc, "STEP_SHARE", share)
     a = f"{random.Random(8).getrandbits(256):064x}"
     b, both = flipped(a, range(40)), flipped(a, range(20))
     c, two = flipped(b, range(100, 140)), flipped(b, range(100, 120))
@@ -68,9 +64,10 @@ def test_a_duplicate_joins_accepted_items_of_earlier_batches(spark, monkeypatch,
     assert {r[2] for r in rows} == {100, 104}
 
 
-@pytest.mark.parametrize("step_rows", [20, 60_000])
-def test_clusters_equal_arrivals_one_by_one(spark, monkeypatch, step_rows):
-    by_steps(monkeypatch, step_rows)
+@pytest.mark.parametrize("outgrown, share", [(0.2, 0), (8, 4)])
+def test_clusters_equal_arrivals_one_by_one(spark, monkeypatch, outgrown, share):
+    monkeypatch.setattr(inc, "OUTGROWN", outgrown)
+    monkeypatch.setattr(inc, "STEP_SHARE", share)
     rng = random.Random(4)
     centre = f"{rng.getrandbits(256):064x}"
     images = [(100 + i, flipped(centre, rng.sample(range(64), rng.randrange(12, 40))), rng.randrange(6), "x", 1) for i in range(90)]

@@ -139,10 +139,12 @@ def one_by_one(images, videos, known):
     return cases
 
 
-@pytest.mark.parametrize("step_rows", [10, 60_000])
-def test_batches_equal_arrivals_one_by_one(spark, monkeypatch, step_rows):
+@pytest.mark.parametrize("outgrown, edges, share", [(0.2, 10**6, 0), (8, 0, 4)])
+def test_batches_equal_arrivals_one_by_one(spark, monkeypatch, outgrown, edges, share):
     images, videos, known = stream(random.Random(2), 240)
-    monkeypatch.setattr(inc, "deduplicate_batches", lambda h, a, k, f=inc.deduplicate_batches: f(h, a, k, step_rows))
+    monkeypatch.setattr(inc, "STEP_SHARE", share)
+    monkeypatch.setattr(inc, "OUTGROWN", outgrown)
+    monkeypatch.setattr(inc, "ONE_TASK_EDGES", edges)
     got = inc.duplicates_of_history(
         spark.createDataFrame(images, "image_id long, phash string, batch_no int, format string, file_size long, key string"),
         spark.createDataFrame(videos, "video_id long, frame_hashes array<string>, batch_no int, file_size long"),
@@ -153,15 +155,62 @@ def test_batches_equal_arrivals_one_by_one(spark, monkeypatch, step_rows):
     assert all(r["keeper"] is not None and r["keeper"] != r["record_id"] for r in got)
 
 
-def test_wide_parts_are_exact_too(spark):
+@pytest.mark.parametrize("expected", [10, 10**7, 10**9])
+def test_wide_parts_are_exact_too(spark, tmp_path, expected):
     rng = random.Random(3)
     base = [f"{rng.getrandbits(256):064x}" for _ in range(40)]
     rows = [(i, 1, h) for i, h in enumerate(base)] + [(100 + i, 2, near_hash(rng, h, 25 if i % 2 else 26)) for i, h in enumerate(base)]
     df = spark.createDataFrame(rows, "id long, batch_no int, h string").select("id", "batch_no", *inc.word_columns(inc.F.col("h")), inc.F.lit("x").alias("format"), inc.F.lit(1).cast("long").alias("bytes"))
-    done = inc.deduplicate_batches(inc.History(spark, inc.image_medium(25, 10**9)), df, None)
+    history = inc.History.create(spark, str(tmp_path / "h"), "image", expected=expected, batch=40)
+    done = inc.deduplicate_batches(history, df, None)
     assert {r["id"]: r["keeper"] for r in done.where("keeper is not null").collect()} == {100 + i: i for i in range(40) if i % 2}
 
 
+@pytest.mark.parametrize("kind", ["image", "video"])
+def test_a_history_goes_on_in_another_session(spark, tmp_path, monkeypatch, kind):
+    images, videos, known = stream(random.Random(4), 160)
+    monkeypatch.setattr(inc, "OUTGROWN", 3)
+    images = spark.createDataFrame(images, "image_id long, phash string, batch_no int, format string, file_size long, key string")
+    videos = spark.createDataFrame(videos, "video_id long, frame_hashes array<string>, batch_no int, file_size long")
+    known = spark.createDataFrame(known, "known_id long, media string, phash string, frame_hashes array<string>")
+    items = inc.image_items(images) if kind == "image" else inc.video_items(videos)
+    accepted = inc.known_items(known, kind)
+    whole = inc.duplicates_of_history(images, videos, known).where(inc.F.col("media") == kind)
+    want = {r["record_id"] for r in whole.collect()}
+    path = str(tmp_path / "history")
+    inc.History.create(spark, path, kind, expected=10, batch=10, clusters=True).accept(accepted)
+    got, generations = set(), set()
+    for batch in range(1, 6):
+        session = spark.newSession()  # nothing but the folder is handed on
+        history = inc.History.open(session, path)
+        rows = session.createDataFrame(items.where(inc.F.col("batch_no") == batch).drop("batch_no").collect(), items.drop("batch_no").schema)
+        if batch == 3:
+            # a step that ends before it is committed leaves nothing behind
+            lost = inc.History.open(session, path)
+            monkeypatch.setattr(lost, "finish", lambda: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                lost.ingest(rows)
+            history = inc.History.open(session, path)
+        found = history.ingest(rows).collect()
+        got |= {r["id"] for r in found if r["keeper"] is not None}
+        assert {r["id"] for r in found} == {r["id"] for r in rows.collect()}
+        # what came before is not decided again
+        assert history.ingest(rows).count() == 0
+        generations.add(history.state["generation"])
+    assert got == want and len(generations) > 1
+
+
+def test_weights_are_learned_without_labels():
+    rng = np.random.default_rng(1)
+    match = rng.random(5000) < 0.4
+    gap = np.where(match, rng.choice(5, 5000, p=[0.5, 0.3, 0.1, 0.05, 0.05]), rng.choice(5, 5000, p=[0.02, 0.03, 0.05, 0.2, 0.7]))
+    form = np.where(match, rng.choice(3, 5000, p=[0.9, 0.05, 0.05]), rng.choice(3, 5000, p=[0.3, 0.1, 0.6]))
+    size = rng.choice(3, 5000, p=[0.3, 0.3, 0.4])
+    gaps, forms, sizes = inc.learn_weights(np.stack([gap, form, size], 1), np.ones(5000), (5, 3, 3))
+    assert gaps == sorted(gaps, reverse=True) and gaps[0] > 2 > -2 > gaps[-1]
+    assert forms[0] > 0.8 and forms[2] < -1.5 and max(map(abs, sizes)) < 0.5
+
+
 def test_no_arrivals(spark):
     empty = inc.duplicates_of_history(
         spark.createDataFrame([], "image_id long, phash string, batch_no int, format string, file_size long"),
@@ -171,13 +220,14 @@ def test_no_arrivals(spark):
     assert empty.count() == 0
 
 
-def test_clusters_change_only_where_linked(spark):
-    def parts(edges):
-        return component_roots(edges.selectExpr("src a", "dst b"))
-
-    mapping = spark.createDataFrame([(1, 1), (2, 1), (7, 7), (8, 7)], "item long, root long")
-    links = spark.createDataFrame([(3, 2), (3, 9), (20, 21)], "a long, b long")
-    got = {r["item"]: r["root"] for r in inc.update_clusters(mapping, links, parts).collect()}
-    assert got[7] == got[8] == 7
-    assert len({got[i] for i in (1, 2, 3, 9)}) == 1 and got[20] == got[21] != got[1]
-    assert len(got) == 8
+def test_the_log_of_clusters_grows_only_where_linked(spark):
+    work = inc.Workspace(spark, "t")
+    log = spark.createDataFrame([(2, 1), (8, 7)], "item long, parent long")
+    links = spark.createDataFrame([(3, 2), (3, 9), (20, 21), (1, 2)], "a long, b long")
+    fresh = inc.merged_roots(links, log, work, "one")
+    assert sorted(map(tuple, fresh.collect())) == [(3, 1), (9, 1), (21, 20)]
+    log = log.unionByName(fresh)
+    log = log.unionByName(inc.merged_roots(spark.createDataFrame([(8, 9)], "a long, b long"), log, work, "two"))
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 8, 9, 20, 21, 30)], "node long")
+    got = {r["node"]: r["root"] for r in inc.find_roots(nodes, log, work, "all").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20, 30: 30}

@@ -1,43 +1,60 @@
-"""Deduplicating new batches against all history, without reading history again.
-
-The history of a medium is a set of tables in the shared folder.  The blocking-key
-table holds a row per key of every accepted item and is bucketed by key, so a batch
-is probed by shuffling the batch alone: the buckets of history are read in place.
-Keys are exact: an item near an accepted one shares a key with it, whatever the
-size of the history.  Candidates that pass the near test are links, scored by
-weights of agreement learned from a bounded sample of labelled pairs; the score
-chooses the accepted record a duplicate is filed under.
+"""Deduplicating new batches against all history, without working through history again.
+
+The history of a medium is a folder that outlives the session: :meth:`History.create`
+makes it, :meth:`History.open` goes on with it, and :meth:`History.ingest` decides one
+batch.  Its blocking-key table holds a row per key of every accepted item and is
+bucketed by key, so a batch is probed by shuffling the batch alone: the buckets of
+history are read in place.  Duplicates leave no keys.  Keys are exact: an item near an
+accepted one shares a key with it, whatever the size of the history.  Images have one
+key per part of the hash, with part widths by the size of the history
+(:mod:`twinsift.operators.hamming`; the batch alone enumerates bit flips); videos have
+the witnesses of :mod:`twinsift.llm.setjoin`.  When the history outgrows the plan, the
+keys are written anew, with new widths, hot lists and buckets.
+
+Candidates that pass the near test are links, scored by Fellegi-Sunter weights of
+agreement that expectation maximisation learns from a bounded sample of pairs; the
+score chooses the accepted record a duplicate is filed under.
 
 Within a batch records count in the order of their ids: a record near an earlier
 accepted one of its own batch is a duplicate too (:mod:`twinsift.operators.grouping`).
-Clusters of accepted items that duplicates tie together are kept as a union-find
-mapping item -> representative, of which a batch rewrites the affected roots only.
-A duplicate ties all items near it that were accepted before it came, not only the
-one it is filed under; duplicates leave no keys, so items accepted later do not meet it.
+Accepted items that duplicates tie together are clusters, kept as a union-find log
+(item, parent): a batch looks up the roots of the items it ties and appends a row per
+root that gets a parent; no row is written again.  A duplicate ties all items near it
+that were accepted before it came, not only the one it is filed under.
+
+A step is a folder of every table; the state file that names it is written last, so a
+step that did not end is done again and leaves nothing behind.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import hashlib
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinsift.llm.components import component_roots
 from twinsift.llm.setjoin import overlap_reaches, witness_keys
 from twinsift.llm.shared import Workspace, usable_hash, usable_set
-from twinsift.operators.grouping import ONE_TASK_EDGES, assign_leaders
+from twinsift.operators import hamming as H
+from twinsift.operators.grouping import ONE_TASK_EDGES, assign_leaders, first_come
+from twinsift.operators.skew import join_heads
 
 SAMPLE_ROWS = 4_000
-STEP_ROWS = 60_000
+BITS = 256
+#: The keys are planned anew when the history holds this many times what they were planned for.
+OUTGROWN = 8
+#: Rows of one file of a batch.
+FILE_ROWS = 200_000
+#: Pending batches share a step up to this many times the rows of the history they are held against.
+STEP_SHARE = 4
 ID_BITS = 40
-COPY_SALTS = 16
 
 
 @dataclass
@@ -45,12 +62,14 @@ class Medium:
     """How items of one kind are keyed and compared: everything :class:`History` needs to know."""
 
     name: str
-    payload: list[str]
-    keys: Callable[[], Column]
+    payload: dict[str, str]
+    #: rows once per key, as they are stored and as they are looked up
+    stored: Callable[[DataFrame], DataFrame]
+    asked: Callable[[DataFrame], DataFrame]
     near: Callable[[str, str], Column]
     #: smaller is closer; part of the agreement levels
     gap: Callable[[str, str], Column]
-    weights: list[tuple[str, float, float]] = field(default_factory=list)
+    gap_edges: list[float]
 
 
 def word_columns(text: Column) -> list[Column]:
@@ -58,62 +77,38 @@ def word_columns(text: Column) -> list[Column]:
     return [F.conv(F.substring(text, 1 + 16 * i, 16), 16, -10).cast("bigint").alias(f"w{i}") for i in range(4)]
 
 
-def image_medium(reach: int = 25, expected: int = 1_000_000) -> Medium:
-    """256-bit hashes within ``reach`` bits.
+def image_medium(plan: dict, hot: DataFrame | None = None) -> Medium:
+    """256-bit hashes within ``plan["reach"]`` bits, keyed by the parts of the plan; ``hot`` are keys to refine."""
+    reach, parts = plan["reach"], tuple(H.Part(*p) for p in plan["parts"])
 
-    The bits are cut into equal parts, more parts than ``reach`` where the history
-    is to stay small: one part is then equal.  For a larger ``expected`` history
-    half as many, wider parts are used, of which one differs in one bit at most, and
-    a key leaves out one bit of a part.  Both are exact.
-    """
-    words = [f"w{i}" for i in range(4)]
-    parts = reach + 1 if expected <= 2_000_000 else (reach + 2) // 2
-    edges = [256 * i // parts for i in range(parts + 1)]
-
-    def cut(begin: int, end: int, without: int | None = None) -> Column:
-        """Bits begin..end as one number, most significant bit first, optionally without one bit."""
-        mask = 0
-        value: Column | None = None
-        for word in range(begin // 64, (end - 1) // 64 + 1):
-            a, b = max(begin, 64 * word), min(end, 64 * word + 64)
-            mask = (1 << (b - a)) - 1
-            if without is not None and a <= without < b:
-                mask ^= 1 << (b - 1 - without)
-            piece = F.shiftrightunsigned(F.col(f"w{word}"), 64 * word + 64 - b).bitwiseAND(F.lit(mask).cast("bigint"))
-            value = piece if value is None else F.shiftleft(value, b - a).bitwiseOR(piece)
-        return value
-
-    def keys() -> Column:
-        found = []
-        for i in range(parts):
-            a, b = edges[i], edges[i + 1]
-            skips = [None] if parts > reach else list(range(a, b))
-            for s in skips:
-                tag = i if s is None else 256 + s
-                found.append((F.lit(tag).cast("bigint") * (1 << 48)).bitwiseOR(cut(a, b, s)))
-        return F.array(*found)
-
-    def distance(x: str, y: str) -> Column:
-        total = F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0")))
-        for w in words[1:]:
-            total = total + F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}")))
-        return total
+    def keyed(probing: bool) -> Callable[[DataFrame], DataFrame]:
+        def rows(df: DataFrame) -> DataFrame:
+            out = H.keyed(df, parts, BITS, probing)
+            return out if hot is None else H.refine_hot(out, hot, parts, BITS, reach)
+
+        return rows
 
-    return Medium("image", words, keys, lambda x, y: distance(x, y) <= reach, lambda x, y: distance(x, y).cast("double"))
+    def apart(x: str, y: str) -> Column:
+        return H.distance(x, y, BITS)
 
+    words = {n: "bigint" for n in H.word_names(BITS)}
+    return Medium("image", words, keyed(False), keyed(True), lambda x, y: apart(x, y) <= reach, lambda x, y: apart(x, y).cast("double"), [0.0, 8.0, 16.0, float(reach), 64.0])
 
-def video_medium(hot: list[int], least: Fraction = Fraction(3, 5)) -> Medium:
-    """Sets of element codes with overlap ``least``.
 
-    ``hot`` are codes known to be frequent when the history began; they come last
-    in the order of witnesses.  The list only matters for speed: any list is exact.
+def video_medium(plan: dict) -> Medium:
+    """Sets of element codes with overlap ``plan["least"]``.
+
+    ``plan["hot"]`` are codes known to be frequent; they come last in the order of
+    witnesses.  The list only matters for speed: any list is exact.
     """
+    least, hot = Fraction(*plan["least"]), plan["hot"]
     common = F.array(*[F.lit(int(h)) for h in sorted(hot)]) if hot else F.array().cast("array<bigint>")
 
-    def keys() -> Column:
+    def keyed(df: DataFrame) -> DataFrame:
         line = F.array_sort(F.transform("codes", lambda c: F.struct(F.array_contains(common, c).alias("hot"), c.alias("code"))))
         # equal sets, also of one element, share the key of the whole set; any other similar pair has two elements in common
-        return F.concat(F.array(F.xxhash64("codes")), witness_keys(line, least))
+        keys = F.concat(F.array(F.xxhash64("codes")), F.array_except(F.array_distinct(witness_keys(line, least)), F.array(F.xxhash64("codes"))))
+        return df.select("*", F.posexplode(keys).alias("part", "key"))
 
     def both(x: str, y: str) -> Column:
         return F.size(F.array_intersect(f"{x}.codes", f"{y}.codes"))
@@ -125,127 +120,219 @@ def video_medium(hot: list[int], least: Fraction = Fraction(3, 5)) -> Medium:
     def gap(x: str, y: str) -> Column:
         return 1 - both(x, y) / F.size(F.array_union(f"{x}.codes", f"{y}.codes"))
 
-    return Medium("video", ["codes"], keys, near, gap)
+    return Medium("video", {"codes": "array<bigint>"}, keyed, keyed, near, gap, [0.0, 0.15, 0.3, 1 - float(least), 0.7])
 
 
-def learn_weights(sample: pd.DataFrame, gap_edges: list[float]) -> tuple[list[float], list[float], list[float]]:
-    """Agreement weights log2(m / u) of labelled pairs: per gap level, per format agreement, per size agreement.
+def learn_weights(levels: np.ndarray, counts: np.ndarray, sizes: tuple[int, ...], rounds: int = 60) -> list[list[float]]:
+    """Agreement weights log2(m / u) per field and level, without labels: expectation maximisation of a mixture of matches and others.
 
-    ``sample`` has columns gap, same_format, same_size, near (labels).  m and u are
-    level shares among near and other pairs, with one pair added to every level.
+    ``levels`` has a row per pattern and a column per field, level 0 the closest;
+    ``counts`` are the pairs of each pattern.  Fields are independent given the class.
+    One pair is added to every level, so no weight is infinite.
     """
-
-    def share(level: np.ndarray, levels: int) -> list[float]:
-        m = np.bincount(level[sample["near"].to_numpy(bool)], minlength=levels) + 1.0
-        u = np.bincount(level[~sample["near"].to_numpy(bool)], minlength=levels) + 1.0
-        return np.log2((m / m.sum()) / (u / u.sum())).round(4).tolist()
-
-    gap = np.searchsorted(np.asarray(gap_edges), sample["gap"].to_numpy(float))
-    return (
-        share(gap, len(gap_edges) + 1),
-        share(sample["same_format"].to_numpy(np.int64), 3),
-        share(sample["same_size"].to_numpy(np.int64), 3),
-    )
+    # matches begin as the closer ones
+    m = [np.linspace(2.0, 1.0, n) / np.linspace(2.0, 1.0, n).sum() for n in sizes]
+    u = [p[::-1].copy() for p in m]
+    share = 0.5
+    for _ in range(rounds):
+        yes = share * np.prod([p[levels[:, i]] for i, p in enumerate(m)], axis=0)
+        no = (1 - share) * np.prod([p[levels[:, i]] for i, p in enumerate(u)], axis=0)
+        weight = yes / (yes + no)
+        share = float(np.clip((weight * counts).sum() / max(counts.sum(), 1), 1e-6, 1 - 1e-6))
+        for probabilities, part in ((m, weight * counts), (u, (1 - weight) * counts)):
+            for i, n in enumerate(sizes):
+                held = np.bincount(levels[:, i], part, minlength=n) + 1.0
+                probabilities[i] = held / held.sum()
+    return [np.log2(a / b).round(4).tolist() for a, b in zip(m, u)]
 
 
 def agreement(x: Column, y: Column) -> Column:
-    """0 unknown, 1 equal, 2 different."""
-    return F.when(x.isNull() | y.isNull(), 0).when(x == y, 1).otherwise(2)
+    """0 equal, 1 unknown, 2 different."""
+    return F.when(x.isNull() | y.isNull(), 1).when(x == y, 0).otherwise(2)
 
 
 class History:
-    """Accepted items of one medium; see :func:`deduplicate_batches` for the usual way in."""
-
-    def __init__(self, spark: SparkSession, medium: Medium, buckets: int | None = None, clusters: bool = False) -> None:
-        self.spark, self.medium, self.clusters = spark, medium, clusters
-        self.work = Workspace(spark, f"history-{medium.name}")
-        self.table = f"twinsift_keys_{medium.name}_{uuid.uuid4().hex}"
-        self.buckets = max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.started = False
-        #: (item, root) of the accepted items tied so far, as of the last step; ids hold the batch above ``id_mask``
-        self.mapping = spark.createDataFrame([], "item long, root long")
-        self.mapping_name: str | None = None
-        self.id_mask = -1
-        self.scores: tuple[list[float], list[float], list[float]] | None = None
-        self.gap_edges: list[float] = [0.0, 8.0, 16.0] if medium.name == "image" else [0.0, 0.15, 0.3]
-
-    def keyed(self, items: DataFrame) -> DataFrame:
-        return items.select("id", *self.medium.payload, "format", "bytes", F.explode(F.array_distinct(self.medium.keys())).alias("key"))
-
-    def append(self, items: DataFrame) -> None:
-        """Accept items unseen: write their blocking keys. (id, payload, format, bytes)"""
-        rows = self.keyed(items).repartition(self.buckets, "key")
-        writer = rows.write.format("parquet").mode("append").bucketBy(self.buckets, "key")
-        writer.option("path", self.work.path("keys")).saveAsTable(self.table)
-        self.started = True
+    """Accepted items of one medium.  Items are rows (id, payload, format, bytes), the payload of images w0..w3, that of videos codes."""
+
+    def __init__(self, spark: SparkSession, path: str, state: dict) -> None:
+        self.spark, self.state = spark, state
+        self.work = Workspace(spark, "history", path)
+        hot = None
+        if state["kind"] == "image" and state["hot_keys"]:
+            hot = self.work.read(f"hot-{state['generation']}", spark.createDataFrame([], "key long"))
+        self.medium = image_medium(state["plan"], hot) if state["kind"] == "image" else video_medium(state["plan"])
+        self.columns = ["id", *self.medium.payload, "format", "bytes"]
+        self.register()
+
+    @classmethod
+    def create(
+        cls, spark: SparkSession, path: str, kind: str, sample: DataFrame | None = None, expected: int = 100_000, batch: int = 100_000,
+        reach: int = 25, least: Fraction = Fraction(3, 5), buckets: int | None = None, clusters: bool = False,
+    ) -> History:
+        """A new history below ``path``, planned for ``expected`` accepted items and batches of ``batch``; ``sample`` are items that show what is frequent."""
+        if kind not in ("image", "video"):
+            raise ValueError("the kind of a history is image or video")
+        state = {"kind": kind, "reach": reach, "least": [least.numerator, least.denominator], "generation": 0, "step": -1, "accepted": 0, "weights": None, "clusters": clusters, "ties": []}
+        state |= cls.planned(spark, Workspace(spark, "history", path), state, sample, expected, batch, buckets)
+        history = cls(spark, path, state)
+        history.commit()
+        return history
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """The history below ``path`` as of its last whole step."""
+        return cls(spark, path, json.loads(Workspace(spark, "history", path).read_text("state.json")))
+
+    @staticmethod
+    def planned(spark: SparkSession, work: Workspace, state: dict, sample: DataFrame | None, expected: int, batch: int, buckets: int | None) -> dict:
+        """What a generation of keys depends on."""
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found: dict = {"planned": max(expected, 1), "batch": max(batch, 1), "hot_keys": False, "first": state["step"] + 1}
+        if state["kind"] == "image":
+            parts = H.plan_parts(BITS, state["reach"], max(expected, 1), max(batch, 1))
+            found["plan"] = {"reach": state["reach"], "parts": [[p.begin, p.end, p.reach] for p in parts]}
+            rows = max(expected, 1) * len(parts)
+            if sample is not None:
+                count = sample.count()
+                hot = H.hot_keys(sample.withColumnRenamed("id", "node"), count, parts, BITS) if count > H.HOT_ROWS else None
+                if hot is not None:
+                    found["hot_keys"] = not work.save(hot, f"hot-{state['generation']}").isEmpty()
+        else:
+            found["plan"] = {"least": state["least"], "hot": common_codes(sample) if sample is not None else []}
+            rows = max(expected, 1) * 12
+        # a bucket of some million keys at most
+        found["buckets"] = max(buckets or 0, least, -(-rows // 4_000_000))
+        return found
+
+    def register(self) -> None:
+        """Name the key table in the session's catalog; its rows are the folder's alone, whatever the catalog."""
+        s = self.state
+        location = self.work.path(f"keys-{s['generation']}")
+        self.table = f"twinsift_keys_{s['kind']}_{hashlib.sha256(location.encode()).hexdigest()[:24]}"
+        kinds = {"id": "bigint", **self.medium.payload, "format": "string", "bytes": "bigint", "part": "int", "key": "bigint", "step": "int"}
+        columns = ", ".join(f"{n} {k}" for n, k in kinds.items())
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({columns}) USING parquet PARTITIONED BY (step) CLUSTERED BY (key) INTO {s['buckets']} BUCKETS LOCATION '{location}'")
+        held = " ".join(f"PARTITION (step={n})" for n in range(s["first"], s["step"] + 1))
+        if held:
+            self.spark.sql(f"ALTER TABLE {self.table} ADD IF NOT EXISTS {held}")
+
+    def commit(self) -> None:
+        self.work.write_text("state.json", json.dumps(self.state))
+
+    def past(self) -> DataFrame:
+        return self.spark.table(self.table).where(F.col("step") <= self.state["step"])
+
+    def append(self, items: DataFrame, step: int) -> None:
+        """Write the blocking keys of accepted items; a step that is written again replaces what it wrote before."""
+        rows = self.medium.stored(items.select(*self.columns)).select(*self.columns, F.col("part").cast("int").alias("part"), "key")
+        view = f"{self.table}_{step}"
+        rows.repartition(self.state["buckets"], "key").createOrReplaceTempView(view)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (step={step}) SELECT * FROM {view}")
+        self.spark.catalog.dropTempView(view)
+
+    def accept(self, items: DataFrame) -> None:
+        """A step of items that are accepted unseen."""
+        step = self.state["step"] + 1
+        self.arrived(items, step)
+        self.append(items, step)
+        self.state |= {"step": step, "accepted": self.state["accepted"] + items.count()}
+        self.finish()
+
+    def arrived(self, items: DataFrame, step: int) -> None:
+        self.work.save(items.select("id"), f"arrived/step={step}")
 
     def learn(self, items: DataFrame, rows: int = SAMPLE_ROWS) -> None:
-        """Learn the weights from pairs of a sample of at most ``rows`` items (chosen by hash of the id), labelled by the near test.
-
-        Pairs are those that share a key, so the labels are not nearly all negative.
-        """
+        """Learn the weights from the pairs that share a key among at most ``rows`` items, chosen by hash of the id."""
         rank = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
         share = min(1.0, 1.2 * rows / max(1, items.count()))
-        part = items.where(rank < int(share * 1_000_000)).orderBy(rank, "id").limit(rows)
-        keyed = self.keyed(part)
-        x, y = keyed.alias("x"), keyed.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(
-            F.col("x.id").alias("a"), F.col("y.id").alias("b"), self.medium.gap("x", "y").alias("gap"), self.medium.near("x", "y").alias("near"),
-            agreement(F.col("x.format"), F.col("y.format")).alias("same_format"), agreement(F.col("x.bytes"), F.col("y.bytes")).alias("same_size"),
-        )
-        counts = pairs.groupBy("gap", "near", "same_format", "same_size").count().toPandas()  # levels only
-        sample = counts.loc[counts.index.repeat(np.minimum(counts["count"], 1000))]
-        self.scores = learn_weights(sample, self.gap_edges)
-
-    def score(self, x: str, y: str) -> Column:
-        if self.scores is None:
-            return F.lit(0.0)
-        gaps, formats, sizes = self.scores
+        part = self.work.save(items.where(rank < int(share * 1_000_000)).orderBy(rank, "id").limit(rows).select(*self.columns), "learning")
+        x, y = self.medium.stored(part).alias("x"), self.medium.stored(part).alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
+        levels = [F.coalesce(c, F.lit(0)).alias(f"l{i}") for i, c in enumerate(self.levels("x", "y"))]
+        counts = pairs.select("x.id", F.col("y.id").alias("other"), *levels).distinct().groupBy("l0", "l1", "l2").count().toPandas()  # one row per pattern
+        sizes = (len(self.medium.gap_edges) + 1, 3, 3)
+        self.state["weights"] = learn_weights(counts[["l0", "l1", "l2"]].to_numpy(np.int64).reshape(-1, 3), counts["count"].to_numpy(float), sizes)
+
+    def levels(self, x: str, y: str) -> list[Column]:
         gap = self.medium.gap(x, y)
-        level = F.when(gap <= self.gap_edges[0], gaps[0])
-        for edge, weight in zip(self.gap_edges[1:], gaps[1:]):
-            level = level.when(gap <= edge, weight)
+        level = F.lit(len(self.medium.gap_edges))
+        for i, edge in reversed(list(enumerate(self.medium.gap_edges))):
+            level = F.when(gap <= edge, i).otherwise(level)
+        return [level, agreement(F.col(f"{x}.format"), F.col(f"{y}.format")), agreement(F.col(f"{x}.bytes"), F.col(f"{y}.bytes"))]
 
-        def pick(kind: Column, weights: list[float]) -> Column:
-            return F.when(kind == 0, weights[0]).when(kind == 1, weights[1]).otherwise(weights[2])
+    def score(self, x: str, y: str) -> Column:
+        total: Column = F.lit(0.0)
+        for level, weights in zip(self.levels(x, y), self.state["weights"]):
+            total = total + F.element_at(F.array(*[F.lit(float(w)) for w in weights]), level + 1)
+        return total
 
-        return (
-            level.otherwise(gaps[-1])
-            + pick(agreement(F.col(f"{x}.format"), F.col(f"{y}.format")), formats)
-            + pick(agreement(F.col(f"{x}.bytes"), F.col(f"{y}.bytes")), sizes)
-        )
+    def ingest(self, items: DataFrame) -> DataFrame:
+        """(id, keeper, score) of one batch of items, keeper null where accepted.
 
-    def ingest(self, classes: DataFrame, name: str, last: bool = False) -> DataFrame:
-        """Decide one batch: its classes with keeper (null where accepted) and score.
+        Of several rows of an id one counts; ids that came in an earlier batch are left
+        out.  Items without payload are not for a history.  The accepted ones are in the
+        history once this returns.
+        """
+        step = self.state["step"] + 1
+        before = self.spark.read.schema("id long, step int").parquet(self.work.path("arrived")).where(F.col("step") < step) if step else None
+        fresh = items.where("id is not null").select(*self.columns).dropDuplicates(["id"])
+        fresh = self.work.save(fresh if before is None else fresh.join(before.select("id"), "id", "left_anti"), f"batch/step={step}").withColumn("step", F.lit(step))
+        classes = self.work.save(copy_classes(fresh, list(self.medium.payload)), f"classes/step={step}")
+        self.arrived(fresh, step)
+        decided = self.decide(classes.drop("step"))
+        self.finish()
+        return self.expand(fresh, decided.withColumn("step", F.lit(step))).select("id", "keeper", "score")
+
+    def decide(self, classes: DataFrame) -> DataFrame:
+        """The classes of one batch with keeper (null where accepted) and score; the step is taken but not committed.
 
         ``classes`` is (id, payload, format, bytes, copies, last) as of :func:`copy_classes`:
-        copies within the batch are one item named by its smallest id.  The accepted
-        items are added to the history unless this is the ``last`` batch.
+        copies within the batch are one item named by its smallest id.
         """
-        keyed = self.keyed(classes).repartition(self.buckets, "key")
-        x, y = keyed.alias("x"), keyed.alias("y")
+        step = self.state["step"] + 1
+        if self.state["weights"] is None:
+            self.learn(classes)
+        buckets = self.state["buckets"]
+        items = classes.select(*self.columns)
+        # the batch is the smaller side: hash tables are made of it, and the buckets of history stream past unsorted
+        x = self.medium.asked(items).drop("part").repartition(buckets, "key").hint("shuffle_hash").alias("x")
+        y = self.medium.stored(items).drop("part").repartition(buckets, "key").alias("y")
         link = [F.col("x.id").alias("id"), F.col("y.id").alias("other"), self.score("x", "y").alias("score")]
-        mates = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & self.medium.near("x", "y")).select(*link, F.lit(False).alias("old"))
-        if self.started:
-            past = self.spark.table(self.table).alias("y")
-            old = x.join(past, (F.col("x.key") == F.col("y.key")) & self.medium.near("x", "y")).select(*link, F.lit(True).alias("old"))
-            mates = mates.unionByName(old)
-        near = self.work.save(mates.distinct(), f"near-{name}")
-        hits = near.where("old").groupBy("id").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("best"))
-        hits = hits.select("id", (-F.col("best.o")).alias("keeper"), F.col("best.score").alias("score"))
-        fresh = near.where("not old").join(hits.select("id"), "id", "left_anti").join(hits.select(F.col("id").alias("other")), "other", "left_anti")
-        joined = assign_leaders(fresh.select(F.col("other").alias("a"), F.col("id").alias("b")), ONE_TASK_EDGES, edges_at_most=near.count())
-        inner = joined.join(near.where("not old"), (F.col("node") == F.col("id")) & (F.col("leader") == F.col("other"))).select(
-            F.col("node").alias("id"), F.col("leader").alias("keeper"), "score"
-        )
-        decided = self.work.save(classes.join(hits.unionByName(inner), "id", "left"), f"decided/step={name}")
-        if not last:
-            self.append(decided.where("keeper is null").select("id", *self.medium.payload, "format", "bytes"))
-        if self.clusters:
-            self.tie(self.links(near, decided), decided, name)
-        self.work.drop(f"near-{name}")
+        near = y.join(x, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & self.medium.near("x", "y")).select(*link, F.lit(False).alias("old"))
+        if self.state["accepted"]:
+            past = self.past().alias("y")
+            near = near.unionByName(past.join(x, (F.col("x.key") == F.col("y.key")) & self.medium.near("x", "y")).select(*link, F.lit(True).alias("old")))
+        near = self.work.save(near.distinct(), f"near-{step}")
+        keepers = keepers_of(near, near.count())
+        decided = self.work.save(classes.join(keepers, "id", "left"), f"decided/step={step}")
+        kept = decided.where("keeper is null")
+        self.append(kept, step)
+        if self.state["clusters"]:
+            self.tie(self.links(near, decided), decided, step)
+        self.work.drop(f"near-{step}")
+        self.state |= {"step": step, "accepted": self.state["accepted"] + kept.count()}
         return decided
 
+    def finish(self) -> None:
+        """Commit the step, and plan the keys anew where the history has outgrown them."""
+        self.commit()
+        if self.state["accepted"] > OUTGROWN * self.state["planned"]:
+            self.rebuild()
+
+    def rebuild(self) -> None:
+        """Write the keys anew, planned for twice the items accepted so far."""
+        old, table = self.work.path(f"keys-{self.state['generation']}"), self.table
+        items = self.work.save(self.past().select(*self.columns).distinct(), f"items-{self.state['generation']}")
+        last, self.state["step"] = self.state["step"], self.state["step"] - 1
+        self.state["generation"] += 1
+        self.state |= self.planned(self.spark, self.work, self.state, items, 2 * self.state["accepted"], self.state["batch"], None)
+        self.__init__(self.spark, self.work.root, self.state)
+        self.append(items, last)
+        self.state["step"] = last
+        self.commit()
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.work.drop(old.rsplit("/", 1)[1], f"items-{self.state['generation'] - 1}")
+
     def links(self, near: DataFrame, decided: DataFrame) -> DataFrame:
         """(id, other): each duplicate class of a step with every item near it accepted before the last of its copies came."""
         kept = decided.where("keeper is null").select("id")
@@ -256,74 +343,113 @@ class History:
         between = between.join(decided.where("keeper is not null").select("id", "last"), "id").where("other < last").select("id", "other")
         return near.where("old").select("id", "other").unionByName(before).unionByName(between)
 
-    def tie(self, links: DataFrame, decided: DataFrame, name: str) -> None:
-        """Update the mapping by the links of a step: a duplicate ties its keeper to the other items near it."""
+    def tie(self, links: DataFrame, decided: DataFrame, step: int) -> None:
+        """Append to the union-find log what the links of a step merge: a duplicate ties its keeper to the other items near it."""
         ties = links.join(decided.where("keeper is not null").select("id", "keeper"), "id").where("keeper <> other")
-        ties = self.work.save(ties.select(F.col("keeper").alias("a"), F.col("other").alias("b")).distinct(), f"ties-{name}")
+        ties = self.work.save(ties.select(F.col("keeper").alias("a"), F.col("other").alias("b")).distinct(), f"ties-{step}")
         if not ties.isEmpty():
-            last, self.mapping_name = self.mapping_name, f"clusters-{name}"
-            self.mapping = self.work.save(update_clusters(self.mapping, ties, earliest_roots), self.mapping_name)
-            if last:
-                self.work.drop(last)
-        self.work.drop(f"ties-{name}")
+            merged = merged_roots(ties, self.parents(), self.work, f"step-{step}")
+            self.work.save(merged, f"parents/step={step}")
+            self.state["ties"] = [*self.state["ties"], step]
+        self.work.drop(f"ties-{step}")
+
+    def parents(self) -> DataFrame:
+        """(item, parent): the union-find log of all whole steps."""
+        log = self.spark.createDataFrame([], "item long, parent long")
+        steps = self.state["ties"]
+        return self.spark.read.schema(log.schema).parquet(*[self.work.path(f"parents/step={n}") for n in steps]) if steps else log
 
     def members(self, decided: DataFrame) -> DataFrame:
-        """(record_id, cluster_id) of every duplicate and of every accepted item near one; a cluster is named by the item accepted first.
+        """(record_id, cluster_id) of every duplicate and of every accepted item near one; a cluster is named by the smallest id of its accepted items
+        (ids of :func:`run_batches` sort by arrival, so there it is the one accepted first).
 
-        ``decided`` is what :func:`deduplicate_batches` returned.
+        ``decided`` is (id, keeper, ...) of all batches.
         """
-        plain = [F.col(c).bitwiseAND(F.lit(self.id_mask)).alias(c) for c in ("item", "root")]
-        roots = self.mapping.select(*plain)
+        log = self.parents()
         filed = self.work.save(decided.where("keeper is not null").select(F.col("id").alias("record_id"), F.col("keeper").alias("item")), "filed")
-        heads = filed.select("item").unionByName(roots.select("item")).distinct()
+        ends = log.select("item").unionByName(log.select(F.col("parent").alias("item")))
+        heads = self.work.save(filed.select("item").unionByName(ends).groupBy("item").agg(F.count("*").alias("n")), "heads")
+        roots = find_roots(heads.select(F.col("item").alias("node")), log, self.work, "members")
+        named = self.work.save(heads.join(roots.withColumnRenamed("node", "item"), "item").select("item", "root", "n"), "named")
         rows = filed.unionByName(heads.select(F.col("item").alias("record_id"), "item"))
-        return rows.join(roots, "item", "left").select("record_id", F.coalesce("root", "item").alias("cluster_id"))
+        return join_heads(rows, named, "item", "root", "n", rows.count()).select("record_id", F.col("root").alias("cluster_id"))
 
     def expand(self, items: DataFrame, decided: DataFrame) -> DataFrame:
         """(id, step, keeper, score) of every item: copies of a class follow its first one.
 
-        ``decided`` is what :meth:`ingest` returned, with step.  Classes of many
-        copies are spread over salts, so no task gets all copies of one hash.
+        ``decided`` is what :meth:`decide` returned, with step.  Classes of very many
+        copies are joined apart, so no task gets all copies of one hash.
         """
-        payload = self.medium.payload
         lone = decided.where("copies = 1").select("id", "step", "keeper", "score")
-        several = decided.where("copies > 1").select(F.col("id").alias("head"), "step", "keeper", "score", *payload)
-        several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))))
-        spread = items.select("id", "step", *payload).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int"))
-        head = F.col("id") == F.col("head")
-        copies = spread.join(several, ["step", *payload, "salt"]).select(
-            "id", "step", F.when(head, F.col("keeper")).otherwise(F.coalesce("keeper", "head")).alias("keeper"),
-            F.when(head, F.col("score")).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
+        heads = decided.where("copies > 1").select(F.struct("step", *self.medium.payload).alias("class"), F.struct(F.col("id").alias("head"), "keeper", "score").alias("first"), "copies")
+        rows = items.select("id", "step", F.struct("step", *self.medium.payload).alias("class"))
+        copies = join_heads(rows, heads, "class", "first", "copies", items.count())
+        head = F.col("id") == F.col("first.head")
+        copies = copies.select(
+            "id", "step", F.when(head, F.col("first.keeper")).otherwise(F.coalesce("first.keeper", "first.head")).alias("keeper"),
+            F.when(head, F.col("first.score")).otherwise(F.coalesce("first.score", F.lit(0.0))).alias("score"),
         )
         return lone.unionByName(copies)
 
-    def close(self) -> None:
-        """Forget the table; files in the shared folder are removed."""
+    def forget(self, *names: str) -> None:
+        """Drop the key table and what only a run over many batches needs, or the folders named; results already read are gone with them."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        self.work.drop("keys")
+        self.work.drop(*(names or (f"keys-{self.state['generation']}", "learning")))
 
 
-def update_clusters(mapping: DataFrame, links: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The mapping (item, root) after new links (a, b) between items: only clusters with a new link are worked on again.
+def resolved(links: pd.DataFrame) -> pd.DataFrame:
+    """(id, keeper, score) of the duplicates among all links (id, other, score, old) of a batch."""
+    links = links.sort_values(["id", "score", "other"], ascending=[True, False, True])
+    hits = links[links["old"]].drop_duplicates("id")
+    mates = links[~links["old"] & ~links["id"].isin(hits["id"]) & ~links["other"].isin(hits["id"])]
+    joined = first_come(pd.DataFrame({"a": mates["other"], "b": mates["id"]}))
+    inner = joined.merge(mates, left_on=["node", "leader"], right_on=["id", "other"])
+    return pd.concat([hits, inner])[["id", "other", "score"]].rename(columns={"other": "keeper"})
 
-    ``components`` turns edges (src, dst) into (node, root); items not mapped are their own root.
-    """
-    roots = mapping.select("item", "root")
-    named = (
-        links.join(roots.select(F.col("item").alias("a"), F.col("root").alias("ra")), "a", "left")
-        .join(roots.select(F.col("item").alias("b"), F.col("root").alias("rb")), "b", "left")
-        .select("a", "b", F.coalesce("ra", "a").alias("src"), F.coalesce("rb", "b").alias("dst"))
-    )
-    merged = components(named.select("src", "dst").where("src <> dst")).select(F.col("node").alias("old"), F.col("root").alias("new"))
-    ends = named.select(F.col("a").alias("item"), F.col("src").alias("root")).unionByName(named.select(F.col("b").alias("item"), F.col("dst").alias("root")))
-    every = roots.unionByName(ends).distinct()
-    return every.join(merged, F.col("root") == F.col("old"), "left").select("item", F.coalesce("new", "root").alias("root")).distinct()
 
+def keepers_of(near: DataFrame, count: int) -> DataFrame:
+    """(id, keeper, score) of every duplicate: the accepted item of greatest score, else the first of its batch by first come.
 
-def earliest_roots(edges: DataFrame) -> DataFrame:
-    """(node, root) of the edges (src, dst); the root is the smallest node of a component."""
-    found = component_roots(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    return found.join(found.groupBy("root").agg(F.min("node").alias("first")), "root").select("node", F.col("first").alias("root"))
+    ``near`` is (id, other, score, old) and has ``count`` rows; up to ONE_TASK_EDGES of
+    them are resolved by one bounded task, more by joins.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = list(parts)
+        if whole:
+            yield resolved(pd.concat(whole, ignore_index=True))
+
+    if count <= ONE_TASK_EDGES:
+        return near.coalesce(1).mapInPandas(run, "id long, keeper long, score double")
+    hits = near.where("old").groupBy("id").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("best"))
+    hits = hits.select("id", (-F.col("best.o")).alias("keeper"), F.col("best.score").alias("score"))
+    mates = near.where("not old")
+    fresh = mates.join(hits.select("id"), "id", "left_anti").join(hits.select(F.col("id").alias("other")), "other", "left_anti")
+    joined = assign_leaders(fresh.select(F.col("other").alias("a"), F.col("id").alias("b")), ONE_TASK_EDGES)
+    inner = joined.join(mates, (F.col("node") == F.col("id")) & (F.col("leader") == F.col("other"))).select(F.col("node").alias("id"), F.col("leader").alias("keeper"), "score")
+    return hits.unionByName(inner)
+
+
+def find_roots(nodes: DataFrame, parents: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(node, root) by the log (item, parent): follows parents to the end; a node without one is its own root."""
+    at = work.save(nodes.select("node", F.col("node").alias("root")).distinct(), f"roots-{name}-0")
+    turn = 0
+    while True:
+        turn += 1
+        up = at.join(parents.select(F.col("item").alias("root"), "parent"), "root", "left")
+        moved = work.save(up.select("node", F.coalesce("parent", "root").alias("root"), F.col("parent").isNotNull().alias("moved")), f"roots-{name}-{turn}")
+        at = moved.select("node", "root")
+        if moved.where("moved").isEmpty():
+            return at
+
+
+def merged_roots(links: DataFrame, parents: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(item, parent) to append for new links (a, b): the roots of their ends, those of one component below the smallest of them."""
+    roots = find_roots(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))), parents, work, name)
+    named = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("src")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("dst")), "b")
+    found = component_roots(named.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    first = found.groupBy("root").agg(F.min("node").alias("parent"))
+    return found.join(first, "root").where("node <> parent").select(F.col("node").alias("item"), "parent")
 
 
 def first_arrivals(df: DataFrame, id_col: str, payload: list[Column], fmt: Column, size: Column) -> DataFrame:
@@ -342,101 +468,121 @@ def copy_classes(items: DataFrame, payload: list[str]) -> DataFrame:
     return grouped.select("m.*", *payload, "copies", "last", "step")
 
 
-def deduplicate_batches(history: History, arrivals: DataFrame, accepted: DataFrame | None, step_rows: int = STEP_ROWS) -> DataFrame:
-    """(id, batch_no, keeper, score) of every arrival, batch after batch; keeper null where accepted.
+def plan_steps(batches: list[tuple[int, int]], held: int) -> list[int]:
+    """How many of the pending (batch, rows) the next step takes: batches in order while they hold no more rows than STEP_SHARE times the history, one at least.
 
-    ``arrivals`` is (id, batch_no, payload, format, bytes); ``accepted`` the same
-    without batch_no, taken without test.  Batches are worked on as they come;
-    consecutive pending batches are one step while they hold ``step_rows`` rows or
-    fewer together, which changes no result: the order within a step is (batch_no, id).
+    A step reads the history once, so a long queue of small batches costs a number of
+    reads that grows with the logarithm of its length.
     """
-    payload = history.medium.payload
-    columns = ["id", *payload, "format", "bytes"]
+    taken, rows = [batches[0][0]], batches[0][1]
+    for batch, count in batches[1:]:
+        rows += count
+        if rows > STEP_SHARE * held:
+            break
+        taken.append(batch)
+    return taken
+
+
+def run_batches(history: History, arrivals: DataFrame, accepted: DataFrame | None) -> tuple[DataFrame, int]:
+    """(id, step, keeper, score) of every arrival, and the number of bits of an id; above them ids hold the batch, so that they sort by order of arrival."""
+    payload = list(history.medium.payload)
     work = history.work
-    arrivals = work.save(arrivals.select(*columns, "batch_no"), "arrivals")
-    sizes = sorted((r[0], r[1]) for r in arrivals.groupBy("batch_no").count().collect())
-    if not sizes:
-        return arrivals.select("id", "batch_no", F.lit(None).cast("long").alias("keeper"), F.lit(None).cast("double").alias("score"))
-    low, high = arrivals.agg(F.min("id"), F.max("id")).first()
-    known_low, known_high = (accepted.agg(F.min("id"), F.max("id")).first() if accepted is not None else None) or (0, 0)
-    # an item's place in the order of arrival as one number, where batch and id fit
-    fits = min(low, known_low or 0, sizes[0][0]) >= 0 and max(high, known_high or 0) < 1 << ID_BITS and sizes[-1][0] < 1 << (62 - ID_BITS)
-    history.id_mask = (1 << ID_BITS) - 1 if fits else -1
-    steps: list[list[int]] = []
-    filled = step_rows
-    for batch, count in sizes:
-        if filled + count > step_rows or not fits:
-            steps.append([])
-            filled = 0
-        steps[-1].append(batch)
-        filled += count
-    place = F.col("id")
-    if fits:
-        place = F.shiftleft(F.col("batch_no").cast("long"), ID_BITS).bitwiseOR(F.col("id"))
-    # the batches of a step are neighbours in their order, so the step of a batch is the number of steps that begin at or before it
-    step: Column = F.lit(-1)
-    for batches in steps:
-        step = step + (F.col("batch_no") >= batches[0]).cast("int")
-    placed = arrivals.select(place.alias("id"), *payload, "format", "bytes", step.alias("step"))
-    classes = work.save(copy_classes(placed, payload).repartition(len(steps), "step"), "classes", by=["step"])
-    history.learn(classes.where("step = 0"))
     if accepted is not None:
-        history.append(accepted.select(*columns))
-    for k in range(len(steps)):
-        decided = history.ingest(classes.where(F.col("step") == k).drop("step"), str(k), last=k == len(steps) - 1)
-    every = work.spark.read.schema(T.StructType([*decided.schema.fields, T.StructField("step", T.IntegerType())])).parquet(work.path("decided"))
-    result = history.expand(placed, every)
-    if not fits:
-        return result.select("id", F.element_at(F.array(*[F.lit(b[0]) for b in steps]), F.col("step") + 1).alias("batch_no"), "keeper", "score")
-    mask = (1 << ID_BITS) - 1
-    return result.select(
-        F.col("id").bitwiseAND(F.lit(mask)).alias("id"), F.shiftright("id", ID_BITS).cast("int").alias("batch_no"), F.col("keeper").bitwiseAND(F.lit(mask)).alias("keeper"), "score"
-    )
+        history.accept(work.save(accepted.select(*history.columns), "accepted"))
+    batches = sorted((r[0], r[1]) for r in arrivals.groupBy("batch_no").count().collect())
+    low, high = arrivals.agg(F.min("id"), F.max("id")).first()
+    known = accepted.agg(F.min("id"), F.max("id")).first() if accepted is not None else (None, None)
+    fits = min(low or 0, known[0] or 0, *[b for b, _ in batches]) >= 0 and max(high or 0, known[1] or 0) < 1 << ID_BITS and max((b for b, _ in batches), default=0) < 1 << (62 - ID_BITS)
+    place = F.shiftleft(F.col("batch_no").cast("long"), ID_BITS).bitwiseOR(F.col("id")) if fits else F.col("id")
+    placed = arrivals.select(place.alias("id"), *payload, "format", "bytes", F.col("batch_no").alias("step"))
+    files = -(-max((n for _, n in batches), default=1) // FILE_ROWS)
+    placed = work.save(placed.repartition(max(1, len(batches)) * files, "step", F.pmod(F.xxhash64("id"), F.lit(files))), "placed", by=["step"])
+    decided: DataFrame | None = None
+    while batches:
+        taken = plan_steps(batches, history.state["accepted"]) if fits else [batches[0][0]]
+        batches = batches[len(taken) :]
+        items = placed.where(F.col("step").between(taken[0], taken[-1])).withColumn("step", F.lit(taken[0]))
+        found = history.decide(copy_classes(items, payload).drop("step")).withColumn("step", F.lit(taken[0]))
+        history.finish()
+        step = F.when(F.col("step").between(taken[0], taken[-1]), taken[0]).otherwise(F.col("step"))
+        decided, placed = found if decided is None else decided.unionByName(found), placed.withColumn("step", step)
+    if decided is None:
+        return placed.select("id", "step", F.lit(None).cast("long").alias("keeper"), F.lit(None).cast("double").alias("score")), 63
+    return history.expand(placed, decided), ID_BITS if fits else 63
+
+
+def deduplicate_batches(history: History, arrivals: DataFrame, accepted: DataFrame | None) -> DataFrame:
+    """(id, keeper, score) of every arrival, batch after batch; keeper null where accepted.
+
+    ``arrivals`` is (id, batch_no, payload, format, bytes), one row per id; ``accepted``
+    the same without batch_no, taken without test.  The order is (batch_no, id).
+    Consecutive batches share a step as of :func:`plan_steps`, which changes no result.
+    """
+    rows, bits = run_batches(history, arrivals, accepted)
+    return rows.select(plain("id", bits), plain("keeper", bits), "score")
+
 
+def plain(column: str, bits: int) -> Column:
+    """An id without the batch above it."""
+    return F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias(column) if bits < 63 else F.col(column)
 
-def common_codes(arrivals: DataFrame, least_share: float = 0.002, most: int = 500) -> list[int]:
+
+def common_codes(items: DataFrame, least_share: float = 0.002, most: int = 500) -> list[int]:
     """The at most ``most`` codes held by a share of ``least_share`` or more of the distinct sets."""
-    sets = arrivals.select("codes").distinct()
+    sets = items.select("codes").distinct()
     count = sets.count()
     rows = sets.select(F.explode("codes").alias("c")).groupBy("c").count().where(F.col("count") >= max(50, least_share * count))
     return [r[0] for r in rows.orderBy(F.desc("count"), "c").limit(most).collect()]
 
 
-def image_history(images: DataFrame, known: DataFrame, spark: SparkSession, reach: int = 25, clusters: bool = False) -> DataFrame:
-    arrivals = first_arrivals(images, "image_id", [usable_hash("phash")], F.col("format"), F.col("file_size"))
-    words = word_columns(F.col("p0"))
-    arrivals = arrivals.where("p0 is not null").select("id", "batch_no", *words, "format", "bytes")
-    seen = known.where("media = 'image'").select(F.col("known_id").cast("long").alias("id"), usable_hash("phash").alias("p0")).groupBy("id").agg(F.max("p0").alias("p0"))
-    seen = seen.where("p0 is not null").select("id", *word_columns(F.col("p0")), F.lit(None).cast("string").alias("format"), F.lit(None).cast("long").alias("bytes"))
-    history = History(spark, image_medium(reach), clusters=clusters)
-    decided = deduplicate_batches(history, arrivals, seen)
-    return history.members(decided) if clusters else decided
+def image_items(df: DataFrame, id_col: str = "image_id") -> DataFrame:
+    """(id, batch_no, w0..w3, format, bytes) of image rows with a usable pHash, one per id."""
+    rows = first_arrivals(df, id_col, [usable_hash("phash")], F.col("format"), F.col("file_size"))
+    return rows.where("p0 is not null").select("id", "batch_no", *word_columns(F.col("p0")), "format", "bytes")
+
+
+def video_codes(column: str) -> Column:
+    return F.array_sort(F.transform(usable_set(column), lambda x: F.xxhash64(x)))
+
+
+def video_items(df: DataFrame, id_col: str = "video_id") -> DataFrame:
+    """(id, batch_no, codes, format, bytes) of video rows with usable frames, one per id."""
+    rows = first_arrivals(df, id_col, [video_codes("frame_hashes")], F.lit(None).cast("string"), F.col("file_size"))
+    return rows.where("size(p0) > 0").select("id", "batch_no", F.col("p0").alias("codes"), "format", "bytes")
+
 
+def known_items(known: DataFrame, media: str) -> DataFrame:
+    """(id, payload, format, bytes) of the known records of a medium."""
+    rows = known.where(F.col("media") == media).withColumns({"batch_no": F.lit(0), "format": F.lit(None).cast("string"), "file_size": F.lit(None).cast("long")})
+    return (image_items if media == "image" else video_items)(rows, "known_id").drop("batch_no")
 
-def video_history(videos: DataFrame, known: DataFrame, spark: SparkSession, least: Fraction = Fraction(3, 5), clusters: bool = False) -> DataFrame:
-    def codes(column: str) -> Column:
-        return F.array_sort(F.transform(usable_set(column), lambda x: F.xxhash64(x)))
 
-    arrivals = first_arrivals(videos, "video_id", [codes("frame_hashes")], F.lit(None).cast("string"), F.col("file_size"))
-    arrivals = arrivals.where("size(p0) > 0").select("id", "batch_no", F.col("p0").alias("codes"), "format", "bytes")
-    seen = known.where("media = 'video'").select(F.col("known_id").cast("long").alias("id"), codes("frame_hashes").alias("c"))
-    seen = seen.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("c")))).alias("codes")).where("size(codes) > 0")
-    seen = seen.select("id", "codes", F.lit(None).cast("string").alias("format"), F.lit(None).cast("long").alias("bytes"))
+def history_of(arrivals: DataFrame, known: DataFrame, kind: str, clusters: bool, **options) -> DataFrame:
+    """What all batches of ``arrivals`` come to, as (id, keeper, score), or as (record_id, cluster_id)."""
+    spark = arrivals.sparkSession
+    work = Workspace(spark, f"history-{kind}")
+    arrivals, known = work.save(arrivals, "items"), work.save(known, "known")
     first = arrivals.agg(F.min("batch_no")).first()[0]
-    hot = common_codes(arrivals.where(F.col("batch_no") == first).select("codes").unionByName(seen.select("codes"))) if first is not None else []
-    history = History(spark, video_medium(hot, least), clusters=clusters)
-    decided = deduplicate_batches(history, arrivals, seen)
-    return history.members(decided) if clusters else decided
+    start = arrivals.where(F.col("batch_no") == first).drop("batch_no").unionByName(known) if first is not None else known
+    history = History.create(spark, work.path("history"), kind, start, arrivals.count() + known.count(), max(1, start.count()), clusters=clusters, **options)
+    if clusters:
+        decided, bits = run_batches(history, arrivals, known)
+        result = history.members(decided).select(plain("record_id", bits), plain("cluster_id", bits))
+    else:
+        result = deduplicate_batches(history, arrivals, known)
+    result = work.save(result, "result")
+    history.forget()
+    work.drop("history", "items", "known")
+    return result
 
 
 def side_by_side(images: DataFrame, videos: DataFrame, known: DataFrame, clusters: bool = False) -> list[tuple[DataFrame, str]]:
     """The result of both media, worked on at the same time."""
     from concurrent.futures import ThreadPoolExecutor
 
-    spark = images.sparkSession
     with ThreadPoolExecutor(2) as pool:
-        left = pool.submit(image_history, images, known, spark, clusters=clusters)
-        right = pool.submit(video_history, videos, known, spark, clusters=clusters)
+        left = pool.submit(history_of, image_items(images), known_items(known, "image"), "image", clusters)
+        right = pool.submit(history_of, video_items(videos), known_items(known, "video"), "video", clusters)
         return [(left.result(), "image"), (right.result(), "video")]
 
 
@@ -456,7 +602,8 @@ def duplicates_of_history(images: DataFrame, videos: DataFrame, known: DataFrame
 def clusters_of_history(images: DataFrame, videos: DataFrame, known: DataFrame) -> DataFrame:
     """(media, record_id, cluster_id) of every duplicate as of :func:`duplicates_of_history` and of every accepted item near one.
 
-    The mapping of clusters is updated batch after batch, by all links of a duplicate to items accepted before it.
+    The log of clusters is extended batch after batch, by all links of a duplicate to items accepted before it; a cluster is
+    named by the item accepted first.
     """
     rows = [df.select(F.lit(m).alias("media"), "record_id", "cluster_id") for df, m in side_by_side(images, videos, known, clusters=True)]
     return rows[0].unionByName(rows[1])

@@ -11,12 +11,13 @@ from twinsift.llm.components import counting_edges, linked_groups
 from twinsift.llm.incremental import clusters_of_history, duplicates_of_history
 from twinsift.llm.knn import neighbour_pairs, similar_vectors
 from twinsift.llm.leakage import leaked_items
-from twinsift.llm.packing import pack_texts
+from twinsift.llm.packing import CAPACITY, pack_texts
 from twinsift.llm.quality import complete_rules, learn_prose_rules, prose_policy, rules_sql, text_statistics
 from twinsift.llm.setjoin import record_sets, similar_set_pairs, similar_set_summary
 from twinsift.llm.shared import Workspace, usable_hash
 from twinsift.llm.survivor import SURVIVORS, VOTES, surviving_values, survivors_by_group, unpivot_media
 from twinsift.operators.similarity import against_all
+from twinsift.plans.oracle import greedy
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -105,13 +106,34 @@ def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_texts(table(spark, folder, "documents"))
 
 
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """One row about p7_packing: documents, and how many break a rule (more than their capacity in a container, gaps between pieces, cut though they fit, tokens lost)."""
+    work = Workspace(spark, "packing-checks")
+    pieces = work.save(p7_packing(spark, folder), "pieces")
+    by_doc = pieces.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max(F.col("start_token") + F.col("n_tokens")).alias("stop"))
+    docs = by_doc.agg(
+        F.count("*").alias("documents"),
+        F.count(F.when((F.col("n") > 1) & (F.col("tokens") <= CAPACITY), 1)).alias("cut_in_vain"),
+        F.count(F.when(F.col("tokens") != F.col("stop"), 1)).alias("lost"),
+    )
+    line = Window.partitionBy("container_id").orderBy("offset_in_container")
+    placed = pieces.where("container_id is not null").withColumn("gap", F.col("offset_in_container") != F.coalesce(F.lag(F.col("offset_in_container") + F.col("n_tokens")).over(line), F.lit(0)))
+    held = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.when(F.col("gap"), 1)).alias("gaps"))
+    packs = held.agg(
+        F.count(F.when(F.col("tokens") > CAPACITY, 1)).alias("overfull"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"),
+        (F.coalesce(F.max("container_id") + 1, F.lit(0)) - F.count("*")).alias("unused_numbers"), (F.coalesce(F.sum("tokens"), F.lit(0)) * 100 >= F.count("*") * CAPACITY * 99).alias("well_filled"),
+    )
+    # two tables of one row each
+    return docs.withColumn("one", F.lit(1)).join(packs.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_report(spark, folder).select("doc_id", "item_id")
 
 
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Leaks with their relative BM25 score and the number of matching places."""
-    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    """Leaks with the number of places of the document that match."""
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id", "shared_runs")
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +158,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         p1_found, p1_neighbours, p1_recall, p2_found, p2_classes, p3_found, p3_golden, p5_found, p6_found, p6_clusters,
-        p7_packing, p8_found, p8_report, p9_statistics, p9_found,
+        p7_packing, p7_checks, p8_found, p8_report, p9_statistics, p9_found,
     ]
     return {f.__name__: f for f in found}
 
@@ -173,6 +195,52 @@ counts AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w,
 """
 
 
+USABLE = "regexp_full_match(lower(trim(h, ' ')), '[0-9a-f]{64}')"
+LEAKS = """
+items AS (SELECT DISTINCT item_id, list_transform(regexp_extract_all(passage, '[A-Za-z0-9_]+'), lambda t: lower(t)) AS t FROM eval_items WHERE item_id IS NOT NULL AND passage IS NOT NULL),
+runs AS (SELECT DISTINCT item_id, k, array_to_string(t[s : s + k - 1], ' ') AS run FROM (SELECT item_id, t, least(len(t), 13) AS k, unnest(range(1, len(t) - least(len(t), 13) + 2)) AS s FROM items WHERE len(t) > 0)),
+docs AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: lower(t)) AS t FROM documents WHERE text IS NOT NULL),
+places AS (SELECT doc_id, k, s, array_to_string(t[s : s + k - 1], ' ') AS run FROM (SELECT doc_id, t, k, unnest(range(1, len(t) - k + 2)) AS s FROM docs, (SELECT DISTINCT k FROM runs) WHERE len(t) >= k)),
+leaks AS (SELECT doc_id, item_id, count(*) AS shared_runs FROM places JOIN runs USING (k, run) GROUP BY ALL)"""
+
+
+def arrivals_sql(media: str) -> str:
+    """Records in order of arrival, classes of equal payload, near pairs of classes, and those that join an earlier one; names end in the medium."""
+    m = media[0]
+    if media == "image":
+        rows = f"""held_{m} AS (SELECT image_id AS id, batch_no AS b, phash AS h, false AS known FROM images UNION ALL SELECT known_id, 0, phash, true FROM known_media WHERE media = 'image'),
+records_{m} AS (SELECT * FROM (SELECT id, known, min(b) AS b, max(lower(trim(h, ' '))) FILTER ({USABLE}) AS v FROM held_{m} WHERE id IS NOT NULL GROUP BY id, known) WHERE v IS NOT NULL AND b IS NOT NULL)"""
+        near = f"""every_{m} AS MATERIALIZED (SELECT x.o AS src, y.o AS dst, x.known AND y.known AS old FROM classes_{m} x JOIN classes_{m} y ON x.o < y.o
+  WHERE bit_count(xor(from_hex(x.v)::BLOB::BIT, from_hex(y.v)::BLOB::BIT)) <= 25)"""
+    else:
+        rows = f"""held_{m} AS (SELECT video_id AS id, batch_no AS b, frame_hashes AS f, false AS known FROM videos UNION ALL SELECT known_id, 0, frame_hashes, true FROM known_media WHERE media = 'video'),
+batches_{m} AS (SELECT id, known, min(b) AS b FROM held_{m} WHERE id IS NOT NULL GROUP BY id, known),
+sets_{m} AS (SELECT id, known, list_sort(list(DISTINCT lower(trim(h, ' ')))) AS v FROM (SELECT id, known, unnest(f) AS h FROM held_{m}) WHERE {USABLE} GROUP BY id, known),
+records_{m} AS (SELECT * FROM sets_{m} JOIN batches_{m} USING (id, known) WHERE b IS NOT NULL)"""
+        near = f"""frames_{m} AS (SELECT o, known, len(v) AS n, unnest(v) AS h FROM classes_{m}),
+every_{m} AS MATERIALIZED (SELECT x.o AS src, y.o AS dst, bool_and(x.known AND y.known) AS old FROM frames_{m} x JOIN frames_{m} y ON x.h = y.h AND x.o < y.o GROUP BY x.o, y.o, x.n, y.n HAVING 5 * count(*) >= 3 * (x.n + y.n - count(*)))"""
+    return f"""{rows},
+ordered_{m} AS MATERIALIZED (SELECT id, known, v, row_number() OVER (ORDER BY known DESC, b, id) AS o FROM records_{m}),
+classes_{m} AS MATERIALIZED (SELECT v, min(o) AS o, bool_or(known) AS known FROM ordered_{m} GROUP BY v),
+{near},
+pairs_{m} AS MATERIALIZED (SELECT src, dst FROM every_{m} WHERE NOT old), {greedy(f"pairs_{m}", f"_{m}")},
+placed_{m} AS MATERIALIZED (SELECT r.id, r.o, c.o AS c, r.o = c.o AND c.o NOT IN (SELECT node FROM joined_{m}) OR r.known AS accepted FROM ordered_{m} r JOIN classes_{m} c USING (v))"""
+
+
+def clusters_sql(media: str) -> str:
+    """(record_id, cluster_id) of a medium after :func:`arrivals_sql`."""
+    m = media[0]
+    return f"""around_{m} AS MATERIALIZED (SELECT src AS a, dst AS b FROM every_{m} UNION ALL SELECT dst, src FROM every_{m} UNION ALL SELECT o, o FROM classes_{m}),
+links_{m} AS MATERIALIZED (SELECT d.id AS dup, k.o AS item FROM placed_{m} d JOIN around_{m} n ON n.a = d.c JOIN placed_{m} k ON k.c = n.b AND k.accepted AND k.o < d.o WHERE NOT d.accepted),
+firsts_{m} AS MATERIALIZED (SELECT dup, min(item) AS item FROM links_{m} GROUP BY dup),
+ties_{m} AS MATERIALIZED (SELECT DISTINCT f.item AS a, l.item AS b FROM firsts_{m} f JOIN links_{m} l USING (dup)),
+both_{m} AS MATERIALIZED (SELECT a, b FROM ties_{m} UNION SELECT b, a FROM ties_{m}),
+reach_{m} AS (SELECT a AS item, a AS seen FROM both_{m} UNION SELECT r.item, e.b FROM reach_{m} r JOIN both_{m} e ON e.a = r.seen),
+roots_{m} AS MATERIALIZED (SELECT item, min(seen) AS root FROM reach_{m} GROUP BY item),
+named_{m} AS (SELECT r.item, i.id AS record_id, c.id AS cluster_id FROM roots_{m} r JOIN ordered_{m} i ON i.o = r.item JOIN ordered_{m} c ON c.o = r.root),
+out_{m} AS (SELECT dup AS record_id, cluster_id FROM firsts_{m} JOIN named_{m} USING (item) UNION ALL SELECT record_id, cluster_id FROM named_{m})"""
+
+
 def oracle_sql() -> dict[str, str]:
     apart = " + ".join(f"bit_count(xor(from_hex(x.{h})::BLOB::BIT, from_hex(y.{h})::BLOB::BIT))" for h in ("phash", "dhash", "ahash"))
     usable = ", ".join(f"max(lower(trim({h}, ' '))) FILTER (regexp_full_match(lower(trim({h}, ' ')), '[0-9a-f]{{64}}')) AS {h}" for h in ("phash", "dhash", "ahash"))
@@ -199,6 +267,14 @@ def oracle_sql() -> dict[str, str]:
             u AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
             walk AS (SELECT DISTINCT a AS path, a AS seen FROM u UNION SELECT walk.path, u.b FROM walk JOIN u ON u.a = walk.seen)
             SELECT path, min(seen) AS group_key FROM walk GROUP BY path""",
+        "p6_found": f"""WITH RECURSIVE {arrivals_sql("image")}, {arrivals_sql("video")}
+            SELECT 'image' AS media, id AS record_id FROM placed_i WHERE NOT accepted UNION ALL SELECT 'video', id FROM placed_v WHERE NOT accepted""",
+        "p6_clusters": f"""WITH RECURSIVE {arrivals_sql("image")}, {arrivals_sql("video")}, {clusters_sql("image")}, {clusters_sql("video")}
+            SELECT record_id, cluster_id FROM out_i UNION ALL SELECT record_id, cluster_id FROM out_v""",
+        # the tokenizer is not in SQL: what must hold whatever the tokens are
+        "p7_checks": "SELECT count(*) AS documents, 0 AS cut_in_vain, 0 AS lost, 0 AS overfull, 0 AS gaps, 0 AS unused_numbers, true AS well_filled FROM documents",
+        "p8_found": f"WITH {LEAKS} SELECT doc_id, item_id FROM leaks",
+        "p8_report": f"WITH {LEAKS} SELECT doc_id, item_id, shared_runs FROM leaks",
         "p9_statistics": f"""WITH {WORDS} SELECT doc_id, n_words, n_word_chars, n_symbols, n_lines, n_stop_lines, n_common,
             round(n_word_chars / nullif(n_words, 0), 6) AS mean_word_length, round(n_symbols / nullif(n_word_chars, 0), 6) AS symbol_share,
             round(n_stop_lines / nullif(n_lines, 0), 6) AS stop_line_share, round(n_common / nullif(n_words, 0), 6) AS common_share FROM counts""",
