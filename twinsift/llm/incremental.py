@@ -564,7 +564,9 @@ def history_of(arrivals: DataFrame, known: DataFrame, kind: str, clusters: bool,
     arrivals, known = work.save(arrivals, "items"), work.save(known, "known")
     first = arrivals.agg(F.min("batch_no")).first()[0]
     start = arrivals.where(F.col("batch_no") == first).drop("batch_no").unionByName(known) if first is not None else known
-    history = History.create(spark, work.path("history"), kind, start, arrivals.count() + known.count(), max(1, start.count()), clusters=clusters, **options)
+    # planned for what is there at the start; keys are planned anew as the history grows
+    held = max(1, start.count())
+    history = History.create(spark, work.path("history"), kind, start, held, held, clusters=clusters, **options)
     if clusters:
         decided, bits = run_batches(history, arrivals, known)
         result = history.members(decided).select(plain("record_id", bits), plain("cluster_id", bits))
