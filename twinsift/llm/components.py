@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.shared import Workspace
+from twinsift.operators.skew import join_heads
 
 #: Edges of one partition: some 50 MB of a Python worker.
 PART_EDGES = 100_000
-HOT_GROUPS = 1_000
 
 
-def forest(a: np.ndarray, b: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of every node of the edges a - b; the root is the node of smallest rank (default: value) of its tree."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node of the edges a - b; the root is the smallest node of its tree."""
     nodes, place = np.unique(np.r_[a, b], return_inverse=True)
     left, right = place[: len(a)].tolist(), place[len(a) :].tolist()
     parent = list(range(len(nodes)))
@@ -62,13 +62,15 @@ def forests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": node, "root": root})
 
 
-def component_roots(edges: DataFrame, part_edges: int = PART_EDGES, max_rounds: int = 200) -> DataFrame:
+def component_roots(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
     """(node, root) of every node of the edges (a, b), bigint; root is some node of the component, the same for all of it."""
     work = Workspace(edges.sparkSession, "components")
     edges = work.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges-0")
     count = edges.count()
     steps: list[DataFrame] = []
-    for turn in range(1, max_rounds):
+    turn = 0
+    while True:
+        turn += 1
         if count <= part_edges:
             final = work.save(edges.coalesce(1).mapInPandas(forests, "node long, root long"), f"last-{turn}")
             break
@@ -87,14 +89,17 @@ def component_roots(edges: DataFrame, part_edges: int = PART_EDGES, max_rounds:
         ties = trees.withColumnRenamed("root", "other").join(chosen.where("several"), "node").where("root <> other")
         edges = work.save(ties.select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct(), f"edges-{turn}")
         work.drop(f"edges-{turn - 1}", f"trees-{turn}")
-        count = edges.count()
-    else:
-        raise RuntimeError(f"no end after {max_rounds} rounds")
+        before, count = count, edges.count()
+        if count >= before:
+            # a round over random ranks contracts; cut wider rather than go on for ever where it did not
+            part_edges *= 2
     labels = final
-    for step in reversed(steps):
-        # a node's label is that of its root, or the root itself where no later round saw it
-        labels = step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        labels = work.save(labels, f"labels-{len(steps)}-{id(step)}")
+    for k, step in reversed(list(enumerate(steps))):
+        # a node's label is that of its root, or the root itself where no later round saw it; the few roots of very many nodes go apart
+        sizes = work.save(step.groupBy("root").agg(F.count("*").alias("n")), f"sizes-{k}")
+        tops = sizes.join(labels.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("root", F.coalesce("top", "root").alias("top"), "n")
+        labels = work.save(join_heads(step, tops, "root", "top", "n", step.count()).select("node", F.col("top").alias("root")), f"labels-{k}")
+        work.drop(f"sizes-{k}")
     return labels
 
 
@@ -117,12 +122,7 @@ def linked_groups(edges: DataFrame, src: str = "src", dst: str = "dst", part_edg
     roots = component_roots(pairs.select(s.alias("a"), d.alias("b")), part_edges)
     named = work.save(roots.join(nodes.select("node", "path"), "node").select("root", "path"), "named")
     keys = work.save(named.groupBy("root").agg(F.min("path").alias("group_key"), F.count("*").alias("n")), "keys")
-    # the few largest groups by broadcast, so that one of them does not fill a task
-    total = named.count()
-    large = keys.where(F.col("n") > max(10_000, total // HOT_GROUPS)).select("root", F.col("group_key").alias("large_key"))
-    marked = named.join(F.broadcast(large), "root", "left")
-    rest = marked.where("large_key is null").join(keys.select("root", "group_key"), "root").select("path", "group_key")
-    return rest.unionByName(marked.where("large_key is not null").select("path", F.col("large_key").alias("group_key")))
+    return join_heads(named, keys, "root", "group_key", "n", named.count()).select("path", "group_key")
 
 
 def counting_edges(edges: DataFrame, least: float = 0.85) -> DataFrame:

@@ -308,24 +308,40 @@ def learn_prose_rules(statistics: DataFrame, label: Column, sample: int = SAMPLE
     return induce_rules(x, y) if len(y) else []
 
 
-def complete_rules(statistics: DataFrame, label: Column, rules: list[list[Condition]], sample: int = SAMPLE_DOCUMENTS, rounds: int = 10) -> list[list[Condition]]:
-    """The rules and further ones for the documents of ``label`` that none covers, until all documents of ``label`` are covered.
+def complete_rules(statistics: DataFrame, label: Column, rules: list[list[Condition]], sample: int = SAMPLE_DOCUMENTS, rounds: int = 20) -> list[list[Condition]]:
+    """Rules that agree with ``label`` on all documents, from rules learned on a sample, which may lack the outermost documents.
 
-    A sample may lack the outermost documents.  Those left out are counted over the
-    whole table and learned against other documents.  No rules are returned if some
-    are still left out after ``rounds``, so that the caller goes by the definition.
+    Documents on which rules and label differ are sought in the whole table and learned
+    from (at most ``sample`` a round): conditions are settled anew with those the rules
+    take in wrongly, and what no rule covers gets a further rule.  No rules are returned
+    if some still differ after ``rounds``, so that the caller goes by the definition.
     """
+    if not rules:
+        return []
+    x, y = labelled_sample(statistics, label, sample)
     for _ in range(rounds):
-        if not rules:
-            break
-        left = statistics.where(label & (F.expr(rules_sql(rules)) != "prose"))
-        if left.isEmpty():
+        wrong = statistics.where(label != (F.expr(rules_sql(rules)) == "prose"))
+        if wrong.isEmpty():
             return rules
-        x, y = labelled_sample(left, label, sample)
-        x2, y2 = labelled_sample(statistics.where(~label), label, sample)
-        x, y = np.concatenate([x, x2]), np.concatenate([y, y2])
-        rule = settle_rule(grow_rule(x, y, FEATURES, 1.0), x, y, FEATURES)
-        if not rule:
-            break
-        rules = [*rules, rule]
+        more_x, more_y = labelled_sample(wrong, label, sample)
+        x, y = np.concatenate([x, more_x]), np.concatenate([y, more_y])
+        # a rule that takes in others than positives gets conditions against them
+        kept: list[list[Condition]] = []
+        left = np.ones(len(y), bool)
+        for rule in rules:
+            rule = settle_rule(rule, x[left], y[left], FEATURES)
+            inside = left & covers(rule, x, FEATURES)
+            if (inside & ~y).any() and (inside & y).any():
+                rule = settle_rule([*rule, *grow_rule(x[inside], y[inside], FEATURES, 1.0)], x[left], y[left], FEATURES)
+                inside = left & covers(rule, x, FEATURES)
+            if (inside & y).any() and not (inside & ~y).any():
+                kept.append(rule)
+                left &= ~inside
+        if y[left].any():
+            rule = settle_rule(grow_rule(x[left], y[left], FEATURES, 1.0), x[left], y[left], FEATURES)
+            if rule:
+                kept.append(rule)
+        if not kept:
+            return []
+        rules = kept
     return []

@@ -78,9 +78,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_golden(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per group, values elected by votes of trust and recency."""
+    """One row per group, values elected by votes of trust and recency.
+
+    A source is what a row's path promises: names in a format without loss are trusted more than others.
+    """
     members, fields = p3_rows(spark, folder)
-    won = surviving_values(members, fields, VOTES, trust={"videos": 0.9})
+    lossless = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin("png", "bmp", "tif", "tiff")
+    won = surviving_values(members, fields.withColumn("source", F.when(lossless, "lossless").otherwise("lossy")), VOTES, trust={"lossy": 0.6})
     return survivors_by_group(won, ["resolution", "file_size", "duration"])
 
 
@@ -143,16 +147,16 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents the learned rule list calls prose, checked against the definition.
+    """Documents the learned rule list calls prose.
 
-    The statistics are written once: learning and applying both read them.
+    The statistics are written once: learning and applying both read them.  Rules are
+    learned on until they agree with the definition on all documents; if they cannot
+    (without an example of prose nothing can be learned) the definition stands alone.
     """
     work = Workspace(spark, "quality")
     rows = work.save(text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words")), "statistics")
     rules = complete_rules(rows, prose_policy(), learn_prose_rules(rows, prose_policy()))
-    # without a labelled example of prose nothing can be learned; the definition then stands alone
-    chosen = rows.where(F.expr(rules_sql(rules)) == "prose") if rules else rows
-    return chosen.where(prose_policy()).select("doc_id")
+    return rows.where(F.expr(rules_sql(rules)) == "prose" if rules else prose_policy()).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -258,7 +262,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT group_id, field, path FROM joined QUALIFY row_number() OVER (PARTITION BY group_id, field
               ORDER BY CASE WHEN field = 'resolution' THEN -value ELSE 0 END, seen DESC NULLS LAST, path) = 1""",
         "p3_golden": f"""WITH {MEDIA_FIELDS},
-            voted AS (SELECT group_id, field, value, max(seen) AS seen, sum(CASE WHEN source = 'videos' THEN 0.9 ELSE 1 END *
+            voted AS (SELECT group_id, field, value, max(seen) AS seen, sum(CASE WHEN lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN ('png', 'bmp', 'tif', 'tiff') THEN 1 ELSE 0.6 END *
               coalesce(pow(2.0, -greatest(0.0, date_diff('day', seen::DATE, DATE '2024-01-01')) / 180.0), 0)) AS votes FROM joined GROUP BY ALL),
             won AS (SELECT * FROM voted QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY round(votes, 9) DESC, seen DESC NULLS LAST, value DESC) = 1)
             SELECT group_id, max(value) FILTER (field = 'resolution') AS resolution, max(value) FILTER (field = 'file_size') AS file_size,
