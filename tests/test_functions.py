@@ -133,9 +133,26 @@ def test_hashes_survive_resizing_and_tell_gradients_apart():
     assert P.image_hashes(image, 12)["whash"] is None
 
 
-def test_registered_sql_functions(spark):
-    assert len(register(spark)) == 3
-    assert spark.sql("select twinsift_hamming('ff', '0f'), twinsift_resolution(2, 3)").first()[:] == (4, "2x3")
+def test_registered_sql_functions_equal_the_columns(spark):
+    assert len(register(spark)) == 8
+    rng = random.Random(3)
+    pairs = [(f"{rng.getrandbits(4 * n):0{n}x}", f"{rng.getrandbits(4 * n):0{n}X}") for n in (2, 16, 17, 64, 64)] + [("ff", "fff"), ("zz", "ff"), (None, "ff"), ("", "")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    sql = [tuple(r) for r in df.selectExpr("twinsift_hamming(a, b)", "twinsift_similarity(a, b)", "twinsift_squared_similarity(a, b)").collect()]
+    for (a, b), got in zip(pairs, sql):
+        if a and b and len(a) == len(b) and a != "zz":
+            d = (int(a, 16) ^ int(b, 16)).bit_count()
+            assert got == (d, 1 - d / (4 * len(a)), 1 - d / (4 * len(a)) ** 2)
+        else:
+            assert got == (None, None, None)
+    sizes = spark.createDataFrame([(float(v) if v is not None else None,) for v in SIZES], "v double")
+    assert [r[0] for r in sizes.selectExpr("twinsift_size_text(v)").collect()] == list(SIZES.values())
+    times = spark.createDataFrame([(v,) for v in TIMES], "v double")
+    assert [r[0] for r in times.selectExpr("twinsift_duration_text(v)").collect()] == list(TIMES.values())
+    counts = [*range(-2, 40), 999]
+    places = spark.createDataFrame([(n,) for n in counts], "n long").selectExpr("twinsift_frame_indices(n, 10)").collect()
+    assert [r[0] for r in places] == [frame_places(n, 10) for n in counts]
+    assert spark.sql("select twinsift_resolution(2, 3), twinsift_hash_digest(array('a', '', null, 'b'))").first()[:] == ("2x3", "187ef4436122d1cc2f40dc2b92f0eba0")
 
 
 def test_average_hash_of_an_image_matches_columns(spark):

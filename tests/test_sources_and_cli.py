@@ -5,9 +5,11 @@ import zlib
 import numpy as np
 import pytest
 
+import twinsift
 from twinsift import cli
 from twinsift.api import ImageFinder, VideoFinder
 from twinsift.sources.catalog import filter_paths, find_images, walk_files
+from twinsift.sources.decoders import ImageFile
 from twinsift.sources.media import read_images, read_videos
 from twinsift.streaming.fingerprints import arrivals_per_window, exact_matches, watch_images, watch_rows
 
@@ -68,6 +70,45 @@ def test_images_become_rows_and_groups(spark, folder, capsys):
     assert "whash" not in finder.export().columns
 
 
+def test_missing_files_are_rows_and_a_decoder_reads_each_file_once(spark, folder):
+    files = spark.createDataFrame([(str(folder / "a.png"), 9), (str(folder / "gone.png"), 7), (str(folder / "bad.jpg"), None)], "path string, length long")
+    plain = {r["path"].rsplit("/", 1)[1]: r for r in read_images(spark, files).collect()}
+    assert set(plain) == {"a.png", "gone.png", "bad.jpg"} and plain["gone.png"]["phash"] is None and plain["gone.png"]["file_size"] == 7
+    assert read_images(spark, files.where("length = 7")).first()["width"] == 0
+
+    def decoder(data):
+        head = data.find(b"IDAT")
+        if head < 0:
+            return None
+        width, height = struct.unpack(">II", data[16:24])
+        rows = np.frombuffer(zlib.decompress(data[head + 4 : -16]), np.uint8).reshape(height, -1)[:, 1:]
+        return ImageFile(rows.reshape(height, width, -1), "PNG", "RGB")
+
+    own = {r["path"].rsplit("/", 1)[1]: r for r in read_images(spark, files, decoder=decoder).collect()}
+    assert all(own["a.png"][c] == plain["a.png"][c] for c in ("width", "height", "format", "mode", "phash", "ahash", "dhash", "whash", "file_size"))
+    assert own["gone.png"]["phash"] is None and own["bad.jpg"]["file_size"] == 12
+    single = twinsift.ImageHasher(decoder=decoder).hash_file(str(folder / "a.png"))
+    assert single == own["a.png"].asDict()
+    assert twinsift.ImageHasher(decoder=decoder).hash_file(str(folder / "gone.png"))["phash"] is None
+
+
+def test_a_single_video_has_the_row_of_the_table(spark, tmp_path):
+    frames = np.random.default_rng(4).integers(0, 256, (47, 24, 24), np.uint8)
+    with open(tmp_path / "a.mp4", "wb") as f:
+        np.savez(f, frames=frames, fps=0.0)
+    (tmp_path / "bad.mp4").write_text("x")
+    hasher = twinsift.VideoHasher()
+    for row in read_videos(spark.createDataFrame([(str(tmp_path / n), (tmp_path / n).stat().st_size) for n in ("a.mp4", "bad.mp4")], "path string, length long")).collect():
+        assert hasher.hash_file(row["path"]) == row.asDict()
+    assert hasher.hash_file(str(tmp_path / "gone.mp4"))["file_size"] == 0
+
+
+def test_exports():
+    assert all(getattr(twinsift, n) is not None for n in twinsift.__all__)
+    with pytest.raises(AttributeError):
+        twinsift.nothing
+
+
 def test_videos_become_rows_and_groups(spark, tmp_path):
     rng = np.random.default_rng(2)
     frames = rng.integers(0, 256, (60, 32, 32), np.uint8)
@@ -95,7 +136,7 @@ def test_command_line(spark, folder, tmp_path_factory, capsys):
     assert cli.main(["images", str(empty / "gone")]) == 1
     assert cli.main(["images", str(empty), "-t", "0"]) == 1
     assert cli.main(["images", str(empty)]) == 0
-    assert "No image files found" in capsys.readouterr().out
+    assert "holds no images" in capsys.readouterr().out
     (empty / "x.png").write_text("no")
     assert cli.main(["images", str(empty)]) == 1
     assert cli.main(["videos", str(empty)]) == 0
@@ -121,14 +162,14 @@ def test_streams(spark, folder, tmp_path_factory):
     out = tmp_path_factory.mktemp("stream")
     watch_images(spark, str(folder), str(out / "rows"), str(out / "ck")).awaitTermination()
     first = spark.read.parquet(str(out / "rows"))
-    assert first.count() == 5
+    assert sorted(r["path"][len(str(folder)) + 1 :] for r in first.collect()) == ["a.png", "bad.jpg", "grey.png", "sub/b.PNG", "sub/c[1].png"]
     watch_images(spark, str(folder), str(out / "rows"), str(out / "ck")).awaitTermination()
     assert spark.read.parquet(str(out / "rows")).count() == 5
     kind = "path string, phash string, file_size long, scanned_at timestamp"
     spark.sql("select * from values ('/a', 'x', 1L, timestamp'2024-01-01 00:00:00'), ('/b', 'x', 2L, timestamp'2024-01-01 05:00:00'), ('/c', 'y', 4L, timestamp'2024-01-05 00:00:00'), ('/d', 'x', 8L, timestamp'2024-01-05 01:00:00') t(path, phash, file_size, scanned_at)").write.parquet(str(out / "in"))
     query = exact_matches(watch_rows(spark, str(out / "in"), kind)).writeStream.format("memory").queryName("matches").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert [tuple(r) for r in spark.table("matches").collect()] == [("x", "/b", "/a")]
+    assert sorted(tuple(r) for r in spark.table("matches").collect()) == [("x", "/b", "/a"), ("x", "/d", "/a")]
     query = arrivals_per_window(watch_rows(spark, str(out / "in"), kind)).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r["files"], r["bytes"]) for r in spark.table("windows").collect()) == [(2, 3), (2, 12)]

@@ -17,7 +17,8 @@ from twinsift.operators.similarity import frame_words, image_similarity, video_s
 from twinsift.schema import IMAGE_EXPORT, IMAGE_ROW, VIDEO_EXPORT, VIDEO_ROW
 from twinsift.sinks.report import print_report
 from twinsift.sources.catalog import find_images, find_videos
-from twinsift.sources.media import Decoder, array_decoder, read_images, read_videos, usable_images, usable_videos
+from twinsift.sources.decoders import ImageDecoder, VideoDecoder, any_video
+from twinsift.sources.media import read_images, read_videos, usable_images, usable_videos
 
 
 def check_threshold(value: float) -> float:
@@ -38,6 +39,7 @@ class ImageFinder:
     hash_type: str = "combined"
     mode: str = "strict"
     accelerated: bool = True
+    decoder: ImageDecoder | None = None
     rows: DataFrame | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
@@ -48,7 +50,7 @@ class ImageFinder:
 
     def process(self, files: DataFrame) -> DataFrame:
         """Fingerprint files and add the usable ones to ``rows``."""
-        return self.add(read_images(self.spark, files, self.hash_size))
+        return self.add(read_images(self.spark, files, self.hash_size, decoder=self.decoder))
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Add rows fingerprinted elsewhere."""
@@ -82,7 +84,7 @@ class VideoFinder:
     hash_size: int = DEFAULT_HASH_SIZE
     mode: str = "strict"
     accelerated: bool = True
-    decoder: Decoder = array_decoder
+    decoder: VideoDecoder = any_video
     rows: DataFrame | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from twinsift.plans.workspace import Workspace
 
 #: Relative costs of a stored key, a look-up, and a meeting of two vectors in a key.
-KEY_COST, LOOK_UP_COST, MEETING_COST = 1.0, 1.0, 0.04
+KEY_COST, LOOK_UP_COST, MEETING_COST = 1.0, 1.5, 0.02
 WIDEST_PART = 60
 #: A key is hot if it holds this many vectors and this share of all keys: at most 1 / HOT_SHARE keys are.
 HOT_ROWS, HOT_SHARE = 1024, 1e-5

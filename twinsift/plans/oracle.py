@@ -119,6 +119,8 @@ PERCENT = "CASE WHEN similarity IS NOT NULL THEN printf('%.1f%%', similarity * 1
 MEMBER = f"group_id, rank, path, width::VARCHAR || 'x' || height::VARCHAR AS resolution, CASE WHEN file_size IS NOT NULL THEN {SIZE} END AS size, {PERCENT} AS similarity_text"
 SAVED = "saved AS (SELECT group_id, count(*) AS members, count(file_size) AS known, CASE WHEN count(file_size) > 1 THEN sum(file_size) - max(file_size) ELSE 0 END::BIGINT AS savings FROM groups LEFT JOIN infos USING (path) GROUP BY group_id)"
 LEVELS = "list_transform(p, lambda x: greatest(0, least(255, floor((x + 1) * 127.5))))"
+MOSAICS = f"""tiles AS (SELECT vec_id // 16 AS mosaic, vec_id % 16 AS tile, {LEVELS} AS p FROM grid),
+        px AS (SELECT mosaic, (tile * 64 + i) // 32 AS r, (tile * 64 + i) % 32 AS c, p[i + 1] AS v FROM tiles, range(64) t(i) WHERE mosaic IN (SELECT mosaic FROM tiles GROUP BY 1 HAVING count(*) = 16))"""
 
 SQL = {
     "p4_found": f"""WITH {HASH_ROWS},
@@ -145,8 +147,18 @@ SQL = {
     "whash_haar_bits": f"""WITH {GRID}, low AS (SELECT vec_id, list_transform(range(16), lambda i: round((p[(i // 4) * 16 + (i % 4) * 2 + 1] + p[(i // 4) * 16 + (i % 4) * 2 + 2]
           + p[(i // 4) * 16 + (i % 4) * 2 + 9] + p[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4, 9)) AS p FROM grid)
         SELECT vec_id, {hex_of('b', 4)} AS h FROM (SELECT vec_id, list_transform(p, lambda x: x > (list_sort(p)[8] + list_sort(p)[9]) / 2) AS b FROM low)""",
-    "mosaic_phash_bits": f"""WITH {GRID}, tiles AS (SELECT vec_id // 16 AS mosaic, vec_id % 16 AS tile, {LEVELS} AS p FROM grid),
-        px AS (SELECT mosaic, (tile * 64 + i) // 32 AS r, (tile * 64 + i) % 32 AS c, p[i + 1] AS v FROM tiles, range(64) t(i) WHERE mosaic IN (SELECT mosaic FROM tiles GROUP BY 1 HAVING count(*) = 16)),
+    # bilinear: a target pixel lies at (i + 1/2) * source / target - 1/2 between two source pixels
+    "mosaic_pixel_hashes": f"""WITH {GRID}, {MOSAICS},
+        places AS (SELECT n, i, floor((i + 0.5) * 32 / n - 0.5)::INT AS low, (i + 0.5) * 32 / n - 0.5 - floor((i + 0.5) * 32 / n - 0.5) AS share FROM (SELECT 8 AS n, unnest(range(8)) AS i UNION ALL SELECT 9, unnest(range(9)))),
+        ends AS (SELECT n, i, greatest(0, least(31, low)) AS at, 1 - share AS w FROM places UNION ALL SELECT n, i, greatest(0, least(31, low + 1)), share FROM places),
+        tall AS (SELECT mosaic, e.i AS r, c, sum(w * v) AS v FROM px JOIN ends e ON e.n = 8 AND e.at = r GROUP BY ALL),
+        small AS (SELECT mosaic, e.n AS n, r, e.i AS c, round_even(sum(w * v), 0) AS v FROM tall JOIN ends e ON e.at = c GROUP BY ALL),
+        a AS (SELECT mosaic, list(v > m ORDER BY r, c) AS b FROM (SELECT *, avg(v) OVER (PARTITION BY mosaic) AS m FROM small WHERE n = 8) GROUP BY mosaic),
+        d AS (SELECT mosaic, list(v > before ORDER BY r, c) FILTER (c > 0) AS b FROM (SELECT *, lag(v) OVER (PARTITION BY mosaic, r ORDER BY c) AS before FROM small WHERE n = 9) GROUP BY mosaic),
+        low AS (SELECT mosaic, r // 4 AS r, c // 4 AS c, avg(v) AS v FROM px GROUP BY ALL),
+        w AS (SELECT mosaic, list(v > m ORDER BY r, c) AS b FROM (SELECT *, median(v) OVER (PARTITION BY mosaic) AS m FROM low) GROUP BY mosaic)
+        SELECT mosaic, {hex_of('a.b', 16)} AS ahash, {hex_of('d.b', 16)} AS dhash, {hex_of('w.b', 16)} AS whash FROM a JOIN d USING (mosaic) JOIN w USING (mosaic)""",
+    "mosaic_phash_bits": f"""WITH {GRID}, {MOSAICS},
         basis AS (SELECT k, i, CASE WHEN k = 0 THEN sqrt(1 / 32.0) ELSE sqrt(2 / 32.0) * cos(pi() * (2 * i + 1) * k / 64.0) END AS w FROM range(8) a(k), range(32) b(i)),
         half AS (SELECT mosaic, k AS kr, c, sum(w * v) AS v FROM px JOIN basis ON i = r GROUP BY ALL),
         low AS (SELECT mosaic, kr, k AS kc, sum(w * v) AS v FROM half JOIN basis ON i = c GROUP BY ALL),
@@ -162,6 +174,12 @@ SQL = {
         pairs AS MATERIALIZED (SELECT x.path AS src, y.path AS dst, 1 - {differ('x.phash', 'y.phash')} / 256.0::DOUBLE AS similarity FROM rest x JOIN rest y ON x.path < y.path
           WHERE 1 - {differ('x.phash', 'y.phash')} / 256.0::DOUBLE >= 0.9), {near_groups('rest', 'rest', 'pairs', ('path',))}
         SELECT 0 AS phase, leader, path, similarity FROM exact UNION ALL SELECT 1, leader, path, similarity FROM near""",
+    "numbered_near_members": f"""WITH RECURSIVE {VALID}, {EXACT}, {REST},
+        pairs AS MATERIALIZED (SELECT x.path AS src, y.path AS dst, 1 - {differ('x.phash', 'y.phash')} / 256.0::DOUBLE AS similarity FROM rest x JOIN rest y ON x.path < y.path
+          WHERE 1 - {differ('x.phash', 'y.phash')} / 256.0::DOUBLE >= 0.9), {near_groups('rest', 'rest', 'pairs', ('path',))},
+        both_phases AS (SELECT 0 AS phase, leader, path, similarity FROM exact UNION ALL SELECT 1, leader, path, similarity FROM near)
+        SELECT dense_rank() OVER (ORDER BY phase, leader)::INT AS group_id, leader, path, similarity,
+          row_number() OVER (PARTITION BY phase, leader ORDER BY coalesce(file_size, 0) DESC, path)::INT AS rank FROM both_phases JOIN (SELECT path, file_size FROM valid) USING (path)""",
     "group_ranked_members": f"""WITH {VALID}, {EXACT} SELECT dense_rank() OVER (ORDER BY leader)::INT AS group_id, leader, path, similarity,
         row_number() OVER (PARTITION BY leader ORDER BY coalesce(file_size, 0) DESC, path)::INT AS rank FROM exact JOIN (SELECT path, file_size FROM valid) USING (path)""",
     "similarity_matrix": f"WITH {CODES} SELECT x.vec_id AS a, y.vec_id AS b, 1 - {differ('x.h', 'y.h')} / 64.0::DOUBLE AS similarity FROM codes x, codes y WHERE x.vec_id % 20 = 0",

@@ -12,6 +12,7 @@ from twinsift.functions import bits as B
 from twinsift.functions import formatting as T
 from twinsift.functions import frames as V
 from twinsift.functions.paths import has_extension, is_excluded
+from twinsift.functions.registry import hash_udf
 from twinsift.operators import report as R
 from twinsift.operators import similarity as S
 from twinsift.operators.groups import class_members, exact_groups, image_groups, near_image_groups, numbered_groups, remaining_images, sequence_members, video_groups
@@ -139,6 +140,12 @@ def group_ranked_members(spark: SparkSession, folder: str) -> DataFrame:
     return numbered_groups(exact_groups(rows), rows)
 
 
+def numbered_near_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact and near groups numbered together, exact ones first."""
+    rows = Workspace(spark, "numbered").save(valid_images(spark, folder), "rows")
+    return numbered_groups(image_groups(rows, 0.9, "phash"), rows)
+
+
 def codes(spark: SparkSession, folder: str) -> DataFrame:
     """(vec_id, h): embeddings as 8 x 8 grey images, each pixel against the median, as 16 hex digits."""
     middle = (F.col("o")[31] + F.col("o")[32]) / 2
@@ -179,12 +186,20 @@ def whash_haar_bits(spark: SparkSession, folder: str) -> DataFrame:
 
 def mosaic_phash_bits(spark: SparkSession, folder: str) -> DataFrame:
     """pHash (cosine transform, low block, median) of 32 x 32 mosaics of 16 consecutive embeddings, levels scaled to 0..255."""
-    from twinsift.functions.registry import hash_udf
+    return mosaics(spark, folder).select("mosaic", hash_udf("phash", 8, 32)("levels").alias("h"))
+
+
+def mosaic_pixel_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """The other hashes of the mosaics by the library's own functions: resized, then against the mean, the left neighbour, or the median of block means."""
+    return mosaics(spark, folder).select("mosaic", *[hash_udf(k, 8, 32)("levels").alias(k) for k in ("ahash", "dhash", "whash")])
+
 
+def mosaics(spark: SparkSession, folder: str) -> DataFrame:
+    """(mosaic, levels): 32 x 32 grey levels from 16 consecutive embeddings."""
     tiles = grid(spark, folder).select(F.floor(F.col("vec_id") / 16).alias("mosaic"), (F.col("vec_id") % 16).alias("tile"), "p")
     held = tiles.groupBy("mosaic").agg(F.array_sort(F.collect_list(F.struct("tile", "p"))).alias("t")).where("size(t) = 16")
     level = F.transform(F.flatten(F.transform("t", lambda t: t["p"])), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor((x + 1) * 127.5).cast("double"))))
-    return held.select("mosaic", hash_udf("phash", 8, 32)(level).alias("h"))
+    return held.select("mosaic", level.alias("levels"))
 
 
 def similarity_matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -320,9 +335,9 @@ def similarity_percent(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         p4_found, p4_summary, scan_extension_filter, scan_exclusion_filter, scan_distinct_sorted, fingerprint_filter,
-        hash_select_fallback, hex_roundtrip, median_hash_bits, ahash_bits, dhash_bits, whash_haar_bits, mosaic_phash_bits,
+        hash_select_fallback, hex_roundtrip, median_hash_bits, ahash_bits, dhash_bits, whash_haar_bits, mosaic_phash_bits, mosaic_pixel_hashes,
         exact_hash_groups, remaining_after_exact, near_pairs_phash, near_pairs_combined, image_class_members, near_groups_greedy, fast_groups_union,
-        group_ranked_members, similarity_matrix, hamming_rectangular, frame_sampling, video_metadata, video_average_hash,
+        group_ranked_members, numbered_near_members, similarity_matrix, hamming_rectangular, frame_sampling, video_metadata, video_average_hash,
         video_similarity_strict, video_similarity_compat, video_prefilter_refine, video_groups_strict, video_queries_strict,
         video_queries_compat, video_queries_prefilter, video_class_members, group_report,
         group_report_videos, group_savings, duplicate_totals, format_size, format_duration, resolution_label, similarity_percent,

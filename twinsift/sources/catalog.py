@@ -17,16 +17,21 @@ def filter_paths(paths: DataFrame, extensions: Iterable[str], excluded: Iterable
     return paths.where(has_extension("path", extensions) & ~is_excluded("path", excluded, whole_names)).select("path").distinct()
 
 
+def extension_glob(extensions: Iterable[str]) -> str:
+    """A pattern of file names that end in an extension, all lower or all upper case."""
+    return "*.{" + ",".join(e for x in sorted(extensions) for e in dict.fromkeys((x[1:], x[1:].upper()))) + "}"
+
+
 def list_files(spark: SparkSession, folder: str, extensions: Iterable[str], excluded: Iterable[str] = EXCLUDED_FOLDERS) -> DataFrame:
-    """(path, length): files under a folder of any file system Spark reads, without their content.
+    """(path, length): files under a folder of any file system Spark reads, in path order, without their content.
 
     Names that begin with ``.`` or ``_`` are invisible to Spark's readers; see
     :func:`walk_files` for a listing that has them.
     """
-    glob = "*.{" + ",".join(e for x in sorted(extensions) for e in dict.fromkeys((x[1:], x[1:].upper()))) + "}"
+    glob = extension_glob(extensions)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     local = F.regexp_replace("path", "^file:/*(?=/)", "")
-    return files.select(local.alias("path"), "length").where(~is_excluded("path", excluded))
+    return files.select(local.alias("path"), "length").where(~is_excluded("path", excluded)).orderBy("path")
 
 
 def walk_files(spark: SparkSession, folder: str, extensions: Iterable[str], excluded: Iterable[str] = EXCLUDED_FOLDERS) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,9 +15,10 @@ from twinsift.constants import DEFAULT_HASH_SIZE, DEFAULT_NUM_FRAMES, FALLBACK_F
 from twinsift.functions import pixels
 from twinsift.functions.frames import frame_digest, frame_indices
 from twinsift.schema import IMAGE_ROW, VIDEO_ROW
+from twinsift.sources.decoders import ImageDecoder, VideoDecoder, VideoFile, any_video, image_decoder, read_bytes
 
 #: How files of each format begin, in hex.
-SIGNATURES = {"PNG": "89504e470d0a1a0a", "JPEG": "ffd8ff", "GIF": "47494638", "BMP": "424d", "TIFF": "49492a00", "WEBP": "52494646"}
+SIGNATURES = {"PNG": "89504e470d0a1a0a", "JPEG": "ffd8ff", "GIF": "47494638", "BMP": "424d", "TIFF": "49492a00", "TIFF ": "4d4d002a", "WEBP": "52494646"}
 
 
 def pixels_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -28,17 +29,59 @@ def pixels_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray
     return image[:, :, [2, 1, 0, 3][:channels]]
 
 
-def read_images(spark: SparkSession, files: DataFrame, hash_size: int = DEFAULT_HASH_SIZE, kinds: tuple[str, ...] = tuple(pixels.MAKERS)) -> DataFrame:
+def decoded_images(files: DataFrame, hash_size: int, kinds: tuple[str, ...], decoder: ImageDecoder) -> DataFrame:
+    """Image rows by a decoder of bytes: each file is opened once, in the task that holds its row."""
+    names = [c.split()[0] for c in IMAGE_ROW.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, length in zip(batch["path"], batch["length"]):
+                data = read_bytes(path)
+                found = decoder(data) if data is not None else None
+                made: dict = dict.fromkeys(pixels.MAKERS)
+                if found is not None:
+                    made |= pixels.image_hashes(found.pixels, hash_size, kinds)
+                sides = found.pixels.shape[:2] if found is not None else (0, 0)
+                size = len(data) if data is not None else 0 if length != length or length is None else int(length)
+                rows.append((path, sides[1], sides[0], size, found.format if found else "", found.mode if found else "", *[made[k] for k in pixels.MAKERS]))
+            yield pd.DataFrame(rows, columns=names).astype(object)
+
+    return files.select("path", "length").mapInPandas(run, IMAGE_ROW.replace(" NOT NULL", ""))
+
+
+def read_images(
+    spark: SparkSession, files: DataFrame, hash_size: int = DEFAULT_HASH_SIZE, kinds: tuple[str, ...] = tuple(pixels.MAKERS), decoder: ImageDecoder | None = None
+) -> DataFrame:
     """Image rows of (path, length) files: size, format, mode and the hashes asked for.
 
-    Files that cannot be decoded give a row with null hashes and zero dimensions.
-    The list of paths goes through the driver, as for any reader of named files.
+    Files that are missing or cannot be decoded give a row with null hashes and zero
+    dimensions.  With a ``decoder`` (by default Pillow's, where Pillow is installed)
+    files are read where their rows lie.  Without one Spark's image source decodes
+    them; it takes named files, so the list of paths then goes through the driver.
     """
+    decoder = decoder or image_decoder()
+    if decoder is not None:
+        return decoded_images(files, hash_size, kinds, decoder)
+
+    def there(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[("://" in p and not p.startswith("file://")) or os.path.isfile(p.removeprefix("file://")) for p in batch["path"]]]
+
+    every = files.select("path", "length").where("path is not null")
+    rows = image_source_rows(spark, every.mapInPandas(there, "path string, length long"), hash_size, kinds)
+    lost = every.join(rows.select("path"), "path", "left_anti")
+    nothing = {"width": F.lit(0), "height": F.lit(0), "format": F.lit(""), "mode": F.lit("")} | {k: F.lit(None).cast("string") for k in pixels.MAKERS}
+    return rows.unionByName(lost.select("path", F.coalesce("length", F.lit(0)).cast("long").alias("file_size"), *[c.alias(n) for n, c in nothing.items()]))
+
+
+def image_source_rows(spark: SparkSession, files: DataFrame, hash_size: int, kinds: tuple[str, ...]) -> DataFrame:
+    """Image rows of existing files by Spark's image source."""
     # characters a reader would take as a pattern
     names = [re.sub(r"([*?\[\]{}\\])", r"\\\1", r[0]) for r in files.select("path").toLocalIterator()]
     columns = "origin string, width int, height int, mode string, phash string, ahash string, dhash string, whash string"
     if not names:
-        return spark.createDataFrame([], IMAGE_ROW)
+        return spark.createDataFrame([], IMAGE_ROW.replace(" NOT NULL", ""))
     raw = spark.read.format("image").option("dropInvalid", "false").load(names).select("image.*")
     label = {1: "L", 3: "RGB", 4: "RGBA"}
 
@@ -58,7 +101,7 @@ def read_images(spark: SparkSession, files: DataFrame, hash_size: int = DEFAULT_
     heads = spark.read.format("binaryFile").load(names).select(local.alias("path"), "length", F.lower(F.hex(F.substring("content", 1, 8))).alias("head"))
     kind = F.lit("")
     for name, start in SIGNATURES.items():
-        kind = F.when(F.col("head").startswith(start), name).otherwise(kind)
+        kind = F.when(F.col("head").startswith(start), name.strip()).otherwise(kind)
     joined = heads.join(seen, "path", "left")
     return joined.select(
         "path", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"), F.col("length").alias("file_size"),
@@ -71,31 +114,7 @@ def usable_images(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("phash").isNotNull() & (F.col("phash") != ""))
 
 
-@dataclass
-class VideoFile:
-    """What a decoder knows of a video before any frame is read."""
-
-    fps: float
-    frame_count: int
-    width: int
-    height: int
-
-
-#: A decoder opens a path and returns its facts and a function index -> RGB frame (or None), or None if it cannot open it.
-Decoder = Callable[[str], "tuple[VideoFile, Callable[[int], np.ndarray | None]] | None"]
-
-
-def array_decoder(path: str):
-    """Videos kept as arrays: an .npz file with ``frames`` (n, height, width[, 3]) and ``fps``, whatever its name ends in."""
-    try:
-        held = np.load(path, allow_pickle=False)
-        frames, fps = held["frames"], float(held["fps"])
-    except (OSError, ValueError, KeyError):
-        return None
-    return VideoFile(fps, len(frames), frames.shape[2], frames.shape[1]), lambda i: frames[i] if 0 <= i < len(frames) else None
-
-
-def read_videos(files: DataFrame, decoder: Decoder = array_decoder, frames: int = DEFAULT_NUM_FRAMES, hash_size: int = DEFAULT_HASH_SIZE) -> DataFrame:
+def read_videos(files: DataFrame, decoder: VideoDecoder = any_video, frames: int = DEFAULT_NUM_FRAMES, hash_size: int = DEFAULT_HASH_SIZE) -> DataFrame:
     """Video rows of (path, length) files, decoded where the rows lie.
 
     A file the decoder cannot open, or without frames, keeps its size and has no hashes.
