@@ -53,7 +53,7 @@ OUTGROWN = 8
 #: Rows of one file of a batch.
 FILE_ROWS = 200_000
 #: Pending batches share a step up to this many times the rows of the history they are held against.
-STEP_SHARE = 4
+STEP_SHARE = 2
 ID_BITS = 40
 
 
@@ -502,7 +502,8 @@ def run_batches(history: History, arrivals: DataFrame, accepted: DataFrame | Non
         taken = plan_steps(batches, history.state["accepted"]) if fits else [batches[0][0]]
         batches = batches[len(taken) :]
         items = placed.where(F.col("step").between(taken[0], taken[-1])).withColumn("step", F.lit(taken[0]))
-        found = history.decide(copy_classes(items, payload).drop("step")).withColumn("step", F.lit(taken[0]))
+        classes = work.save(copy_classes(items, payload).drop("step"), f"classes/step={history.state['step'] + 1}")
+        found = history.decide(classes).withColumn("step", F.lit(taken[0]))
         history.finish()
         step = F.when(F.col("step").between(taken[0], taken[-1]), taken[0]).otherwise(F.col("step"))
         decided, placed = found if decided is None else decided.unionByName(found), placed.withColumn("step", step)
