@@ -30,8 +30,9 @@ RUN = 13
 #: Passages queried together: a query of this many tokens holds every run of RUN that begins in its first QUERY - RUN + 1 tokens.
 QUERY = 24
 BLOCK = 16
-#: Items per index.  More items than this are searched in several indexes, each broadcast alone (some 20 MB).
+#: Items per index (some 20 MB), and indexes that one pass over the documents searches.
 INDEX_ITEMS = 20_000
+PASS_INDEXES = 8
 ROUNDING = 1e-6
 TOKEN_PATTERN = re.compile(r"[A-Za-z0-9_]+")
 
@@ -165,9 +166,9 @@ def index_keys(index: ItemIndex) -> np.ndarray:
     return keys
 
 
-def scan(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """(text, item number, best score, runs shared) of the texts of one buffer."""
-    begin, end, hashes = bytescan.tokens(data, offsets)
+def scan(index: ItemIndex, data: np.ndarray, offsets: np.ndarray, tokens: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, float, int]]:
+    """(text, item number, best score, runs shared) of the texts of one buffer, given its tokens."""
+    begin, end, hashes = tokens
     if not len(begin):
         return []
     at = np.minimum(np.searchsorted(index.token_hash, hashes), len(index.token_hash) - 1)
@@ -233,27 +234,32 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     threshold, ``shared_runs`` the number of places that match.  Null or tokenless
     texts and items match nothing; items with equal passages are all reported, as
     are repeated documents.  Items beyond ``index_items`` go to further indexes, so
-    the broadcast stays bounded; each index reads the documents once.
+    the broadcasts of a pass stay bounded; a pass tokenises the documents once for PASS_INDEXES indexes.
     """
     spark = docs.sparkSession
     rows = items.where("item_id is not null and passage is not null").select(F.col("item_id").cast("long").alias("item_id"), "passage").distinct()
     parts = max(1, -(-rows.count() // index_items))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     result: DataFrame | None = None
-    for k in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        index = build_index([(r[0], r[1]) for r in part.collect()])
-        shared = spark.sparkContext.broadcast(index)
+    for first_part in range(0, parts, PASS_INDEXES):
+        held = []
+        for k in range(first_part, min(parts, first_part + PASS_INDEXES)):
+            part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
+            index = build_index([(r[0], r[1]) for r in part.collect()])
+            if index is not None:
+                held.append(spark.sparkContext.broadcast(index))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches if index is not None else ():
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            indexes = [b.value for b in held]
+            for batch in batches if indexes else ():
                 out: list[tuple[int, int, float, int]] = []
                 for first, _, data, offsets in bytescan.chunks(batch.column(1)):
-                    out += [(first + t, i, s, n) for t, i, s, n in scan(index, data, offsets)]
+                    tokens = bytescan.tokens(data, offsets)
+                    for index in indexes:
+                        out += [(first + t, int(index.items[i]), s, n) for t, i, s, n in scan(index, data, offsets, tokens)]
                 ids = batch.column(0)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([r[0] for r in out], pa.int64())), pa.array([int(index.items[r[1]]) for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.int64())],
+                    [ids.take(pa.array([r[0] for r in out], pa.int64())), *[pa.array([r[c] for r in out], kind) for c, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()))]],
                     names=["doc_id", "item_id", "score", "shared_runs"],
                 )
 

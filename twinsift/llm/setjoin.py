@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.shared import Workspace, usable_set
+from twinsift.operators.similarity import between_values
 from twinsift.operators.skew import join_heads
 
 CELL_BLOCK = 2_000
@@ -221,11 +222,15 @@ def within_cells(
 def similar_set_pairs(records: DataFrame, least: Fraction = Fraction(3, 5)) -> DataFrame:
     """(id_a, id_b): every pair of ids whose sets reach ``least``, equal sets included; id_a < id_b."""
     pairs, members = similar_classes(records, least)
-    left = members.select(F.col("node").alias("a"), F.col("id").alias("x"))
-    right = members.select(F.col("node").alias("b"), F.col("id").alias("y"))
-    across = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    same = left.join(right, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y")
-    return across.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    work = Workspace(records.sparkSession, "set-pairs")
+    members = work.save(members, "members")
+    sizes = members.groupBy("node").agg(F.count("*").alias("n"))
+    sizes = work.save(sizes.withColumn("blocks", F.ceil(F.col("n") / CELL_BLOCK).cast("int")), "sizes")
+    same = sizes.where("n > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    rows = members.select(F.col("id").alias("path"), F.col("node").alias("value"))
+    # members of near classes side by side, large classes in blocks
+    found = between_values(pairs.select("a", "b").unionByName(same), sizes, rows, F.lit(True), F.lit(1.0))
+    return found.select(F.col("src").alias("id_a"), F.col("dst").alias("id_b"))
 
 
 def similar_set_summary(records: DataFrame, least: Fraction = Fraction(3, 5)) -> DataFrame:
