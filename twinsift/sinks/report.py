@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 from twinsift.functions import formatting as T
 from twinsift.operators.report import group_report, group_savings, totals
 
+# fixed values: rules and phrases of the console report, which those who read it by script rely on
 RULE, THIN = "=" * 80, "-" * 40
+NO_GROUPS = "No duplicate {media}s found."
+HEADING = "DUPLICATE {media} GROUPS FOUND: {groups}"
+HEADING_FILES = " ({files} duplicate files)"
+GROUP = "Group {number}:"
+MEMBER = ("  • {path}", "    Resolution: {resolution}", "    {label}: {value}", "    Size: {size}", "    Similarity: {similarity}", "")
+SAVINGS = "Potential space savings by removing duplicates: {size}"
+SAVED = "Results saved to: {file}"
 
 
 def json_groups(groups: DataFrame, infos: DataFrame, media: str = "image") -> DataFrame:
@@ -46,24 +54,20 @@ def report_lines(groups: DataFrame, infos: DataFrame, media: str = "image") -> I
     """The console report, line by line."""
     summary = totals(group_savings(groups, infos)).first()
     if not summary["total_groups"]:
-        yield f"No duplicate {media}s found."
+        yield NO_GROUPS.format(media=media)
         return
-    yield RULE
-    more = f" ({summary['total_duplicates']} duplicate files)" if media == "image" else ""
-    yield f"DUPLICATE {media.upper()} GROUPS FOUND: {summary['total_groups']}{more}"
-    yield RULE
+    files = HEADING_FILES.format(files=summary["total_duplicates"]) if media == "image" else ""
+    yield from (RULE, HEADING.format(media=media.upper(), groups=summary["total_groups"]) + files, RULE)
+    label, column = ("Format", "format") if media == "image" else ("Duration", "duration")
     current = None
     for row in group_report(groups, infos, media).orderBy("group_id", "rank").toLocalIterator():
         if row["group_id"] != current:
             current = row["group_id"]
-            yield f"Group {current}:"
-            yield THIN
-        third = f"    Format: {row['format']}" if media == "image" else f"    Duration: {row['duration']}"
-        yield from (f"  • {row['path']}", f"    Resolution: {row['resolution']}", third, f"    Size: {row['size']}", f"    Similarity: {row['similarity_text']}", "")
-    yield RULE
+            yield from (GROUP.format(number=current), THIN)
+        shown = {"path": row["path"], "resolution": row["resolution"], "label": label, "value": row[column], "size": row["size"], "similarity": row["similarity_text"]}
+        yield from (line.format(**shown) for line in MEMBER)
     saved = groups.sparkSession.range(1).select(T.size_text(F.lit(summary["potential_savings_bytes"])).alias("s")).first()["s"]
-    yield f"Potential space savings by removing duplicates: {saved}"
-    yield RULE
+    yield from (RULE, SAVINGS.format(size=saved), RULE)
 
 
 def print_report(groups: DataFrame, infos: DataFrame, media: str = "image", output: str | None = None, say: Callable[[str], None] = print) -> None:
@@ -71,4 +75,4 @@ def print_report(groups: DataFrame, infos: DataFrame, media: str = "image", outp
     for line in report_lines(groups, infos, media):
         say(line)
     if output and write_json(groups, infos, output, media):
-        say(f"Results saved to: {output}")
+        say(SAVED.format(file=output))
