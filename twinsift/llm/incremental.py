@@ -193,6 +193,8 @@ class History:
             found["plan"] = {"reach": state["reach"], "parts": [[p.begin, p.end, p.reach] for p in parts]}
             rows = max(expected, 1) * len(parts)
             if sample is not None:
+                # copies are one item to a batch, so they do not make a key hot
+                sample = sample.select("id", *H.word_names(BITS)).dropDuplicates(H.word_names(BITS))
                 count = sample.count()
                 hot = H.hot_keys(sample.withColumnRenamed("id", "node"), count, parts, BITS) if count > H.HOT_ROWS else None
                 if hot is not None:
