@@ -50,6 +50,7 @@ def clusters(spark, images, videos=(), known=()):
 @pytest.mark.parametrize("share", [0, 100])
 def test_a_duplicate_joins_accepted_items_of_earlier_batches(spark, monkeypatch, share):
     monkeypatch.setattr(inc, "STEP_SHARE", share)
+    monkeypatch.setattr(inc, "STEP_ROWS", 0)
     a = f"{random.Random(8).getrandbits(256):064x}"
     b, both = flipped(a, range(40)), flipped(a, range(20))
     c, two = flipped(b, range(100, 140)), flipped(b, range(100, 120))
@@ -68,6 +69,7 @@ def test_a_duplicate_joins_accepted_items_of_earlier_batches(spark, monkeypatch,
 def test_clusters_equal_arrivals_one_by_one(spark, monkeypatch, outgrown, share):
     monkeypatch.setattr(inc, "OUTGROWN", outgrown)
     monkeypatch.setattr(inc, "STEP_SHARE", share)
+    monkeypatch.setattr(inc, "STEP_ROWS", 0)
     rng = random.Random(4)
     centre = f"{rng.getrandbits(256):064x}"
     images = [(100 + i, flipped(centre, rng.sample(range(64), rng.randrange(12, 40))), rng.randrange(6), "x", 1) for i in range(90)]

@@ -143,6 +143,7 @@ def one_by_one(images, videos, known):
 def test_batches_equal_arrivals_one_by_one(spark, monkeypatch, outgrown, edges, share):
     images, videos, known = stream(random.Random(2), 240)
     monkeypatch.setattr(inc, "STEP_SHARE", share)
+    monkeypatch.setattr(inc, "STEP_ROWS", 0)
     monkeypatch.setattr(inc, "OUTGROWN", outgrown)
     monkeypatch.setattr(inc, "ONE_TASK_EDGES", edges)
     got = inc.duplicates_of_history(

@@ -52,8 +52,8 @@ BITS = 256
 OUTGROWN = 8
 #: Rows of one file of a batch.
 FILE_ROWS = 200_000
-#: Pending batches share a step up to this many times the rows of the history they are held against.
-STEP_SHARE = 2
+#: Pending batches share a step up to this many rows, or this many times the rows of the history they are held against.
+STEP_ROWS, STEP_SHARE = 30_000, 3
 ID_BITS = 40
 
 
@@ -327,7 +327,7 @@ class History:
         items = self.work.save(self.past().select(*self.columns).distinct(), f"items-{self.state['generation']}")
         last, self.state["step"] = self.state["step"], self.state["step"] - 1
         self.state["generation"] += 1
-        self.state |= self.planned(self.spark, self.work, self.state, items, 2 * self.state["accepted"], self.state["batch"], None)
+        self.state |= self.planned(self.spark, self.work, self.state, items, 2 * self.state["accepted"], max(self.state["batch"], 2 * self.state["accepted"]), None)
         self.__init__(self.spark, self.work.root, self.state)
         self.append(items, last)
         self.state["step"] = last
@@ -471,7 +471,7 @@ def copy_classes(items: DataFrame, payload: list[str]) -> DataFrame:
 
 
 def plan_steps(batches: list[tuple[int, int]], held: int) -> list[int]:
-    """How many of the pending (batch, rows) the next step takes: batches in order while they hold no more rows than STEP_SHARE times the history, one at least.
+    """How many of the pending (batch, rows) the next step takes: batches in order while they hold no more than STEP_ROWS rows or STEP_SHARE times the history, one at least.
 
     A step reads the history once, so a long queue of small batches costs a number of
     reads that grows with the logarithm of its length.
@@ -479,7 +479,7 @@ def plan_steps(batches: list[tuple[int, int]], held: int) -> list[int]:
     taken, rows = [batches[0][0]], batches[0][1]
     for batch, count in batches[1:]:
         rows += count
-        if rows > STEP_SHARE * held:
+        if rows > max(STEP_ROWS, STEP_SHARE * held):
             break
         taken.append(batch)
     return taken
