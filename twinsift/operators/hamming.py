@@ -77,7 +77,7 @@ def cut_parts(bits: int, reaches: tuple[int, ...]) -> tuple[Part, ...]:
 
 
 @lru_cache(maxsize=256)
-def plan_parts(bits: int, differing: int, stored: int, probing: int) -> tuple[Part, ...]:
+def plan_parts(bits: int, differing: int, stored: int, probing: int, look_up_cost: float = LOOK_UP_COST) -> tuple[Part, ...]:
     """The cheapest parts to find all vectors within ``differing`` bits among ``stored`` ones by ``probing`` ones."""
     if not 0 <= differing < bits:
         raise ValueError("the distance must be at least 0 and below the number of bits")
@@ -94,7 +94,7 @@ def plan_parts(bits: int, differing: int, stored: int, probing: int) -> tuple[Pa
             looks = sum(p.look_ups for p in parts)
             if looks > 5_000:
                 continue
-            cost = KEY_COST * len(parts) * stored + LOOK_UP_COST * looks * probing + MEETING_COST * probing * stored * sum(p.chance for p in parts)
+            cost = KEY_COST * len(parts) * stored + look_up_cost * looks * probing + MEETING_COST * probing * stored * sum(p.chance for p in parts)
             if best is None or cost < best[0]:
                 best = cost, parts
     return best[1]
