@@ -53,7 +53,9 @@ OUTGROWN = 8
 #: Rows of one file of a batch.
 FILE_ROWS = 200_000
 #: Pending batches share a step up to this many rows, or this many times the rows of the history they are held against.
-STEP_ROWS, STEP_SHARE = 30_000, 3
+STEP_ROWS, STEP_SHARE = 30_000, 2
+#: A look-up, beside a stored key: it is shuffled with its item in every step, so it costs disk above all.
+LOOK_UP_COST = 6.0
 ID_BITS = 40
 
 
@@ -189,7 +191,7 @@ class History:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         found: dict = {"planned": max(expected, 1), "batch": max(batch, 1), "hot_keys": False, "first": state["step"] + 1}
         if state["kind"] == "image":
-            parts = H.plan_parts(BITS, state["reach"], max(expected, 1), max(batch, 1))
+            parts = H.plan_parts(BITS, state["reach"], max(expected, 1), max(batch, 1), LOOK_UP_COST)
             found["plan"] = {"reach": state["reach"], "parts": [[p.begin, p.end, p.reach] for p in parts]}
             rows = max(expected, 1) * len(parts)
             if sample is not None:
