@@ -232,3 +232,11 @@ def test_the_log_of_clusters_grows_only_where_linked(spark):
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 8, 9, 20, 21, 30)], "node long")
     got = {r["node"]: r["root"] for r in inc.find_roots(nodes, log, work, "all").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20, 30: 30}
+
+
+def test_steps_take_batches_in_order(monkeypatch):
+    monkeypatch.setattr(inc, "STEP_ROWS", 10)
+    assert inc.plan_steps([(1, 50), (2, 1)], 3) == [1]
+    assert inc.plan_steps([(1, 4), (2, 6), (3, 1)], 3) == [1, 2]
+    assert inc.plan_steps([(1, 4), (2, 6), (3, 1)], 10) == [1, 2, 3]
+    assert inc.plan_steps([(7, 1)], 0) == [7]
