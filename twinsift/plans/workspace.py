@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _local: dict[str, str] = {}
+#: Folders of the runs of this process.
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def clear_workspaces(spark: SparkSession) -> int:
+    """Delete the intermediate tables of all runs of this process, and how many there were: for when their results have been written or are not needed."""
+    count = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 class Workspace:
     """Tables of one operator run.
 
@@ -38,6 +49,8 @@ class Workspace:
         """A new folder for a run, or the folder ``root`` of something that is kept."""
         self.spark = spark
         self.root = root.rstrip("/") if root else f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if not root:
+            _made.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
