@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twinsift.constants import HASH_KINDS, MATRIX_ROWS, PREFILTER_VIDEOS, PREPASS_ROWS
 from twinsift.functions import bits as B
 from twinsift.operators.grouping import greedy_groups
-from twinsift.operators.similarity import image_pairs, video_classes, video_pairs, video_sequences
+from twinsift.operators.similarity import numbered_image_pairs, video_classes, video_pairs, video_sequences
 from twinsift.operators.skew import join_heads
 from twinsift.plans.workspace import Workspace
 
@@ -40,7 +40,13 @@ def near_image_groups(df: DataFrame, threshold: float, hash_type: str = "combine
     """
     work = Workspace(df.sparkSession, "image-groups")
     df = work.save(df.select("path", *HASH_KINDS).distinct(), "rows")
-    groups = work.save(greedy_groups(work.save(image_pairs(df, threshold, hash_type, single), "pairs")), "groups")
+    # grouped by number, in the order of paths: a fifth of what the paths themselves take on disk
+    classes, pairs = numbered_image_pairs(df, threshold, work, hash_type, single)
+    grouped = work.save(greedy_groups(work.save(pairs.withColumnsRenamed({"x": "src", "y": "dst"}), "pairs")), "groups")
+    named = [classes.select(F.col("n").alias(n), F.col("path").alias(p)) for n, p in (("_leader", "leader"), ("_path", "path"))]
+    numbers = grouped.select(F.col("leader").alias("_leader"), F.col("path").alias("_path"), "similarity")
+    work.free()
+    groups = numbers.join(named[0], "_leader").join(named[1], "_path").select("leader", "path", "similarity")
     kinds = [k for k in HASH_KINDS if hash_type in (k, "combined")]
     comparable = F.exists(F.array(F.lit(False), *[F.coalesce(B.is_hex(k), F.lit(False)) for k in kinds]), lambda x: x)
     rows = class_members(df.where(comparable), work, df.count())
@@ -75,6 +81,10 @@ def image_groups(df: DataFrame, threshold: float = 0.9, hash_type: str = "combin
     rows = df.where(F.col("phash").isNotNull() & (F.col("phash") != ""))
     if mode not in ("strict", "compat"):
         raise ValueError("mode is strict or compat")
+    # read several times
+    work = Workspace(df.sparkSession, "all-groups")
+    rows = work.save(rows.select("path", *HASH_KINDS), "rows")
+    work.free()
     if mode == "compat" and not accelerated and rows.count() <= PREPASS_ROWS:
         return near_image_groups(rows, threshold, hash_type).select(F.lit(1).alias("phase"), "leader", "path", "similarity")
     exact = exact_groups(rows)
