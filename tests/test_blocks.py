@@ -47,3 +47,24 @@ def test_pairs_of_a_cell(monkeypatch, bits, most, way):
     assert found(words(x), words(y)) == direct(x, y)
     assert found(words(x), None) == [t for t in direct(x, x) if t[0] < t[1]]
     blocks.plan_cell.cache_clear()
+
+
+@pytest.mark.parametrize("directed,first,most", [(True, None, 38), (False, None, None), (True, 0.7, None)])
+def test_videos_of_a_cell(directed, first, most):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    base = [rng.getrandbits(256) for _ in range(6)]
+    held = {i: [rng.choice(base) ^ (1 << rng.randrange(256)) for _ in range(rng.randrange(1, 5))] for i in range(30)}
+    signed = lambda v: [(v >> 64 * (3 - w) & (1 << 64) - 1) - ((v >> 64 * (3 - w) & 1 << 63) << 1) for w in range(4)]
+    table = pa.table({"path": pa.array(list(held), pa.int64()), "words": pa.array([[w for f in v for w in signed(f)] for v in held.values()], pa.list_(pa.int64()))})
+    apart = lambda a, b: (a ^ b).bit_count()
+    want = {}
+    for s, a in held.items():
+        for d, b in held.items():
+            value = sum(1 - min(apart(x, y) for y in b) / 256 for x in a) / len(a)
+            if (s != d if directed else s < d) and value >= 0.85 and (first is None or 1 - apart(a[0], b[0]) / 256 >= first):
+                want[s, d] = value
+    compare = blocks.video_pairs(256, 0.85, most, first, directed, False)
+    got = [r for b in compare(table, table) for r in b.to_pylist()]
+    assert want and {(r["src"], r["dst"]): r["similarity"] for r in got} == want and len(got) == len(want)
