@@ -47,3 +47,37 @@ def test_blocks_in_turns(spark, monkeypatch):
     assert sorted(S.image_pairs(df, 0.9).collect()) == want and len(want) == 150
     # 12 blocks send 12 copies of every row, never more than a third of them at once
     assert sum(sent) == 12 * 300 and max(sent) < 1.25 * blocks.COPIES * 300
+
+
+def stored(spark):
+    from twinsift.plans import workspace
+
+    return sum(p.stat().st_size for root in workspace._made for p in Path(root.removeprefix("file://")).rglob("*.parquet"))
+
+
+def test_groups_keep_no_hash_texts(spark):
+    from twinsift.operators.groups import near_image_groups
+
+    df = pictures(spark, 1_000).localCheckpoint()
+    before = stored(spark)
+    groups = near_image_groups(df, 0.9)
+    # four texts of 64 digits a row would be 256 KB, and again in every table that holds them
+    assert stored(spark) - before < 200_000
+    assert groups.count() == 1_000 and groups.where("leader <> path").count() == 500
+
+
+def test_settled_runs_leave_nothing_but_the_result(spark):
+    from twinsift.plans import workspace
+
+    work, before = Workspace(spark, "outer"), len(workspace._made)
+    got = work.settle(lambda: Workspace(spark, "inner").save(spark.range(10), "x"), "result")
+    assert got.count() == 10 and len(workspace._made) == before
+
+
+def test_classes_tell_missing_from_empty_texts(spark):
+    from twinsift.operators.groups import class_members
+
+    rows = [("a", None, "", None, None), ("b", "", None, None, None), ("c", "1", "2", None, ""), ("d", "1,1:2", None, None, ""), ("e", None, "", None, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("path", *HASH_KINDS)))
+    got = {r["path"]: (r["class"], r["copies"]) for r in class_members(df, Workspace(spark, "t"), 5).collect()}
+    assert got == {"a": ("a", 2), "b": ("b", 1), "c": ("c", 1), "d": ("d", 1), "e": ("a", 2)}

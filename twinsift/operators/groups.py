@@ -40,22 +40,32 @@ def near_image_groups(df: DataFrame, threshold: float, hash_type: str = "combine
     """
     work = Workspace(df.sparkSession, "image-groups")
     df = work.save(df.select("path", *HASH_KINDS).distinct(), "rows")
+    work.free()
+    kinds = [k for k in HASH_KINDS if hash_type in (k, "combined")]
+    comparable = F.exists(F.array(F.lit(False), *[F.coalesce(B.is_hex(k), F.lit(False)) for k in kinds]), lambda x: x)
+    rows = work.save(class_members(df.where(comparable), work, df.count()), "members")
+    work.drop("class-heads")
     # grouped by number, in the order of paths: a fifth of what the paths themselves take on disk
     classes, pairs = numbered_image_pairs(df, threshold, work, hash_type, single)
-    grouped = work.save(greedy_groups(work.save(pairs.withColumnsRenamed({"x": "src", "y": "dst"}), "pairs")), "groups")
+    pairs = work.save(pairs.withColumnsRenamed({"x": "src", "y": "dst"}), "pairs")
+    classes = work.save(classes, "names")
+    work.drop("classes", "rows")
+    work.free()
+    grouped = work.settle(lambda: greedy_groups(pairs), "groups")
     named = [classes.select(F.col("n").alias(n), F.col("path").alias(p)) for n, p in (("_leader", "leader"), ("_path", "path"))]
     numbers = grouped.select(F.col("leader").alias("_leader"), F.col("path").alias("_path"), "similarity")
-    work.free()
     groups = numbers.join(named[0], "_leader").join(named[1], "_path").select("leader", "path", "similarity")
-    kinds = [k for k in HASH_KINDS if hash_type in (k, "combined")]
-    comparable = F.exists(F.array(F.lit(False), *[F.coalesce(B.is_hex(k), F.lit(False)) for k in kinds]), lambda x: x)
-    rows = class_members(df.where(comparable), work, df.count())
     return with_copies(groups, rows, work)
 
 
 def class_members(df: DataFrame, work: Workspace, total: int) -> DataFrame:
-    """(path, class, copies): the class of each path of (path, hash kinds), its smallest path, and the paths of the class."""
-    keyed = df.where(F.col("path").isNotNull()).select("path", F.struct(*HASH_KINDS).alias("print"))
+    """(path, class, copies): the class of each path of (path, hash kinds), its smallest path, and the paths of the class.
+
+    Equal texts of all kinds are a class.  They are told by their SHA-256, an eighth of what they take on disk.
+    """
+    # with its length before each text, no two rows of texts read alike
+    texts = [F.coalesce(F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)), F.lit("")) for k in HASH_KINDS]
+    keyed = df.where(F.col("path").isNotNull()).select("path", F.unhex(F.sha2(F.concat_ws(",", *texts).cast("binary"), 256)).alias("print"))
     heads = work.save(keyed.groupBy("print").agg(F.struct(F.min("path").alias("class"), F.count("*").alias("copies")).alias("head"), F.count("*").alias("n")), "class-heads")
     return join_heads(keyed, heads, "print", "head", "n", total).select("path", "head.class", "head.copies")
 
@@ -63,6 +73,7 @@ def class_members(df: DataFrame, work: Workspace, total: int) -> DataFrame:
 def with_copies(groups: DataFrame, rows: DataFrame, work: Workspace) -> DataFrame:
     """(leader, path, similarity) of all rows (path, class, copies) from groups of classes; classes of several paths in no group are groups of their own."""
     placed = work.save(groups.select(F.col("path").alias("class"), F.struct("leader", "similarity").alias("place")), "placed")
+    work.free()
     several = rows.where("copies > 1").join(placed.select("class"), "class", "left_anti").select(F.col("class").alias("leader"), "path", F.lit(1.0).alias("similarity"))
     # one row per class: the copies of a large class are not one task's
     sized = placed.join(rows.groupBy("class").agg(F.count("*").alias("n")), "class")
