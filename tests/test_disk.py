@@ -81,3 +81,19 @@ def test_classes_tell_missing_from_empty_texts(spark):
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("path", *HASH_KINDS)))
     got = {r["path"]: (r["class"], r["copies"]) for r in class_members(df, Workspace(spark, "t"), 5).collect()}
     assert got == {"a": ("a", 2), "b": ("b", 1), "c": ("c", 1), "d": ("d", 1), "e": ("a", 2)}
+
+
+def test_numbered_members_keep_only_groups(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from twinsift.plans import queries as Q
+
+    rows = pictures(spark, 1_000)
+    for c, kind in (("ingested_at", "timestamp"), ("scanned_at", "timestamp"), ("width", "int"), ("height", "int")):
+        rows = rows.withColumn(c, F.lit(None).cast(kind))
+    rows.withColumn("file_size", F.substring("path", 2, 5).cast("long")).write.parquet(f"{tmp_path}/images.parquet")
+    before = stored(spark)
+    got = Q.numbered_near_members(spark, str(tmp_path)).collect()
+    # no table of hashes is left: 256 KB of texts
+    assert stored(spark) - before < 100_000
+    assert sorted((r["group_id"], r["path"], r["rank"]) for r in got) == sorted((i // 2 + 1, f"/{i:05d}", 2 - i % 2) for i in range(1_000))
