@@ -27,9 +27,6 @@ from twinsift.llm.hnsw import near_pairs
 from twinsift.llm.shared import Workspace, usable_hash
 from twinsift.operators.skew import join_heads
 
-#: With this many tables a pair missed by one graph has chances enough in others, and graphs are searched once only.
-SECOND_CHANCES = 3
-
 
 def plan_tables(count: int, reach: int, dims: int, shard_rows: int, meet: float) -> tuple[int, int]:
     """(bits of a shard key, number of tables): pairs at distance ``reach`` meet with probability ``meet`` or more."""
@@ -154,13 +151,13 @@ def similar_vectors(
     classes = work.save(records.groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("members")), "classes")
     count = classes.count()
     spans = [(4 * digits * i, 4 * digits * (i + 1)) for i in range(len(hash_cols))]
-    routed, shards, tables = route(classes, work, count, reach, spans, shard_rows, meet)
+    routed, shards, _ = route(classes, work, count, reach, spans, shard_rows, meet)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["node"].to_numpy()
         order = np.argsort(ids)
         rows = np.frombuffer(b"".join(pdf["vec"].to_numpy()[order]), dtype=">u8").reshape(len(pdf), -1).astype(np.uint64)
-        return best_per_node(ids[order], *near_pairs(rows, ids[order], reach, k, again=tables < SECOND_CHANCES), k)
+        return best_per_node(ids[order], *near_pairs(rows, ids[order], reach, k), k)
 
     found = routed.repartition(max(3 * shards, 4), "shard").groupBy("shard").applyInPandas(search, "a long, b long, d int")
     found = work.save(found, "found").distinct()
