@@ -36,7 +36,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm.components import component_roots
@@ -234,12 +234,12 @@ class History:
         self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (step={step}) SELECT * FROM {view}")
         self.spark.catalog.dropTempView(view)
 
-    def accept(self, items: DataFrame) -> None:
-        """A step of items that are accepted unseen."""
+    def accept(self, items: DataFrame, rows: int | None = None) -> None:
+        """A step of items that are accepted unseen; ``rows``: how many, where that is known."""
         step = self.state["step"] + 1
         self.arrived(items, step)
         self.append(items, step)
-        self.state |= {"step": step, "accepted": self.state["accepted"] + items.count()}
+        self.state |= {"step": step, "accepted": self.state["accepted"] + (items.count() if rows is None else rows)}
         self.finish()
 
     def arrived(self, items: DataFrame, step: int) -> None:
@@ -318,10 +318,11 @@ class History:
         return decided
 
     def finish(self) -> None:
-        """Commit the step, and plan the keys anew where the history has outgrown them."""
+        """Commit the step, plan the keys anew where the history has outgrown them, and let go of what the step leaves in the driver and in shuffle files."""
         self.commit()
         if self.state["accepted"] > OUTGROWN * self.state["planned"]:
             self.rebuild()
+        self.work.free()
 
     def rebuild(self) -> None:
         """Write the keys anew, planned for twice the items accepted so far."""
@@ -378,16 +379,17 @@ class History:
         rows = filed.unionByName(heads.select(F.col("item").alias("record_id"), "item"))
         return join_heads(rows, named, "item", "root", "n", rows.count()).select("record_id", F.col("root").alias("cluster_id"))
 
-    def expand(self, items: DataFrame, decided: DataFrame) -> DataFrame:
+    def expand(self, items: DataFrame, decided: DataFrame, count: int | None = None) -> DataFrame:
         """(id, step, keeper, score) of every item: copies of a class follow its first one.
 
-        ``decided`` is what :meth:`decide` returned, with step.  Classes of very many
-        copies are joined apart, so no task gets all copies of one hash.
+        ``decided`` is what :meth:`decide` returned, with step; ``count`` is the number of
+        items, where that is known.  Classes of very many copies are joined apart, so no
+        task gets all copies of one hash.
         """
         lone = decided.where("copies = 1").select("id", "step", "keeper", "score")
         heads = decided.where("copies > 1").select(F.struct("step", *self.medium.payload).alias("class"), F.struct(F.col("id").alias("head"), "keeper", "score").alias("first"), "copies")
         rows = items.select("id", "step", F.struct("step", *self.medium.payload).alias("class"))
-        copies = join_heads(rows, heads, "class", "first", "copies", items.count())
+        copies = join_heads(rows, heads, "class", "first", "copies", items.count() if count is None else count)
         head = F.col("id") == F.col("first.head")
         copies = copies.select(
             "id", "step", F.when(head, F.col("first.keeper")).otherwise(F.coalesce("first.keeper", "first.head")).alias("keeper"),
@@ -487,16 +489,26 @@ def plan_steps(batches: list[tuple[int, int]], held: int) -> list[int]:
     return taken
 
 
-def run_batches(history: History, arrivals: DataFrame, accepted: DataFrame | None) -> tuple[DataFrame, int]:
-    """(id, step, keeper, score) of every arrival, and the number of bits of an id; above them ids hold the batch, so that they sort by order of arrival."""
+def batch_sizes(items: DataFrame, *by: str) -> list[Row]:
+    """(batch_no, n, low, high) of every batch in order, by "batch_no", or (n, low, high) of all items: how many there are, and between which ids."""
+    return sorted(items.groupBy(*by).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).collect())
+
+
+def run_batches(history: History, arrivals: DataFrame, accepted: DataFrame | None, sizes: list[Row] | None = None, held: Row | None = None) -> tuple[DataFrame, int]:
+    """(id, step, keeper, score) of every arrival, and the number of bits of an id; above them ids hold the batch, so that they sort by order of arrival.
+
+    ``sizes`` and ``held`` are the :func:`batch_sizes` of arrivals and accepted items, where they have been taken.
+    """
     payload = list(history.medium.payload)
     work = history.work
     if accepted is not None:
-        history.accept(work.save(accepted.select(*history.columns), "accepted"))
-    batches = sorted((r[0], r[1]) for r in arrivals.groupBy("batch_no").count().collect())
-    low, high = arrivals.agg(F.min("id"), F.max("id")).first()
-    known = accepted.agg(F.min("id"), F.max("id")).first() if accepted is not None else (None, None)
-    fits = min(low or 0, known[0] or 0, *[b for b, _ in batches]) >= 0 and max(high or 0, known[1] or 0) < 1 << ID_BITS and max((b for b, _ in batches), default=0) < 1 << (62 - ID_BITS)
+        accepted = work.save(accepted.select(*history.columns), "accepted")
+        held = batch_sizes(accepted)[0] if held is None else held
+        history.accept(accepted, held["n"])
+    sizes = batch_sizes(arrivals, "batch_no") if sizes is None else sizes
+    batches, count = [(r["batch_no"], r["n"]) for r in sizes], sum(r["n"] for r in sizes)
+    ids = [i for r in (*sizes, *([held] if accepted is not None else [])) for i in (r["low"], r["high"]) if i is not None]
+    fits = min((*ids, *[b for b, _ in batches]), default=0) >= 0 and max(ids, default=0) < 1 << ID_BITS and max((b for b, _ in batches), default=0) < 1 << (62 - ID_BITS)
     place = F.shiftleft(F.col("batch_no").cast("long"), ID_BITS).bitwiseOR(F.col("id")) if fits else F.col("id")
     placed = arrivals.select(place.alias("id"), *payload, "format", "bytes", F.col("batch_no").alias("step"))
     files = -(-max((n for _, n in batches), default=1) // FILE_ROWS)
@@ -513,17 +525,17 @@ def run_batches(history: History, arrivals: DataFrame, accepted: DataFrame | Non
         decided, placed = found if decided is None else decided.unionByName(found), placed.withColumn("step", step)
     if decided is None:
         return placed.select("id", "step", F.lit(None).cast("long").alias("keeper"), F.lit(None).cast("double").alias("score")), 63
-    return history.expand(placed, decided), ID_BITS if fits else 63
+    return history.expand(placed, decided, count), ID_BITS if fits else 63
 
 
-def deduplicate_batches(history: History, arrivals: DataFrame, accepted: DataFrame | None) -> DataFrame:
+def deduplicate_batches(history: History, arrivals: DataFrame, accepted: DataFrame | None, sizes: list[Row] | None = None, held: Row | None = None) -> DataFrame:
     """(id, keeper, score) of every arrival, batch after batch; keeper null where accepted.
 
     ``arrivals`` is (id, batch_no, payload, format, bytes), one row per id; ``accepted``
     the same without batch_no, taken without test.  The order is (batch_no, id).
     Consecutive batches share a step as of :func:`plan_steps`, which changes no result.
     """
-    rows, bits = run_batches(history, arrivals, accepted)
+    rows, bits = run_batches(history, arrivals, accepted, sizes, held)
     return rows.select(plain("id", bits), plain("keeper", bits), "score")
 
 
@@ -567,16 +579,16 @@ def history_of(arrivals: DataFrame, known: DataFrame, kind: str, clusters: bool,
     spark = arrivals.sparkSession
     work = Workspace(spark, f"history-{kind}")
     arrivals, known = work.save(arrivals, "items"), work.save(known, "known")
-    first = arrivals.agg(F.min("batch_no")).first()[0]
-    start = arrivals.where(F.col("batch_no") == first).drop("batch_no").unionByName(known) if first is not None else known
+    sizes, held = batch_sizes(arrivals, "batch_no"), batch_sizes(known)[0]
+    start = arrivals.where(F.col("batch_no") == sizes[0]["batch_no"]).drop("batch_no").unionByName(known) if sizes else known
     # planned for what is there at the start; keys are planned anew as the history grows
-    held = max(1, start.count())
-    history = History.create(spark, work.path("history"), kind, start, held, held, clusters=clusters, **options)
+    rows = max(1, held["n"] + (sizes[0]["n"] if sizes else 0))
+    history = History.create(spark, work.path("history"), kind, start, rows, rows, clusters=clusters, **options)
     if clusters:
-        decided, bits = run_batches(history, arrivals, known)
+        decided, bits = run_batches(history, arrivals, known, sizes, held)
         result = history.members(decided).select(plain("record_id", bits), plain("cluster_id", bits))
     else:
-        result = deduplicate_batches(history, arrivals, known)
+        result = deduplicate_batches(history, arrivals, known, sizes, held)
     result = work.save(result, "result")
     history.forget()
     work.drop("history", "items", "known")
