@@ -63,17 +63,17 @@ def distances(rows: np.ndarray, left: np.ndarray, queries: np.ndarray, right: np
 def beam_search(rows, layer, queries, starts, width, packing):
     """Best ``width`` nodes of one layer for each query, as sorted packed keys.
 
-    ``layer`` has the links of its nodes; ``starts`` holds entry nodes per query, -1 where none.
+    ``layer`` has the links of its nodes, free places holding the node itself; ``starts`` holds entry nodes per query, -1 where none.
     """
-    count, nodes = len(queries), len(layer)
-    seen = np.zeros(count * nodes, bool)
+    count, nodes, degree = len(queries), *layer.shape
+    unseen = np.ones(count * nodes, bool)
     beam = np.full((count, width), packing.empty, packing.kind)
     first = np.sort(starts, axis=1)
     fresh = first >= 0
     fresh[:, 1:] &= first[:, 1:] != first[:, :-1]
     row, col = np.nonzero(fresh)
     node = first[row, col]
-    seen[row * nodes + node] = True
+    unseen[row * nodes + node] = False
     keys = np.full(first.shape, packing.empty, packing.kind)
     keys[row, col] = packing.keys(distances(rows, node, queries, row), node, 1)
     keys.sort(axis=1)
@@ -91,16 +91,15 @@ def beam_search(rows, layer, queries, starts, width, packing):
         pick = is_open.argmax(axis=1)
         near = layer.take(packing.node(now[own, pick]), axis=0)
         now[own, pick] &= ~packing.kind(1)
-        place = (active * nodes)[:, None] + near
-        keep = near >= 0
-        keep &= ~seen.take(np.where(keep, place, 0))
-        seen[place[keep]] = True
-        row, near = np.nonzero(keep)[0], near[keep]
-        key = packing.keys(distances(rows, near, queries, active[row]), near, 1)
-        better = key < now[row, -1]
-        key, row = key[better], row[better]
+        place = (near + (active * nodes)[:, None]).ravel()
+        new = np.flatnonzero(unseen.take(place))
+        unseen[place.take(new)] = False
+        row, near = new // degree, near.ravel().take(new)
+        key = packing.keys(distances(rows, near, queries, active.take(row)), near, 1)
+        better = np.flatnonzero(key < now[:, -1].take(row))
+        key, row = key.take(better), row.take(better)
         if len(key):
-            slot = np.arange(len(row)) - np.searchsorted(row, own)[row]
+            slot = np.arange(len(row)) - np.searchsorted(row, own).take(row)
             wide = np.full((len(active), width + int(slot.max()) + 1), packing.empty, packing.kind)
             wide[:, :width] = now
             wide[row, width + slot] = key
@@ -177,18 +176,27 @@ def assign_levels(keys: np.ndarray, base: int) -> np.ndarray:
 def within_batch(queries, nodes, width, packing):
     """For each node of a batch the ``width`` nearest before it in the batch, as sorted packed keys."""
     size = len(nodes)
-    apart = np.zeros((size, size), np.uint16)
+    found = np.full((size, width), packing.empty, packing.kind)
     columns = np.ascontiguousarray(queries.T)
-    for a in range(0, size, 64):  # tiles that stay in the cache
-        tile = apart[a : a + 64, : a + 64]
-        for word in columns:
-            tile += np.bitwise_count(word[a : a + 64, None] ^ word[None, : a + 64])
-    keys = np.full((size, max(size, width)), packing.empty, packing.kind)
-    keys[:, :size] = np.where(np.tri(size, k=-1, dtype=bool), packing.keys(apart, nodes, 0)[:, :size], packing.empty)
-    if size > width:
-        keys = np.partition(keys, width - 1, axis=1)[:, :width]
-    keys.sort(axis=1)
-    return keys
+    for a in range(0, size, 64):
+        b = min(a + 64, size)
+        apart = np.empty((b - a, b), np.uint16)
+        for c in range(0, b, 256):  # tiles that stay in the cache
+            d = min(c + 256, b)
+            total = np.zeros((b - a, d - c), np.uint16)
+            for k in range(0, len(columns), 3):  # at most 3 * 64 fits in a byte
+                part = np.bitwise_count(columns[k, a:b, None] ^ columns[k, None, c:d])
+                for word in columns[k + 1 : k + 3]:
+                    part += np.bitwise_count(word[a:b, None] ^ word[None, c:d])
+                total += part
+            apart[:, c:d] = total
+        keys = packing.keys(apart, nodes[:b], 0)
+        keys[:, a:][np.triu_indices(b - a)] = packing.empty
+        if b > width:
+            keys = np.partition(keys, width - 1, axis=1)[:, :width]
+        keys.sort(axis=1)
+        found[a:b, : keys.shape[1]] = keys
+    return found
 
 
 def neighbours_of_neighbours(rows, left, right, span, reach, each, rounds):
@@ -244,7 +252,7 @@ def near_pairs(rows, keys, reach, k=5, degree=16, width=16, batch=1024, again=Tr
     top = int(level[0])
     sizes = [int((level >= layer).sum()) for layer in range(top + 1)]
     degrees = [2 * degree] + [degree] * top
-    links = [np.full((n, d), -1, np.int32) for n, d in zip(sizes, degrees)]
+    links = [np.repeat(np.arange(n, dtype=np.int32)[:, None], d, axis=1) for n, d in zip(sizes, degrees)]
     spans = [np.full((n, d), NO_LINK, np.uint16) for n, d in zip(sizes, degrees)]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -258,7 +266,7 @@ def near_pairs(rows, keys, reach, k=5, degree=16, width=16, batch=1024, again=Tr
     batch = max(16, min(batch, (1 << 26) // count))
     done = 1
     while done < count:
-        size = min(done, batch, count - done)
+        size = min(batch, count - done)
         nodes = np.arange(done, done + size)
         queries = rows[nodes]
         mates = within_batch(queries, nodes, width, packing)

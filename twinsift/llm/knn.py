@@ -20,6 +20,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,13 +154,14 @@ def similar_vectors(
     spans = [(4 * digits * i, 4 * digits * (i + 1)) for i in range(len(hash_cols))]
     routed, shards, _ = route(classes, work, count, reach, spans, shard_rows, meet)
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["node"].to_numpy()
+    def search(shard: pa.Table) -> pa.Table:
+        ids = shard["node"].to_numpy()
         order = np.argsort(ids)
-        rows = np.frombuffer(b"".join(pdf["vec"].to_numpy()[order]), dtype=">u8").reshape(len(pdf), -1).astype(np.uint64)
-        return best_per_node(ids[order], *near_pairs(rows, ids[order], reach, k), k)
+        rows = np.frombuffer(b"".join(shard["vec"].to_pylist()), dtype=">u8").reshape(len(ids), -1)[order].astype(np.uint64)
+        return pa.Table.from_pandas(best_per_node(ids[order], *near_pairs(rows, ids[order], reach, k), k), preserve_index=False)
 
-    found = routed.repartition(max(3 * shards, 4), "shard").groupBy("shard").applyInPandas(search, "a long, b long, d int")
+    # in Arrow, as in pandas the key of the shard is an object per row
+    found = routed.repartition(max(3 * shards, 4), "shard").groupBy("shard").applyInArrow(search, "a long, b long, d int")
     found = work.save(found, "found").distinct()
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
 
